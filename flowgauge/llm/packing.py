@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -29,7 +30,7 @@ CAPACITY, END = 4096, 2
 #: Tokens of remainders that a task holds before it packs them, and those it then keeps for the next round.
 HELD, KEPT = 1 << 21, 1 << 16
 #: Entries of a worker's table of words; it is halved when full. Words over LONG characters don't enter it.
-WORDS, LONG = 250_000, 64
+WORDS, LONG = 600_000, 64
 #: Output rows of a batch.
 ROWS = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,6 +43,13 @@ _OTHER = re.compile("[^" + "".join(map(re.escape, _PLAIN)) + "]|<\\|")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves, the
+    others, in order, are the letters from 256 on."""
+    own = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -50,12 +58,16 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = str.maketrans(_byte_letters())
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
+        """A word is in normal form and lower case already, and one pre-token, so that the model's merges alone are left."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONG:
             if len(self) >= WORDS:
                 for key in [k for k, _ in zip(self, range(WORDS // 2))]:
