@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 from flowgauge.llm.common import texts
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Entries of a worker's table of prefixes and of its table of pieces; either is halved when full.
-PREFIXES, PIECES = 400_000, 250_000
+#: Entries of a worker's table of prefixes and of either generation of its table of pieces; pairs of tokens it remembers.
+PREFIXES, PIECES, BESIDE = 1_000_000, 400_000, 1_000_000
 #: Pieces over this many bytes are encoded without entering the tables.
 LONG = 64
 
@@ -32,36 +35,63 @@ class PrefixBpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {i: t for t, i in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.sizes = {i: len(t) for t, i in self.ranks.items()}
+        self.longest = max(self.sizes.values())
         self.split = regex.compile(pattern)
         self.beside: dict[tuple[int, int], bool] = {}
-        self.last: dict[bytes, int] = {}
+        self.edges: dict[int, dict[int, list[tuple[bytes, float]]]] = {0: {}, -1: {}}
+        self.finder = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            self.finder.add_word(token.decode("latin-1"), (i, len(token)))
+        self.finder.make_automaton()
+        self.next: dict[int, int] = {}
+        self.token = [-1]
         self.pieces = _Pieces(self)
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The plain definition, for two tokens side by side: join the neighbours of least rank until none has a rank."""
+    def merged(self, data: bytes, below: int = 1 << 30) -> list[bytes]:
+        """The plain definition: join the neighbours of least rank, the leftmost first, until none has a rank under below."""
         parts = [data[k : k + 1] for k in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[k] + parts[k + 1], 1 << 30), k) for k in range(len(parts) - 1))
-            if rank == 1 << 30:
+            rank, at = min((self.ranks.get(parts[k] + parts[k + 1], below), k) for k in range(len(parts) - 1))
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """The parts that at some time make up a token's left (0) or right (-1) end, each with the rank of the merge that
+        takes it up, which for the token itself never comes."""
+        if (known := self.edges[side].get(token)) is None:
+            part, known, until = self.bytes[token], [], math.inf
+            while part:
+                known.append((part, until))
+                until = self.ranks[part]
+                halves = self.merged(part, until)
+                part = halves[side] if len(halves) == 2 else b""
+            self.edges[side][token] = known
+        return known
+
     def may_stand(self, first: int, second: int) -> bool:
+        """Whether two tokens side by side encode as themselves: no merge across their border comes before both of its
+        parts are taken up. Equal merges go from left to right, so that the second's own comes too late in a tie."""
         if (known := self.beside.get((first, second))) is None:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > BESIDE:
                 self.beside.clear()
-            a, b = self.bytes[first], self.bytes[second]
-            known = self.beside[first, second] = self.merged(a + b) == [a, b]
+            ranks, right = self.ranks, self.edge(second, 0)
+            known = self.beside[first, second] = not any((rank := ranks.get(a + b)) is not None and rank < until and rank <= limit for a, until in self.edge(first, -1) for b, limit in right)
         return known
 
     def append(self, data: bytes, end: int, last: list[int]) -> int:
         """The last token of data[:end], given in last (by length) those of the shorter prefixes."""
+        ranks, beside = self.ranks, self.beside
         for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(data[start:end])
-            if token is not None and (start == 0 or self.may_stand(last[start], token)):
-                return token
+            token = ranks.get(data[start:end])
+            if token is not None:
+                if start == 0:
+                    return token
+                may = beside.get((last[start], token))
+                if self.may_stand(last[start], token) if may is None else may:
+                    return token
         raise ValueError("a byte has no token")
 
     def lasts(self, data: bytes, known: list[int] | None = None) -> list[int]:
@@ -85,36 +115,43 @@ class PrefixBpe:
         return new, out
 
     def tokens(self, data: bytes, last: list[int]) -> list[int]:
-        out, end = [], len(data)
+        out, end, sizes = [], len(data), self.sizes
         while end:
             out.append(last[end])
-            end -= len(self.bytes[last[end]])
-        return out[::-1]
+            end -= sizes[last[end]]
+        out.reverse()
+        return out
 
     def piece(self, data: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. Prefixes are numbered: next holds the number of a prefix with one more byte."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         if len(data) > LONG:
             return self.tokens(data, self.lasts(data))
-        known = self.last
-        if len(known) > PREFIXES:
-            for key in [k for k, _ in zip(known, range(PREFIXES // 2))]:
-                del known[key]
-        end = len(data)
-        while end and data[:end] not in known:
-            end -= 1
-        last = [-1] * (end + 1)
-        if end < len(data):
-            for k in range(1, end + 1):  # a prefix may have gone when the table was halved
-                last[k] = known.get(data[:k], -1)
-                if last[k] < 0:
-                    last[k] = self.append(data, k, last)
-            for k in range(end + 1, len(data) + 1):
-                last.append(self.append(data, k, last))
-                known[data[:k]] = last[k]
-            return self.tokens(data, last)
-        return self.tokens(data, self.lasts(data))
+        if len(self.token) > PREFIXES:
+            self.next, self.token = {}, [-1]
+        after, token, at, last, known = self.next, self.token, 0, [-1], 0
+        for byte in data:
+            if (below := after.get(at << 8 | byte)) is None:
+                break
+            at = below
+            last.append(token[at])
+            known += 1
+        if known < len(data):
+            beside = self.beside
+            # all tokens in the piece, by their ends and the longest first; one of those that end at a place is valid there
+            for end, (found, size) in self.finder.iter(data.decode("latin-1")):
+                if end != len(last) - 1:
+                    continue
+                if start := end + 1 - size:
+                    may = beside.get((last[start], found))
+                    if not (self.may_stand(last[start], found) if may is None else may):
+                        continue
+                last.append(found)
+                below = after[at << 8 | data[end]] = len(token)
+                token.append(found)
+                at = below
+        return self.tokens(data, last)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -125,17 +162,21 @@ class PrefixBpe:
 
 
 class _Pieces(dict):
-    """Pre-token -> its ids in bytes, computed when first asked for."""
+    """Pre-token -> its ids in bytes, computed when first asked for. Of two generations the older goes when the newer is
+    full; what is asked for in the older moves to the newer, so that frequent pieces stay."""
 
     def __init__(self, bpe: PrefixBpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.piece(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.bpe.piece(piece.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= LONG:
-            if len(self) > PIECES:
-                for key in [k for k, _ in zip(self, range(PIECES // 2))]:
-                    del self[key]
+            if len(self) >= PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 

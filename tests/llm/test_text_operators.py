@@ -260,6 +260,14 @@ def test_byte_bpe_equals_tiktoken(frame, docs):
     assert Counter(map(tuple, byte_bpe.round_trip(frame).collect())) == want
 
 
+def test_byte_bpe_neighbours_follow_the_definition():
+    bpe = byte_bpe.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(8)
+    short = [i for i, t in bpe.bytes.items() if len(t) <= 5]
+    for a, b in rng.choice(short, (4000, 2)).tolist() + [[bpe.ranks[b"a" * k], bpe.ranks[b"a" * n]] for k in (1, 2, 4) for n in (1, 2, 4)]:
+        assert bpe.may_stand(a, b) == (bpe.merged(bpe.bytes[a] + bpe.bytes[b]) == [bpe.bytes[a], bpe.bytes[b]])
+
+
 def test_byte_bpe_appends_and_edits():
     bpe = byte_bpe.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
     rng = np.random.default_rng(5)
@@ -272,9 +280,10 @@ def test_byte_bpe_appends_and_edits():
         assert got == bpe.lasts(new)
 
 
-def test_byte_bpe_tables_may_be_halved(monkeypatch):
+def test_byte_bpe_tables_may_be_emptied(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PREFIXES", 20)
-    monkeypatch.setattr(byte_bpe, "PIECES", 10)
+    monkeypatch.setattr(byte_bpe, "PIECES", 2)
+    monkeypatch.setattr(byte_bpe, "BESIDE", 5)
     small = byte_bpe.PrefixBpe(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
     usual = byte_bpe.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
     for text in ["some unusual wordings recur, wordingly", "wordingly unusualest recurrences", "some recurrentness"] * 3:
