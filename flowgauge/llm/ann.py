@@ -50,6 +50,7 @@ class Index:
         self.place = np.empty(order.shape, np.uint16 if len(self.rows) < 1 << 16 else np.uint32)
         np.put_along_axis(self.place, order, np.arange(len(self.rows), dtype=self.place.dtype)[None, :], axis=1)
         self.spread = float(projected.std()) or 1.0
+        self.last = 0
         self.need = int(np.ceil(SHARE * HASHES))
         self.enough = min(len(self.rows), max(VERIFY, 4 * k, int(PART * len(self.rows))))
 
@@ -68,36 +69,43 @@ class Index:
                 hi[r, :, h] = np.searchsorted(self.sorted[h], at[:, h] + half, "right")
         return lo, (hi - lo).astype(self.place.dtype)
 
-    def search(self, q: np.ndarray, own: int, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best found, without the query's own id; lo and size: round x direction."""
+    def collided(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The points that lie in enough of the windows."""
         n = len(self.rows)
-        found_ids, found, verified = np.zeros(0, np.int64), np.zeros(0), 0
-        seen, gap, inside = np.zeros(n, bool), np.empty(n, self.place.dtype), np.empty(n, bool)
-        for r in range(len(lo)):
-            if size[r].mean() * len(size[r]) < self.need * self.enough / 4 and r + 1 < len(lo):
-                continue  # too few collisions in all for enough points
-            counts = np.zeros(n, np.uint8)
-            for h in range(HASHES):
-                np.subtract(self.place[h], lo[r, h], out=gap)  # below the window it wraps round to a great number
-                np.less(gap, size[r, h], out=inside)
-                np.add(counts, inside, out=counts)
-            new = np.nonzero((counts >= self.need) & ~seen)[0] if r + 1 < len(lo) else np.nonzero(~seen)[0]
-            if len(new):
-                seen[new] = True
-                verified += len(new)
-                score = self.rows[new] @ q
-                if len(self.ids) > n:
-                    members = np.concatenate([np.arange(self.begin[g], self.begin[g + 1]) for g in new])
-                    score = np.repeat(score, self.begin[new + 1] - self.begin[new])
-                else:
-                    members = self.begin[new]
-                ids = self.ids[members]
-                found_ids, found = np.concatenate([found_ids, ids[ids != own]]), np.concatenate([found, score[ids != own]])
-                best = blocks.order(found, found_ids, self.k)
-                found_ids, found = found_ids[best], found[best]
-            if verified >= self.enough and len(found) >= self.k:
-                break
-        return found_ids, found
+        counts, gap, inside = np.zeros(n, np.uint8), np.empty(n, self.place.dtype), np.empty(n, bool)
+        for h in range(HASHES):
+            np.subtract(self.place[h], lo[h], out=gap)  # below the window it wraps round to a great number
+            np.less(gap, size[h], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return np.nonzero(counts >= self.need)[0]
+
+    def search(self, q: np.ndarray, own: int, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k best found, without the query's own id; lo and size: round x direction.
+
+        Windows are nested, and so are their collisions: the first round with enough of them is looked for from the round
+        where the last query ended, with the same outcome from any other.
+        """
+        known: dict[int, np.ndarray] = {}
+
+        def enough(r: int) -> bool:
+            if r not in known:
+                known[r] = self.collided(lo[r], size[r]) if r + 1 < len(lo) else np.arange(len(self.rows))
+            g = known[r]
+            return len(g) >= self.enough and int((self.begin[g + 1] - self.begin[g]).sum()) > self.k
+
+        r = self.last
+        while not enough(r) and r + 1 < len(lo):
+            r += 1
+        while r and enough(r - 1):
+            r -= 1
+        self.last, g = r, known[r]
+        score, ids = self.rows[g] @ q, self.ids[self.begin[g]]
+        if len(self.ids) > len(self.rows):
+            ids = self.ids[np.concatenate([np.arange(self.begin[x], self.begin[x + 1]) for x in g])]
+            score = np.repeat(score, self.begin[g + 1] - self.begin[g])
+        score, ids = score[ids != own], ids[ids != own]
+        best = blocks.order(score, ids, self.k)
+        return ids[best], score[best]
 
 
 def meet(k: int) -> "callable":

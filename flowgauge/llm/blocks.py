@@ -66,8 +66,8 @@ def search(table: DataFrame, every: int, k: int, kind: str, meet: Callable[[np.n
     spark, rows = table.sparkSession, vectors(table)
     total = rows.count()
     parts = max(1, -(-total // CANDIDATES))
-    packed = cut(_pack(rows.repartition(parts, F.xxhash64("vec_id")), CANDIDATES))
-    asked = cut(_pack(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(1, -(-total // every // QUERIES)), F.xxhash64("vec_id")), QUERIES))
+    packed = cut(_pack(rows.repartition(parts), CANDIDATES))
+    asked = cut(_pack(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(1, -(-total // every // QUERIES))), QUERIES))
     #: One row of 12 bytes for each block of candidates.
     there = [(r.block, r.dim) for r in packed.select("block", "dim").toLocalIterator()]
     if not there:
