@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ MARK = "▁"
 #: The law's shift and exponent.
 SHIFT, EXPONENT = 2.7, 1.0
 #: Nodes of a worker's trie before it is begun anew. Pre-tokens over DEEP characters are solved outside it.
-NODES, DEEP = 400_000, 48
+NODES, DEEP = 1_500_000, 48
 
 
 class Unigram:
@@ -43,6 +44,10 @@ class Unigram:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 whole[piece] = law[i] - total
         self.pieces, self.longest = whole, max(map(len, whole))
+        self.finder = ahocorasick.Automaton()
+        for piece, score in whole.items():
+            self.finder.add_word(piece, (score, len(piece)))
+        self.finder.make_automaton()
 
     def fallback(self, char: str) -> tuple[float, int]:
         data = char.encode("utf-8", "surrogatepass")
@@ -72,41 +77,81 @@ class Unigram:
 
 
 class Trie:
-    """Nodes as [children, score, pieces, occurrences]; terminals are found again without walking."""
+    """Nodes are numbered: next holds the node below one by a character. best, pieces and times hold each node's score,
+    its number of pieces and, where a pre-token ends, how often it occurred; ends holds the nodes of whole pre-tokens (without mark)."""
 
     def __init__(self, model: Unigram) -> None:
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.root: list = [{}, 0.0, 0, 0]
-        self.ends: dict[str, list] = {}
-        self.nodes = 1
-
-    def insert(self, token: str) -> list:
-        """The node where token ends."""
-        node, best, count = self.root, [0.0], [0]
-        for end in range(1, len(token) + 1):
-            below = node[0].get(token[end - 1])
-            if below is None:
-                below = node[0][token[end - 1]] = [{}, *self.model.step(token, end, best, count), 0]
-                self.nodes += 1
-            node = below
-            best.append(node[1])
-            count.append(node[2])
-        return node
-
-    def add(self, token: str, times: int) -> tuple[float, int]:
-        """Counts occurrences of a pre-token; its score and number of pieces."""
-        node = self.ends.get(token)
-        if node is None:
-            if len(token) > DEEP:
-                return self.model.forward(token)
-            if self.nodes > NODES:
-                self.clear()
-            node = self.ends[token] = self.insert(token)
-        node[3] += times
-        return node[1], node[2]
+        self.next: dict[int, int] = {}
+        self.best, self.pieces, self.times = [0.0], [0], [0]
+        self.ends: dict[str, int] = {}
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best)
+
+    def insert(self, token: str) -> int:
+        """The node where token ends; only the part of it that no other pre-token has brought in is computed."""
+        after, at, known, path = self.next, 0, 0, [0]
+        for char in token:
+            if (below := after.get(at << 21 | ord(char))) is None:
+                break
+            at = below
+            path.append(at)
+            known += 1
+        if known < len(token):
+            best, pieces, model = self.best, self.pieces, self.model
+            top: list = [None] * (len(token) + 1)
+            for last, (score, size) in model.finder.iter(token):
+                if (end := last + 1) > known:
+                    top_ = top[end]
+                    if top_ is None:
+                        # all shorter prefixes are settled before the first piece that ends here is looked at
+                        while len(path) < end:
+                            self._settle(token, path, top)
+                        top_ = top[end] = [-math.inf, 0]
+                    if best[path[end - size]] + score > top_[0]:
+                        top_[0], top_[1] = best[path[end - size]] + score, pieces[path[end - size]] + 1
+            while len(path) <= len(token):
+                self._settle(token, path, top)
+            at = path[-1]
+        return at
+
+    def _settle(self, token: str, path: list[int], top: list) -> None:
+        """Makes the node of the next longer prefix from its best last piece, or the bytes of a character that is no piece."""
+        end = len(path)
+        score, number = top[end] or (-math.inf, 0)
+        if token[end - 1] not in self.model.pieces:
+            cost, size = self.model.fallback(token[end - 1])
+            if self.best[path[-1]] + cost > score:
+                score, number = self.best[path[-1]] + cost, self.pieces[path[-1]] + size
+        below = self.next[path[-1] << 21 | ord(token[end - 1])] = len(self.best)
+        self.best.append(score)
+        self.pieces.append(number)
+        self.times.append(0)
+        path.append(below)
+
+    def count(self, words: dict[str, int]) -> tuple[int, float]:
+        """Counts occurrences of pre-tokens; the number of pieces of them all, and their log-probability."""
+        if self.nodes > NODES:
+            self.clear()
+        ends, times, best, pieces = self.ends, self.times, self.best, self.pieces
+        total, log_prob = 0, 0.0
+        for word, n in words.items():
+            node = ends.get(word)
+            if node is None:
+                if len(word) > DEEP:
+                    score, number = self.model.forward(MARK + word)
+                    total, log_prob = total + n * number, log_prob + n * score
+                    continue
+                node = ends[word] = self.insert(MARK + word)
+            times[node] += n
+            total += n * pieces[node]
+            log_prob += n * best[node]
+        return total, log_prob
 
 
 _loaded: dict[str, Trie] = {}
@@ -131,14 +176,9 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for text in b.column("text"):
-                words = Counter(text.as_py().split())
-                tokens = total = 0
-                log_prob = 0.0
-                for word in sorted(words):  # one order for every task, so that sums are the same
-                    n = words[word]
-                    score, pieces = trie.add(MARK + word, n)
-                    tokens, total, log_prob = tokens + n * pieces, total + n, log_prob + n * score
-                out.append((total, len(words), tokens, round(log_prob, 4)))
+                words = Counter(text.as_py().split())  # in order of first occurrence, so that sums are the same anywhere
+                tokens, log_prob = trie.count(words)
+                out.append((words.total(), len(words), tokens, round(log_prob, 4)))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64())], ["doc_id", "n_pretokens", "n_distinct", "n_tokens", "log_prob"])
 

@@ -137,10 +137,14 @@ def test_token_counts_equal_plain_viterbi(frame, docs):
 
 def test_trie_shares_prefixes():
     trie = token_counts.Trie(token_counts.Unigram(public_tokenizers.path(token_counts.VOCABULARY)))
-    trie.add("▁counting", 2)
+    trie.count({"counting": 2})
     before = trie.nodes
-    trie.add("▁counted", 3)
-    assert trie.nodes == before + 2 and trie.ends["▁counting"][3] == 2 and trie.ends["▁counted"][3] == 3
+    trie.count({"counted": 3, "counting": 1})
+    assert trie.nodes == before + 2 and trie.times[trie.ends["counting"]] == 3 and trie.times[trie.ends["counted"]] == 3
+    for word in ("counting", "counted", "zz日é"):
+        score, pieces = trie.model.forward("▁" + word)
+        trie.count({word: 1})
+        assert trie.pieces[trie.ends[word]] == pieces and abs(trie.best[trie.ends[word]] - score) < 1e-9
 
 
 def test_toxicity_is_learnt_from_rows_that_are_not_held_out(spark):
