@@ -45,7 +45,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     """The bytes of one record. A revisit holds HTTP headers only; the length and digest are of the full payload."""
     block = HTTP if revisit else HTTP + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 2000-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response"]
-    lines += [f"WARC-Target-URI: {' '.join(url.split())}"] * bool(url and url.strip()) + [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
+    target = " ".join((url or "").split())  # a line break in a URL must not begin another header
+    lines += [f"WARC-Target-URI: {target}"] * bool(target) + [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}"] + [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
