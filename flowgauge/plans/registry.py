@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.plans import lean_plans, measure_plans, session_plans
+from flowgauge.plans import fold_queries, lean_plans, measure_plans, session_plans
 
 PLANS = {p.name: p for p in (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan.run for name, plan in PLANS.items()}
+    return {name: plan.run for name, plan in PLANS.items()} | fold_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
