@@ -36,8 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Records and bytes of an Arrow batch with whole texts; a session's own settings win where they differ from Spark's.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that fit beside a worker's tables, also where texts are very long."""
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, ours)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Two columns: the key as long, and the text (null: empty)."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

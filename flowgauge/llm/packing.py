@@ -30,7 +30,7 @@ CAPACITY, END = 4096, 2
 #: Tokens of remainders that a task holds before it packs them, and those it then keeps for the next round.
 HELD, KEPT = 1 << 21, 1 << 16
 #: Entries of a worker's table of words; it is halved when full. Words over LONG characters don't enter it.
-WORDS, LONG = 600_000, 64
+WORDS, LONG = 400_000, 64
 #: Output rows of a batch.
 ROWS = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

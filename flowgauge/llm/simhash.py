@@ -134,7 +134,8 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             lo, hi = _bounds(fps, len(fps))
             yield pa.RecordBatch.from_arrays([pa.array([fps.tobytes()], pa.binary()), pa.array([lo[0].tobytes() + hi[0].tobytes()], pa.binary())], ["fps", "span"])
 
-    ranged = prints.select("fp").repartitionByRange(blocks, *keys).sortWithinPartitions(*keys)
+    # coalesced too: a session that deals rows to more partitions still gets no more blocks, whose pairs grow with the square
+    ranged = prints.select("fp").repartitionByRange(blocks, *keys).coalesce(blocks).sortWithinPartitions(*keys)
     packed = cut(ranged.mapInArrow(pack, "fps binary, span binary").withColumn("block", F.monotonically_increasing_id()))
     #: One row for each block: 56 bytes for 16,384 to a million fingerprints.
     spans = sorted((r.block, r.span) for r in packed.select("block", "span").toLocalIterator())

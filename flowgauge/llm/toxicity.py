@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge.llm.common import small_batches
+
 BUCKETS, STEMS, STEM = 1 << 15, 1 << 13, 4
 DEPTH, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 #: The bound of the labelled sample: so many rows, each of at most so many characters.
@@ -38,7 +40,7 @@ class _Buckets(dict):
         code = lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass"))
         k = code(word) % BUCKETS << 32 | BUCKETS + code(word[:STEM]) % STEMS
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 250_000:
                 self.clear()
             self[word] = k
         return k
@@ -271,6 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     One row for each row of docs (doc_id, text, lang). A null or empty text has the score of no words; a null doc_id has
     held_out null. No rows: no rows. Other columns are ignored; lang chooses the threshold and never touches the score.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +291,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not predict to be toxic, with all their columns."""
+    small_batches(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     at = names.index("text")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import cut, new_folder
+from flowgauge.llm.common import cut, new_folder, small_batches
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Payloads of this many bytes or more are stored once; later equal ones are revisits.
@@ -198,6 +198,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             k += 1
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "records"])
 
+    small_batches(pages.sparkSession)
     return cut(assigned(pages).select("page_id", "url", "html", "digest", "size", "refers_to", "revisit").mapInArrow(run, "path string, records long"))
 
 
