@@ -23,7 +23,15 @@ RENAMED = (
     (r"\bcosine\((\w+\.?\w*), (\w+\.?\w*)\)", r"list_cosine_similarity(cast(\1 as double[]), cast(\2 as double[]))"),
     (r"\bunix_micros\(", "epoch_us("),
     (r"\bexplode\(", "unnest("),
-    (r"\brlike\b", "~"),
+    (r"\brlike ('.+?')", r"similar to '(?s).*(?:' || \1 || ').*'"),
+    (r"\bbround\(", "round_even("),
+    (r"\barray_join\(", "array_to_string("),
+    (r"\bsequence\(", "generate_series("),
+    (r"\btransform\(", "list_transform("),
+    (r"(?<! )\bfilter\((?!where)", "list_filter("),
+    (r"\barray_except\((.+?), (.+?)\)", r"list_filter(\1, x -> not list_contains(\2, x))"),
+    (r"\bregexp_replace\(((?:[^()']|\([^()]*\))+), ('[^']*'), ('[^']*')\)", r"regexp_replace(\1, \2, \3, 'g')"),
+    (r"\b(\w+) -> ", r"lambda \1: "),
 )
 #: Cosine in Spark's own functions.
 COSINE = "(aggregate(zip_with({0}, {1}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (a, x) -> a + x) / sqrt(aggregate({0}, cast(0 as double), (a, x) -> a + cast(x as double) * cast(x as double)) * aggregate({1}, cast(0 as double), (a, x) -> a + cast(x as double) * cast(x as double))))"

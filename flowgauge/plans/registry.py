@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.plans import fold_queries, lean_plans, measure_plans, report_plans, session_plans
+from flowgauge.plans import drift_plans, fact_plans, fold_queries, lean_plans, measure_plans, report_plans, session_plans
 
-PLANS = {p.name: p for p in (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS, *report_plans.PLANS)}
+PLANS = {p.name: p for p in (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS, *report_plans.PLANS, *fact_plans.PLANS, *drift_plans.PLANS)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
