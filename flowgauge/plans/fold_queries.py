@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions import scalars, vectorised
-from flowgauge.operators import folds
-from flowgauge.plans import lean_plans
+from flowgauge.operators import folds, intents
+from flowgauge.plans import fact_plans, lean_plans
 from flowgauge.plans.catalog import Plan
 from flowgauge.sources.feeds import feed
 from flowgauge.sources.redaction import redact_table
@@ -62,6 +62,35 @@ def p25_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed(spark, sf_dir, "c").select("session_id", "seq", F.array_join(scalars.key_terms(F.col("text")), " ").alias("terms"))
 
 
+def _timeline(turns: DataFrame) -> DataFrame:
+    return intents.intent_timeline(intents.read_prompts(turns.where("role = 'user'"), F.col("text")).select("session_id", "seq", "terms", "given_up", "turns"))
+
+
+def w34_intent_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _timeline(feed(spark, sf_dir, "c"))
+    return out.select("session_id", "seq", "relation", F.round("similarity", 4).alias("similarity"), F.array_join("intent", " ").alias("intent"))
+
+
+def d12_intent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = feed(spark, sf_dir, "c")
+    return intents.intent_drift(turns.where("role <> 'user'").select("session_id", "seq", scalars.key_terms(F.col("text")).alias("terms")), _timeline(turns))
+
+
+def k3_redundancy_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = feed(spark, sf_dir, "c").select("session_id", "seq", vectorised.embedding("text").alias("vec"))
+    return intents.prune_redundant(turns, above=0.4)
+
+
+def p13_shell_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = Plan("", f"with {fact_plans.COMMANDS} select session_id, seq, command from k").run(spark, sf_dir)
+    return lines.select("session_id", "seq", vectorised.shell_intent("command").alias("intent"))
+
+
+def p29_tool_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = feed(spark, sf_dir, "e").where("kind <> 'prompt'")
+    return calls.select("session_id", "seq", vectorised.tool_fingerprint("kind", F.to_json(F.struct("path"))).alias("fingerprint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, a36_bootstrap, s21_redacted_documents, p43_hashed_embeddings, p28_segments, p25_key_terms)
+    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, a36_bootstrap, s21_redacted_documents, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p13_shell_intents, p29_tool_fingerprints)
     return {f.__name__: f for f in found}
