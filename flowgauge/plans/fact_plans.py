@@ -13,13 +13,13 @@ b as (select *, lag(words) over w as old_words, lag(names) over w as old_names,
 s as (select session_id, seq, role, old_seq, coalesce(size(array_intersect(words, old_words)) * 1.0 / nullif(size(array_union(words, old_words)), 0), 1.0) as lexical,
   coalesce(size(array_intersect(names, old_names)) * 1.0 / nullif(size(array_union(names, old_names)), 0), 1.0) as entity,
   coalesce(size(array_intersect(actions, old_actions)) * 1.0 / nullif(size(array_union(actions, old_actions)), 0), 0.0) as action from b where old_seq is not null)"""
-#: Counts of three-character grams, and the cosine of those of a turn and of the turn of its role before.
+#: The cosine of the counts of three-character grams in a turn and in the turn of its role before. Each count is dealt once,
+#: to its own turn and to the next.
 GRAMS = """
-i as (select session_id, seq, lag(seq) over (partition by session_id, role order by seq) as old_seq, text from {c}),
-g as (select session_id, seq, gram, count(*) as k from (select session_id, seq, substr(lower(text), cast(place as int), 3) as gram from (select session_id, seq, text, explode(sequence(1, greatest(1, length(text) - 2))) as place from i) x) y group by session_id, seq, gram),
-m as (select session_id, seq, sqrt(sum(k * k)) as size from g group by session_id, seq),
-dots as (select i.session_id, i.seq, i.old_seq, sum(a.k * b.k) as dot from i join g a on a.session_id = i.session_id and a.seq = i.seq join g b on b.session_id = i.session_id and b.seq = i.old_seq and b.gram = a.gram group by i.session_id, i.seq, i.old_seq),
-cosines as (select i.session_id, i.seq, i.old_seq, coalesce(d.dot, 0) / (x.size * y.size) as semantic from i join m x on x.session_id = i.session_id and x.seq = i.seq join m y on y.session_id = i.session_id and y.seq = i.old_seq left join dots d on d.session_id = i.session_id and d.seq = i.seq)"""
+i as (select session_id, seq, lead(seq) over (partition by session_id, role order by seq) as next_seq, text from {c}),
+g as (select session_id, seq, next_seq, gram, count(*) as k from (select session_id, seq, next_seq, substr(lower(text), cast(place as int), 3) as gram from (select session_id, seq, next_seq, text, explode(sequence(1, greatest(1, length(text) - 2))) as place from i) x) y group by session_id, seq, next_seq, gram),
+h as (select session_id, case side when 0 then seq else next_seq end as seq, gram, sum(case side when 0 then k else 0 end) as k, sum(case side when 1 then k else 0 end) as old_k from (select *, explode(sequence(0, 1)) as side from g) x where side = 0 or next_seq is not null group by 1, 2, 3),
+cosines as (select session_id, seq, sum(k * old_k) / (sqrt(sum(k * k)) * sqrt(sum(old_k * old_k))) as semantic from h group by session_id, seq having sum(old_k) > 0)"""
 #: A shell line for each event.
 COMMANDS = """
 k as (select session_id, seq, case when kind = 'read' and path % 2 = 0 then concat('cat  src/m', path, '.py | head -', tokens) when kind = 'read' then concat('grep -n todo  src/m', path, '.py | tail -n 5') when kind = 'edit' and path % 3 = 0 then concat('sed -i s/a/b/ src/m', path, '.py')
