@@ -63,5 +63,9 @@ select doc_id, cast(total as bigint) as words, round(kinds * 1.0 / total, 4) as
     Plan("a24_language_dominance", """
 with n as (select source, lang, count(*) as n from {d} group by source, lang), r as (select *, row_number() over (partition by source order by n desc, lang) as r, sum(n) over (partition by source) as total from n)
 select source, lang as dominant, n, round(n * 1.0 / total, 4) as share from r where r = 1"""),
-    Plan("o1_process_order", "select session_id, first_day, place from (select session_id, cast(min(day) as varchar(10)) as first_day, row_number() over (order by min(day) nulls last, session_id) as place from {t} group by session_id) x where place <= 100"),
+    # a day's sessions are placed within it, after those of the days before: no window holds more than a day's sessions or all days
+    Plan("o1_process_order", """
+with f as (select session_id, min(day) as day from {t} group by session_id),
+b as (select day, cast(sum(count(*)) over (order by day nulls last) as bigint) - count(*) as n_before from f group by day)
+select f.session_id, cast(f.day as varchar(10)) as first_day, b.n_before + row_number() over (partition by f.day order by f.session_id) as place from f join b on b.day is not distinct from f.day"""),
 ]

@@ -56,3 +56,10 @@ def test_reports_do_not_depend_on_partitions(spark, sf_dir):
     plan, events = registry.PLANS["a15_stream_report"], feed(spark, sf_dir, "e")
     one = sorted(map(tuple, plan.apply(spark, e=events.repartition(1)).collect()))
     assert one == sorted(map(tuple, plan.apply(spark, e=events.repartition(13)).collect()))
+
+
+def test_process_order_places_every_session(spark):
+    turns = spark.range(1, 151).selectExpr("id as session_id", "case when id <> 7 then date_add(date '2024-01-01', cast(id * 7 % 5 as int)) end as day")
+    got = {r.session_id: r.place for r in registry.PLANS["o1_process_order"].apply(spark, t=turns.union(turns)).collect()}
+    order = sorted(range(1, 151), key=lambda i: (i == 7, i * 7 % 5, i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
