@@ -36,6 +36,12 @@ v as (select session_id, root, row_number() over (partition by session_id order
 #: Cues of reasoning phases and their weights.
 CUES = {"near_answer": "(therefore|so the|finally|result)", "confirming": "(check|verify|confirm|indeed)", "exploring": "(maybe|perhaps|could|alternatively|in the)", "filler": "(well|okay|hmm|let me|than)"}
 SIGNAL_CUES = ", ".join(f"regexp_count(lower(text), '{p}') as {n}" for n, p in CUES.items())
+#: Words of questions: sentences end at . ! or ? before white space, and at line ends; a point inside a word ends none.
+QUESTIONS = """
+with g as (select session_id, seq, concat({clean}, chr(10)) as text from {{c}} where role = 'user'),
+q as (select session_id, seq, {each}(regexp_extract_all(text, '[^.!?\\r\\n]*[.!?\\r\\n][ \\t\\r\\n]?', 0)) as sentence from g),
+w as (select distinct session_id, seq, word from (select session_id, seq, {each}(regexp_extract_all(sentence, '[a-z]{{4,}}', 0)) as word from q {words}) x)
+select session_id, seq, count(*) as words, min(word) as first_word, max(word) as last_word from w group by session_id, seq"""
 
 PLANS = [
     Plan("p2_quarter_tokens", "select session_id, seq, greatest(cast(1 as bigint), cast(floor(length(text) / 4.0) as bigint)) as tokens from {c}"),
@@ -54,10 +60,8 @@ select signature, count(*) as n, count(distinct session_id) as sessions from (se
     Plan("p17_output_fingerprint", "select session_id, seq, substr(sha2(regexp_replace(trim(text), '[0-9]+([.][0-9]+)?(ms|s)?', '#'), 256), 1, 16) as fingerprint from {c}"),
     Plan("p20_defined_names", """select doc_id, array_join(array_sort(array_distinct(regexp_extract_all(text, '(class|function|def|const|let|var|password|token)[ =:"]+([A-Za-z0-9_]{3,})', 2))), ' ') as names from {d} where size(regexp_extract_all(text, '(class|function|def|const|let|var|password|token)[ =:"]+([A-Za-z0-9_]{3,})', 2)) > 0"""),
     Plan("p21_source_lines", "select doc_id, size(array_distinct(filter(transform(split(text, chr(10)), x -> trim(x)), x -> x <> ''))) as lines, size(split(text, chr(10))) as raw_lines from {d} where text is not null"),
-    Plan("p23_question_words", """
-with q as (select session_id, seq, explode(regexp_extract_all(lower(text), '[^.!?]*[.!?]', 0)) as sentence from {c} where role = 'user'),
-w as (select distinct session_id, seq, word from (select session_id, seq, explode(regexp_extract_all(sentence, '[a-z]{4,}', 0)) as word from q where length(sentence) <= 80) x)
-select session_id, seq, count(*) as words, min(word) as first_word, max(word) as last_word from w group by session_id, seq"""),
+    Plan("p23_question_words", QUESTIONS.format(clean=r"regexp_replace(lower(text), '\\b[.]\\b', ' ')", each="explode", words="where sentence rlike '[?][ \\t\\r\\n]$'"),
+         duck=QUESTIONS.format(clean=r"regexp_replace(lower(text), '\b[.]\b', ' ', 'g')", each="unnest", words=r"where regexp_matches(sentence, '[?][ \t\r\n]$')")),
     Plan("p24_path_predicates", f"with {PATHS} select session_id, seq, full_path like '%.md' as is_doc, full_path like '%/src/%' as in_source, full_path like 'C:/work/lib/%' as outside from n"),
     Plan("p26_change_terms", f"with {SETS} select session_id, seq, size(array_except(words, old_words)) as added, size(array_except(old_words, words)) as removed from b where old_seq is not null"),
     Plan("p31_plain_command", f"with {COMMANDS}, x as (select session_id, seq, regexp_replace(command, '[ ]*[|][ ]*(tail|head) +-n? *[0-9]+ *$', '') as command from k) select session_id, seq, regexp_replace(command, ' +', ' ') as command from x"),

@@ -63,3 +63,14 @@ def test_process_order_places_every_session(spark):
     got = {r.session_id: r.place for r in registry.PLANS["o1_process_order"].apply(spark, t=turns.union(turns)).collect()}
     order = sorted(range(1, 151), key=lambda i: (i == 7, i * 7 % 5, i))
     assert got == {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_question_words_are_those_of_sentences_that_ask(spark):
+    long = "does the very first of these " + "quite " * 20 + "lengthy sentences count?"
+    rows = [(1, 1, "user", f"Plain words stay. {long}"), (1, 2, "user", "Where does main.config live? Done now."), (1, 3, "user", "Nothing asked\nreally here! or.there"), (1, 4, "assistant", "Does this count?"), (1, 5, "user", "stop?here then? last line\nended?"), (1, 6, "user", None)]
+    plan, turns = registry.PLANS["p23_question_words"], spark.createDataFrame(rows, "session_id long, seq long, role string, text string")
+    want = [(1, 1, 8, "count", "very"), (1, 2, 5, "config", "where"), (1, 5, 3, "ended", "then")]
+    assert sorted(map(tuple, plan.apply(spark, c=turns).collect())) == want
+    d = duckdb.connect()
+    d.execute(f"create view conversations as select session_id as conv_id, seq as turn, role, text from (values {', '.join(str(r).replace('None', 'null').replace(chr(92) + 'n', '@') for r in rows)}) v(session_id, seq, role, text)".replace("text from", "replace(text, '@', chr(10)) as text from"))
+    assert sorted(d.execute(plan.oracle).fetchall()) == want
