@@ -85,5 +85,5 @@ walk as (select session_id, cast(0 as bigint) as nth, cast(8000 as bigint) as ro
 select session_id, arg_max(taken, nth) as taken, arg_max(used, nth) as used from walk group by session_id"""),
     Plan("k12_prompt_hints", "select session_id, round(x, 4) as share, case when x >= 0.5 then 'strong' when x >= 0.25 then 'mild' else 'none' end as hint from (select session_id, sum(case when kind = 'read' then tokens else 0 end) * 1.0 / nullif(sum(tokens), 0) as x from {e} group by session_id) y"),
     Plan("t2_redelivery", "select session_id, count(*) as events, cast(sum(tokens) as bigint) as tokens from (select session_id, event_id, max(tokens) as tokens from (select session_id, event_id, tokens from {e} union all select session_id, event_id, tokens from {e} where path % 2 = 0) x group by session_id, event_id) y group by session_id"),
-    Plan("t3_prefix_snapshots", "select session_id, seq, n, failed, tokens from (select session_id, seq, count(*) over w as n, count(case when outcome = 'failed' then 1 end) over w as failed, cast(sum(tokens) over w as bigint) as tokens from {e} window w as (partition by session_id order by seq)) x where seq % 10 = 0"),
+    Plan("t3_prefix_snapshots", "select session_id, seq, n, failed, tokens from (select session_id, seq, count(*) over w as n, count(case when outcome = 'failed' then 1 end) over w as failed, cast(sum(tokens) over w as bigint) as tokens from {e} window w as (partition by session_id order by seq)) x"),
 ]

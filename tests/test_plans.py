@@ -74,3 +74,10 @@ def test_question_words_are_those_of_sentences_that_ask(spark):
     d = duckdb.connect()
     d.execute(f"create view conversations as select session_id as conv_id, seq as turn, role, text from (values {', '.join(str(r).replace('None', 'null').replace(chr(92) + 'n', '@') for r in rows)}) v(session_id, seq, role, text)".replace("text from", "replace(text, '@', chr(10)) as text from"))
     assert sorted(d.execute(plan.oracle).fetchall()) == want
+
+
+def test_snapshots_are_taken_at_every_prefix(spark):
+    rows = [(s, k, "failed" if k % 2 else None, k) for s, n in ((1, 3), (2, 12)) for k in range(1, n + 1)]
+    events = spark.createDataFrame(rows, "session_id long, seq long, outcome string, tokens long")
+    got = sorted(map(tuple, registry.PLANS["t3_prefix_snapshots"].apply(spark, e=events).collect()))
+    assert got == [(s, k, k, (k + 1) // 2, k * (k + 1) // 2) for s, k, _, _ in rows]
