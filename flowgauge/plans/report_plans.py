@@ -91,10 +91,15 @@ select session_id, seq as src, prev_seq as dst, case when outcome = 'passed' and
     Plan("g5_cooccurrence", f"""
 with {SEGMENTS}, d as (select distinct session_id, segment, path from s where kind in ('read', 'edit')), n as (select session_id, segment, count(*) as size from d group by session_id, segment)
 select a.path as src, b.path as dst, round(sum(1.0 / n.size), 4) as weight from d a join d b on a.session_id = b.session_id and a.segment = b.segment and a.path < b.path join n on n.session_id = a.session_id and n.segment = a.segment group by a.path, b.path"""),
+    # every node is a root; each step's pairs are made distinct, so that paths to one node are walked on once
     Plan("g6_reach_depth3", """
-with recursive edges as (select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path and session_id_ok = 1),
-walk as (select cast(0 as bigint) as node, 0 as depth union all select g.dst as node, w.depth + 1 as depth from walk w join edges g on g.src = w.node where w.depth < 2)
-select node, min(depth) as depth from walk group by node""".replace(" and session_id_ok = 1", "")),
+with edges as (select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path),
+one as (select src as start, dst as node from edges),
+two as (select distinct w.start, g.dst as node from one w join edges g on g.src = w.node),
+three as (select distinct w.start, g.dst as node from two w join edges g on g.src = w.node),
+walk as (select src as start, src as node, 0 as depth from edges union all select dst as start, dst as node, 0 as depth from edges
+  union all select start, node, 1 as depth from one union all select start, node, 2 as depth from two union all select start, node, 3 as depth from three)
+select start, node, min(depth) as depth from walk group by start, node"""),
     Plan("g8_stale_fragments", "select session_id, path, max(ts) as last_seen from {e} group by session_id, path having max(ts) < timestamp '2024-01-02 00:00:00'"),
     Plan("k2_fragment_scoring", "select session_id, seq, round(cosine(vec, root) * case when seq % 3 = 0 then 0.4 else 0.3 end, 4) as relevance from (select *, first_value(vec) over (partition by session_id order by seq) as root from {v}) x"),
     Plan("k8_supply_windows", f"with {SEGMENTS} select session_id, segment, min(case when kind = 'read' then seq end) as first_supply, max(seq) as window_end, count(distinct case when kind = 'read' then path end) as supplied from s group by session_id, segment having count(case when kind = 'read' then 1 end) > 0"),

@@ -81,3 +81,17 @@ def test_snapshots_are_taken_at_every_prefix(spark):
     events = spark.createDataFrame(rows, "session_id long, seq long, outcome string, tokens long")
     got = sorted(map(tuple, registry.PLANS["t3_prefix_snapshots"].apply(spark, e=events).collect()))
     assert got == [(s, k, k, (k + 1) // 2, k * (k + 1) // 2) for s, k, _, _ in rows]
+
+
+def test_reach_goes_three_steps_from_every_node(spark):
+    paths = [[0, 1, 2, 3, 4, 5], [0, 3], [5, 0]]
+    events = spark.createDataFrame([(s, k, "edit", p) for s, all_ in enumerate(paths) for k, p in enumerate(all_)], "session_id long, seq long, kind string, path long")
+    after = {a: {q[k + 1] for q in paths for k in range(len(q) - 1) if q[k] == a} for a in range(6)}
+    want = {}
+    for start in range(6):
+        level = {start}
+        for depth in range(4):
+            want |= {(start, n): depth for n in level if (start, n) not in want}
+            level = {m for n in level for m in after[n]}
+    assert want[1, 4] == 3 and (1, 5) not in want
+    assert {(r.start, r.node): r.depth for r in registry.PLANS["g6_reach_depth3"].apply(spark, e=events).collect()} == want
