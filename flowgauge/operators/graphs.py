@@ -26,3 +26,31 @@ def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
     out = reach(edges, edges.select(F.col("src").alias("node")).distinct(), longest - 1)
     back = out.join(edges, (out.node == edges.src) & (out.start == edges.dst))
     return back.select(F.col("start").alias("node")).distinct()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without what led to them: in the checkpoint folder, or with the executors where none is set (tests)."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """node and shortest, the least number of edges of a cycle through it, of every node on a cycle, however long.
+
+    All nodes walk at once, a step at a time. A pair of start and node is walked on from once, where it is first met, and
+    no more from a start that has come back; so the walk ends by itself, with at most as many steps as there are nodes.
+    """
+    edges = _cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    rim = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("length"))
+    met = rim
+    while True:
+        home = rim.where("start = node").select("start")
+        going = rim.join(home, "start", "left_anti").select("start", F.col("node").alias("src"), "length")
+        step = going.join(edges, "src").select("start", F.col("dst").alias("node"), (F.col("length") + 1).alias("length")).distinct()
+        rim = _cut(step.join(met, ["start", "node"], "left_anti"))
+        if rim.isEmpty():
+            return met.where("start = node").select("node", F.col("length").alias("shortest"))
+        met = _cut(met.unionByName(rim))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +44,13 @@ POINT = r"(?<![\w'.])(\d+\.\d+)(?![\w'.])"
 
 @dataclass(frozen=True)
 class Plan:
-    """A query over the feeds it names in braces. duck holds an oracle's text where renaming functions isn't enough."""
+    """A query over the feeds it names in braces. duck holds an oracle's text where renaming functions isn't enough; then
+    is an operator that the query's rows go through, which the oracle's text holds too."""
 
     name: str
     sql: str
     duck: str | None = None
+    then: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def feeds(self) -> list[str]:
@@ -59,7 +62,8 @@ class Plan:
         text = re.sub(POINT, r"\1D", text)
         # only the feeds' own braces are places to fill
         text = re.sub(r"\{(?!\w\})", "{{", re.sub(r"(?<!\{\w)\}", "}}", text))
-        return spark.sql(text, **frames)
+        out = spark.sql(text, **frames)
+        return self.then(out) if self.then else out
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.apply(spark, **{f: feed(spark, sf_dir, f) for f in self.feeds})

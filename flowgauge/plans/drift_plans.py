@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowgauge.operators import graphs
 from flowgauge.plans import lean_plans
 from flowgauge.plans.catalog import Plan
 
@@ -23,6 +24,8 @@ placed as (select f.session_id, f.seq, f.kind, f.path, f.tokens, case when a.pla
   from f left join area a on a.session_id = f.session_id and a.path = f.path left join rim r on r.session_id = f.session_id and r.path = f.path where f.first_edit is not null)"""
 CHECKS = "c as (select *, row_number() over (partition by session_id order by seq) as nth, lead(outcome) over w as next_outcome, lead(path) over w as next_path, lead(seq) over w as next_seq, lead(tokens) over w as next_tokens, max(case when outcome = 'passed' then seq end) over (partition by session_id) as last_pass from {e} where kind = 'check' window w as (partition by session_id order by seq))"
 ALL = lean_plans.ALL
+#: From each edited path to the one that its session edits next.
+EDIT_EDGES = "select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path"
 
 PLANS = [
     Plan("d9_unnecessary_handoff", f"with {OVERLAPS} select session_id, later as seq, 'unnecessary_handoff' as detector, round(least(0.65, 0.45 + 0.4 * max(shared * 1.0 / n)), 4) as confidence from o where shared >= 3 and shared >= 0.15 * n group by session_id, later"),
@@ -69,11 +72,10 @@ select node, max(depth) as depth from walk group by node"""),
 with recursive links as (select distinct cast(path as bigint) as node, cast(floor(path / 2.0) as bigint) as parent from {e} where path > 0),
 walk as (select node as start, node, 0 as depth from links union all select w.start, l.parent as node, w.depth + 1 as depth from walk w join links l on l.node = w.node where w.depth < 12)
 select start, count(*) as parts, max(depth) as depth, cast(sum(node) as bigint) as checksum from walk group by start"""),
-    Plan("g7_cycles", """
-with edges as (select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path),
-two as (select distinct a.src, b.dst from edges a join edges b on b.src = a.dst),
-three as (select distinct a.src, b.dst from two a join edges b on b.src = a.dst)
-select node, min(length) as shortest from (select src as node, 2 as length from two where src = dst union all select src as node, 3 as length from three where src = dst) x group by node"""),
+    Plan("g7_cycles", EDIT_EDGES, then=graphs.shortest_cycles, duck=f"""
+with recursive edges as ({EDIT_EDGES}), most as (select count(distinct src) as n from edges),
+walk as (select src as start, dst as node, 1 as length from edges union select w.start, g.dst as node, w.length + 1 as length from walk w join edges g on g.src = w.node cross join most where w.node <> w.start and w.length < most.n)
+select start as node, min(length) as shortest from walk where node = start group by start"""),
     Plan("k7_context_bundle", """
 with i as (select session_id, turn_id, tokens, row_number() over (partition by session_id order by (tokens % 97) desc, turn_id) as nth from {t}),
 b as (select session_id, aggregate(array_sort(collect_list(struct(nth, tokens))), struct(cast(8000 as bigint) as room, cast(0 as bigint) as taken, cast(0 as bigint) as used),

@@ -45,6 +45,18 @@ def test_graph_reach_and_cycles(spark):
     assert {r.node for r in graphs.cycles(edges).collect()} == {1, 2, 3}
 
 
+def test_shortest_cycles_of_any_length(spark):
+    ring = [(k, (k + 1) % 14) for k in range(14)]
+    more = [(20, 21), (21, 22), (22, 20), (21, 20), (22, 23), (23, 24), (13, 20), (30, 30), (24, None)]
+    got = {r.node: r.shortest for r in graphs.shortest_cycles(spark.createDataFrame(ring + more, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(14), 14) | {20: 2, 21: 2, 22: 3, 30: 1}
+
+
+def test_registered_cycles_are_not_cut_to_three_edges(spark):
+    events = spark.createDataFrame([(1, k, "edit", k % 6) for k in range(13)], "session_id long, seq long, kind string, path long")
+    assert {r.node: r.shortest for r in registry.PLANS["g7_cycles"].apply(spark, e=events).collect()} == dict.fromkeys(range(6), 6)
+
+
 @pytest.mark.parametrize(("command", "intent"), [("sudo pytest -q", "validate"), ("echo pytest", "explore"), ("cd x && git commit -m 'a b'", "change"), ("ls | wc -l", "explore"), ("python -m pip install x", "change"), ("A=1 uv run ruff check > out.txt", "validate"), ("unknown-tool", "other"), ("", "other"), (None, "other")])
 def test_shell_intent(spark, command, intent):
     df = spark.createDataFrame([(command,)], "c string")
