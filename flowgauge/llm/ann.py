@@ -30,13 +30,13 @@ class Index:
     """Sorted projections of a block's distinct vectors."""
 
     def __init__(self, c: np.ndarray, ids: np.ndarray, k: int) -> None:
-        # equal vectors are one point with the smallest ids of them; more than k + 1 can never be asked for
+        # equal vectors are one point with the smallest ids of them: those that any query can ask for
         order = np.lexsort((ids, *c.T))
         new = np.concatenate([[True], (c[order][1:] != c[order][:-1]).any(1)])
         first = np.nonzero(new)[0]
-        place = np.arange(len(order)) - first[np.cumsum(new) - 1]
-        self.ids = ids[order[place <= k]]
-        self.begin = np.searchsorted((np.cumsum(new) - 1)[place <= k], np.arange(len(first) + 1))
+        asked = blocks.needed(ids[order], new, k)
+        self.ids = ids[order[asked]]
+        self.begin = np.searchsorted((np.cumsum(new) - 1)[asked], np.arange(len(first) + 1))
         self.rows, self.k = c[order[first]], k
         scale = np.abs(self.rows).max(initial=0) or 1.0
         unit = self.rows / scale
@@ -86,12 +86,13 @@ class Index:
         where the last query ended, with the same outcome from any other.
         """
         known: dict[int, np.ndarray] = {}
+        mine = np.searchsorted(self.begin, np.nonzero(self.ids == own)[0], "right") - 1
 
         def enough(r: int) -> bool:
             if r not in known:
                 known[r] = self.collided(lo[r], size[r]) if r + 1 < len(lo) else np.arange(len(self.rows))
             g = known[r]
-            return len(g) >= self.enough and int((self.begin[g + 1] - self.begin[g]).sum()) > self.k
+            return len(g) >= self.enough and int((self.begin[g + 1] - self.begin[g]).sum()) - int(np.isin(mine, g).sum()) >= self.k
 
         r = self.last
         while not enough(r) and r + 1 < len(lo):

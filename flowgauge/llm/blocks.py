@@ -110,3 +110,15 @@ def order(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     else:
         near = np.arange(len(scores))
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
+def needed(ids: np.ndarray, new: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of groups of equal vectors some query can ask for: the rows that are among a group's first k once all rows
+    of one other id are left out. Rows are ordered by group and then id; new marks each group's first."""
+    count, group = np.arange(len(ids)), np.cumsum(new) - 1
+    begins = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+    run, at = np.cumsum(begins) - 1, np.nonzero(begins)[0]
+    # the most rows of one id before each id's, within its group: a running maximum that a new group always passes
+    most = np.maximum.accumulate(group[at] * (len(ids) + 1) + np.diff(np.append(at, len(ids)))) - group[at] * (len(ids) + 1)
+    before = np.where(new[at], 0, np.concatenate([[0], most[:-1]]))
+    return count - np.nonzero(new)[0][group] - before[run] < k

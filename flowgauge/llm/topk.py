@@ -51,13 +51,13 @@ def meet(k: int) -> "callable":
                 best = other[blocks.order(score[other].astype(object), ids[other], k)] if len(other) <= k else other[sorted(range(len(other)), key=lambda i: (-int(score[other[i]]), ids[other[i]]))[:k]]
                 yield n, ids[best], score[best]
             return
-        # equal rows are one candidate with the smallest ids of them; more than k + 1 can never be asked for
+        # equal rows are one candidate with the smallest ids of them: those that any query can ask for
         order = np.lexsort((ids, *c.T))
         new = np.concatenate([[True], (c[order][1:] != c[order][:-1]).any(1)])
         first = np.nonzero(new)[0]
-        place = np.arange(len(order)) - first[np.cumsum(new) - 1]
-        group = (np.cumsum(new) - 1)[place <= k]
-        kept = order[place <= k]
+        asked = blocks.needed(ids[order], new, k)
+        group = (np.cumsum(new) - 1)[asked]
+        kept = order[asked]
         rows = c[order[first]]
         begin = np.searchsorted(group, np.arange(len(rows) + 1))
         p = pivots(rows)

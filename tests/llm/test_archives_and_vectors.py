@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.llm import ann, queries, topk, warc
+from flowgauge.llm import ann, blocks, queries, topk, warc
 
 PAGES = [(1, "http://a", "x" * 99), (2, "http://a", "x" * 99), (3, "u", "é" * 50), (4, None, "é" * 50), (5, "u\r\nEvil: 1", None), (6, "u", ""), (None, "u", "é" * 50), (3, "v", "é" * 50), (9, "u", "a\r\n\r\nb" * 40), (7, "u", "long " * 100_000)]
 
@@ -112,6 +112,26 @@ def test_topk_equals_brute_force(frame, vectors):
     assert dict(grouped(topk.top(frame))) == want
 
 
+@pytest.mark.parametrize(("run", "k"), [(topk.top, 5), (ann.nearest, 20)])
+def test_query_ids_repeated_among_equal_vectors_lose_no_others(spark, run, k):
+    same, low = [0.5, 0.25], [0.25, 0.25]
+    rows = [(0, same)] * 3 + [(i, same) for i in range(1, 2 * k)] + [(100, same)] * (2 * k + 3) + [(7, same)] * 2 + [(200 + i, low) for i in range(2 * k)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = grouped(run(table, 100, k))
+    for q in (0, 100):
+        assert [i for i, _ in got[q]] == sorted(i for i, v in rows if i != q and v is same)[:k]
+
+
+def test_rows_needed_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for n, kinds, k in ((40, 12, 3), (60, 4, 5), (1, 1, 2), (80, 30, 1)):
+        ids, group = rng.integers(0, kinds, n), np.sort(rng.integers(0, 3, n))
+        ids = ids[np.lexsort((ids, group))]
+        want = {i for g in set(group) for own in range(-1, kinds) for i in [i for i in range(n) if group[i] == g and ids[i] != own][:k]}
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        assert set(np.nonzero(blocks.needed(ids, new, k))[0]) == want
+
+
 def test_nearest_has_true_scores_and_recall(frame, vectors):
     good = [(i, v) for i, v in vectors if whole(v) and any(v)]
     by = defaultdict(list)
