@@ -1,12 +1,15 @@
 """License scans by conditional compression.
 
-Candidate blocks begin at sentences that hold a cue word and are as long as the template they are compared with. Each is
-compressed by itself and with every template as Zstandard raw-content dictionary; the templates are ranked by how much
-smaller the block gets. The best few are confirmed by their exact differences in wording.
+Candidate blocks begin at sentences that hold a cue word, where a template's opening words occur near one, and as many
+words before one as the template has; they are as long as the template they are compared with, line ends and comment
+marks aside. At a sentence each is compressed by itself and with every template as Zstandard raw-content dictionary; the
+templates are ranked by how much smaller the block gets, and the best few are confirmed by their exact differences in
+wording. Elsewhere the one template that led there is confirmed.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -44,8 +47,13 @@ TEMPLATES = {
 AGREE, WINNERS = 0.8, 4
 LEVEL = 3
 CUES = ("licen", "copyright", "redistribut", "hereby granted", "public domain", "free software")
-_CUE = re.compile("|".join(CUES), re.IGNORECASE)
+#: What parts words, also across the lines of a comment.
+GAP = r"[^\w.+-]+(?:[-.+]+[^\w.+-]+)*"
+_CUE = re.compile("|".join(c.replace(" ", GAP) for c in CUES), re.IGNORECASE)
+#: A text without any of these has no cue.
+FIRST = tuple(c.split()[0] for c in CUES)
 _END = re.compile(r"\n|[.!?](?=\s)")
+_WRAP = re.compile(r"\s*\n[\s*#/;%!>|-]*")
 _WORD = re.compile(r"[\w.+-]*\w")
 #: How far before a cue its sentence may begin.
 BACK = 600
@@ -55,65 +63,115 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _phrase(some: list[str]) -> re.Pattern:
+    return re.compile(r"(?<!\w)" + GAP.join(map(re.escape, some)) + r"(?!\w)", re.IGNORECASE)
+
+
 class Scanner:
     def __init__(self) -> None:
         named = [(name, text) for name, all_ in TEMPLATES.items() for text in all_]
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = [(name, text, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in named]
-
-    def begins(self, text: str) -> list[int]:
-        """Where the sentences with a cue begin."""
-        found, last = [], -1
+        #: Each template's opening and closing words, and how many words it has before its first cue.
+        self.opening, self.closing, self.lead = {}, [], {}
+        for at, (_, text, wanted, _) in enumerate(self.templates):
+            self.opening.setdefault(_phrase(wanted[:2]), []).append(at)
+            self.closing.append(_phrase(wanted[-2:]))
+            if cue := _CUE.search(text):
+                self.lead.setdefault(sum(m.end() <= cue.start() for m in _WORD.finditer(text)), []).append(at)
+
+    def begins(self, text: str) -> dict[int, set[int] | None]:
+        """Where blocks begin, and the templates to compare there: all (None) where a sentence with a cue begins."""
+        found: dict[int, set[int] | None] = {}
+        near: list[list[int]] = []
         for cue in _CUE.finditer(text):
             low = max(0, cue.start() - BACK)
             ends = [m.end() for m in _END.finditer(text, low, cue.start())]
             begin = ends[-1] if ends else low
             while begin < cue.start() and text[begin].isspace():
                 begin += 1
-            if begin > last:
-                found.append(begin)
-                last = begin
+            found[begin] = None
+            # the words before the cue's own, last first
+            before = [m.start() for m in _WORD.finditer(text, low, cue.end())][::-1]
+            own = sum(s >= cue.start() for s in before)
+            for n, which in self.lead.items():
+                # a cue may begin inside a word: its word counts as none before it
+                for k in {own - 1 + n, own + n}:
+                    if 0 <= k < len(before):
+                        self._add(found, before[k], which)
+            if near and low <= near[-1][1]:
+                near[-1][1] = cue.end()
+            else:
+                near.append([low, cue.end()])
+        for low, high in near:
+            for opening, which in self.opening.items():
+                for m in opening.finditer(text, low, min(len(text), high + 100)):
+                    self._add(found, m.start(), which)
         return found
 
-    def block(self, text: str, begin: int, size: int) -> str:
-        """Text from begin on: through the sentence's end that lies nearest to size characters."""
-        ends = [m.end() for m in _END.finditer(text, begin, min(len(text), begin + size + size // 2 + 40))]
-        if begin + size + size // 2 + 40 >= len(text):
-            ends.append(len(text))
-        end = min(ends, key=lambda e: (abs(e - begin - size), e)) if ends else begin + size
+    @staticmethod
+    def _add(found: dict[int, set[int] | None], begin: int, which: list[int]) -> None:
+        if found.get(begin, which) is not None:
+            found.setdefault(begin, set()).update(which)
+
+    def block(self, text: str, begin: int, at: int) -> str:
+        """Text from begin on, through that end of a sentence, a line or the template's wording which lies nearest to its size."""
+        size = len(self.templates[at][1])
+        high = min(len(text), begin + size + size // 2 + 40)
+        ends = {m.end() for m in _END.finditer(text, begin, high)}
+        ends |= {m.end() for m in self.closing[at].finditer(text, begin, high) if text[m.end() : m.end() + 1] not in (".", "!", "?")}
+        if high == len(text):
+            ends.add(high)
+        # a line's end counts as one character, with the marks of a comment
+        wraps = [(m.end(), m.end() - m.start() - 1) for m in _WRAP.finditer(text, begin, high)]
+        away = lambda e: abs(e - begin - size - sum(n for w, n in wraps if w <= e))
+        end = min(ends, key=lambda e: (away(e), e)) if ends else begin + size
         return text[begin:end].rstrip()
 
-    def judge(self, text: str, begin: int) -> tuple | None:
+    def judge(self, text: str, begin: int, only: set[int] | None) -> tuple | None:
         """The confirmed license of the blocks at begin: end, name, size reduction, agreement, words missing, words added, differences."""
         ranked, sizes = [], {}
-        for at, (name, template, _, packer) in enumerate(self.templates):
-            block = self.block(text, begin, len(template))
-            if not block:
-                continue
+
+        def reduction(block: str, at: int) -> float:
             data = block.encode("utf-8", "surrogatepass")
             alone = sizes.get(block) or sizes.setdefault(block, len(self.plain.compress(data)))
-            ranked.append((1 - len(packer.compress(data)) / alone, -at, block))
+            return 1 - len(self.templates[at][3].compress(data)) / alone
+
+        for at in range(len(self.templates)) if only is None else sorted(only):
+            block = self.block(text, begin, at)
+            if block:
+                ranked.append((reduction(block, at) if only is None else 0.0, -at, block))
         best = None
-        for cut, at, block in sorted(ranked, reverse=True)[:WINNERS]:
+        for cut, at, block in sorted(ranked, reverse=True)[: WINNERS if only is None else None]:
             name, _, wanted, _ = self.templates[-at]
             have = words(block)
             matcher = SequenceMatcher(None, wanted, have, autojunk=False)
+            if matcher.real_quick_ratio() < AGREE or matcher.quick_ratio() < AGREE:
+                continue
             agree = matcher.ratio()
             if agree < AGREE or best and (best[3], best[0]) >= (agree, begin + len(block)):
                 continue
+            cut = cut if only is None else reduction(block, -at)
             changes = [(wanted[a:b], have[c:d]) for op, a, b, c, d in matcher.get_opcodes() if op != "equal"]
             best = (begin + len(block), name, cut, agree, sum(len(x) for x, _ in changes), sum(len(y) for _, y in changes), "; ".join(f"{' '.join(x)} -> {' '.join(y)}" for x, y in changes))
         return best
 
     def scan(self, text: str) -> Iterator[tuple]:
         low = text.lower()
-        if not any(c in low for c in CUES):
+        if not any(c in low for c in FIRST):
             return
-        upto = 0
-        for begin in self.begins(text):
-            if begin >= upto and (found := self.judge(text, begin)):
-                yield begin, *found
-                upto = found[0]
+        # of notices that overlap, the one with the most words in agreement, and then the closest
+        found = []
+        for begin, only in self.begins(text).items():
+            if hit := self.judge(text, begin, only):
+                have = len(words(text[begin : hit[0]]))
+                found.append((-(have - hit[5]), -hit[3], begin, hit))
+        kept: list[tuple] = []
+        for _, _, begin, hit in sorted(found):
+            k = bisect.bisect(kept, (begin,))
+            if (not k or kept[k - 1][1] <= begin) and (k == len(kept) or kept[k][0] >= hit[0]):
+                kept.insert(k, (begin, *hit))
+        yield from kept
 
 
 def scan(docs: DataFrame) -> DataFrame:
