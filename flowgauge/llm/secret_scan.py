@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: base patterns, and two character Markov models for what they miss.
 
 The models, of random strings and of ordinary identifiers, are counts of character pairs in labelled samples, smoothed
-by one; a long token that holds a digit is a secret where the log-likelihood ratio per character passes a threshold.
+by one; a long token that holds a digit is a secret where the log-likelihood ratio per character passes a threshold. Of
+a token that does not pass as a whole, the runs that do are secrets, each with what is left of the parts that it touches.
 Matches are placed by splitting the text at them: the lengths of pieces and matches add up to positions. Prefix sums
 run in two levels, so that a text with very many matches takes n^1.5 steps and not n^2.
 """
@@ -19,6 +20,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDE = len(ALPHABET) + 1
 #: Tokens the models judge, and the log-likelihood ratio per character pair from which one is a secret.
 TOKEN, LEAST_RATIO = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0.6
+#: Least characters of a random run inside a token, and how far its excess over the threshold may fall before it ends.
+LEAST_RUN, DROP = 16, 6.0
 #: The bound of the labelled sample: random strings made by rule, and words of ordinary text.
 RANDOM_ROWS, WORD_ROWS = 2000, 20_000
 KINDS = ("assign", "access", "hex", "markov")
@@ -102,12 +105,35 @@ def ratio(token: Column, model: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
+def runs(token: Column, model: Column) -> Column:
+    """The runs of a token that pass the threshold and hold a digit, out to the next =, / or _: array<struct<from int, to int>>."""
+    spot = lambda i: F.call_function("locate", F.substr(token, i, F.lit(1)), F.lit(ALPHABET))
+    state = lambda total, start, best, end, out: F.struct(total.alias("sum"), start.alias("from"), best.alias("best"), end.alias("to"), out.alias("out"))
+    closed = lambda a: F.when(a["to"] - a["from"] >= LEAST_RUN, F.concat(a["out"], F.array(F.struct(a["from"].alias("from"), a["to"].alias("to"))))).otherwise(a["out"])
+    begin = state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.expr("cast(array() as array<struct<from: int, to: int>>)"))
+
+    def step(a: Column, i: Column) -> Column:
+        ended = lambda s: (s <= 0) | (s < a["best"] - DROP)
+        goes_on = lambda s: state(s, a["from"], F.greatest(a["best"], s), F.when(s > a["best"], i + 1).otherwise(a["to"]), a["out"])
+        return let(a["sum"] + F.element_at(model, spot(i) * WIDE + spot(i + 1) + 1) - LEAST_RATIO, lambda s: F.when(ended(s), state(F.lit(0.0), i, F.lit(0.0), i, closed(a))).otherwise(goes_on(s)))
+
+    def whole(r: Column) -> Column:
+        before = F.regexp_extract(F.substr(token, F.lit(1), r["from"]), "[^=/_]*$", 0)
+        after = F.regexp_extract(F.substr(token, r["to"] + 1, F.length(token)), "^[^=/_]*", 0)
+        return F.struct((r["from"] - F.length(before)).alias("from"), (r["to"] + F.length(after)).alias("to"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), begin, step, closed)
+    return F.filter(F.array_distinct(F.transform(found, whole)), lambda r: F.substr(token, r["from"] + 1, r["to"] - r["from"]).rlike("[0-9]"))
+
+
 def spans(text: Column, model: list[float]) -> Column:
     """All spans of a text, by start and then kind: array<struct<start int, kind int, end int>>."""
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
     shape = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["text"])).alias("end"))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 8)
-    random = F.filter(matches(text, TOKEN), lambda m: m["text"].rlike("[0-9]") & (ratio(m["text"], table) >= LEAST_RATIO))
+    # a token that passes is one span; of another its runs are
+    parts = lambda m: F.when(ratio(m["text"], table) >= LEAST_RATIO, F.array(m)).otherwise(F.transform(runs(m["text"], table), lambda r: F.struct((m["start"] + r["from"]).alias("start"), F.substr(m["text"], r["from"] + 1, r["to"] - r["from"]).alias("text"))))
+    random = F.flatten(F.transform(F.filter(matches(text, TOKEN), lambda m: m["text"].rlike("[0-9]")), parts))
     return F.array_sort(F.concat(*(F.transform(found, shape(k)) for k, found in enumerate((assign, matches(text, ACCESS), matches(text, HEX), random)))))
 
 

@@ -263,6 +263,18 @@ def test_secret_spans_equal_python(spark, frame, docs, sf_dir):
     assert got[10_007][0].n_markov == 1 and got[10_009][0].n_markov == 0
 
 
+def test_random_values_after_names_and_paths_are_secrets(spark, sf_dir):
+    model = secret_scan.fit(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rng, chars = np.random.default_rng(8), list(secret_scan.ALPHABET[:62])
+    leads = ["https://hooks.example.com/services/incoming/", "database_connection_string_key=", "storage_account_shared_key="]
+    values = [(k, lead, "".join(rng.choice(chars, 32))) for k, lead in enumerate(leads * 40)]
+    rows = [(k, f"so it is {lead}{value} there") for k, lead, value in values] + [(1000, "the/path/of/page_2024/other_words_2021/in/a_long_list/12")]
+    got = {r.doc_id: r.text for r in secret_scan.mask(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for n, lead in enumerate(leads):
+        assert sum(v not in got[k] for k, _, v in values[n::3]) >= 36, lead
+    assert got[1000] == rows[-1][1]
+
+
 def test_mask_takes_secrets_out(spark, sf_dir):
     model = secret_scan.fit(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     docs = spark.createDataFrame([(i, t, 99) for i, t in PLANTED], "doc_id long, text string, n_chars long")
