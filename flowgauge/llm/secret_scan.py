@@ -1,10 +1,11 @@
 """Secret scans with DataFrame functions only: base patterns, and two character Markov models for what they miss.
 
 The models, of random strings and of ordinary identifiers, are counts of character pairs in labelled samples, smoothed
-by one; a long token that holds a digit is a secret where the log-likelihood ratio per character passes a threshold. Of
-a token that does not pass as a whole, the runs that do are secrets, each with what is left of the parts that it touches.
-Matches are placed by splitting the text at them: the lengths of pieces and matches add up to positions. Prefix sums
-run in two levels, so that a text with very many matches takes n^1.5 steps and not n^2.
+by one. A long token is a secret where the log-likelihood ratio per character pair passes a threshold, which other
+samples of the same kinds set. Of a token that does not pass as a whole, the runs that do are secrets, each with what is
+left of the parts that it touches. Matches are placed by splitting the text at them: the lengths of pieces and matches
+add up to positions. A token is cut into its characters once, and all sums and folds run in two levels (runs of RUN
+elements, and these), so that neither a very long token nor very many matches take n^2 steps.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDE = len(ALPHABET) + 1
-#: Tokens the models judge, and the log-likelihood ratio per character pair from which one is a secret.
-TOKEN, LEAST_RATIO = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0.6
-#: Least characters of a random run inside a token, and how far its excess over the threshold may fall before it ends.
-LEAST_RUN, DROP = 16, 6.0
-#: The bound of the labelled sample: random strings made by rule, and words of ordinary text.
-RANDOM_ROWS, WORD_ROWS = 2000, 20_000
+#: Tokens the models judge.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Least characters of a random run inside a token, the excess over the threshold that it must gather, and how far this
+#: may fall before the run ends.
+LEAST_RUN, EVIDENCE, DROP = 16, 8.0, 6.0
+#: The bound of the labelled sample: random strings made by rule, and words of ordinary text. Every CHECK_EVERY-th is kept
+#: from the counts and sets the threshold, where a false alarm weighs as much as ALARM missed secrets.
+RANDOM_ROWS, WORD_ROWS, CHECK_EVERY, ALARM = 4000, 20_000, 4, 10
+#: Elements that sums and folds take at once, and characters that a token is cut into at once.
+RUN, PIECE = 256, 4096
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns (of a match of the first, group 2 must have 8 characters; a match of the others is as
 #: long as it can be, so that the least length may stand in the pattern).
@@ -47,11 +52,31 @@ def _running(numbers: Column, first: Column) -> Column:
     return F.aggregate(numbers, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-def starts(lengths: Column, run: int = 256) -> Column:
+def in_runs(elements: Column, run: int = RUN) -> Column:
+    """The elements in arrays of at most run; elements isn't empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(elements) - 1) / run).cast("int")), lambda k: F.slice(elements, k * run + 1, run))
+
+
+def starts(lengths: Column) -> Column:
     """The sum of all elements before each one; lengths isn't empty."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / run).cast("int")), lambda k: F.slice(lengths, k * run + 1, run))
     parts = lambda r: let(_running(F.transform(r, lambda x: _sum(x, F.lit(0))), F.lit(0)), lambda base: F.flatten(F.transform(r, lambda x, k: F.slice(_running(x, base[k]), 1, F.size(x)))))
-    return let(runs, parts)
+    return let(in_runs(lengths), parts)
+
+
+def fold(elements: Column, begin: Column, put: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A struct of the last state (s) and all that was put out (out), an array of the type put. step takes a state and an
+    element and gives the next state and an array to put out; elements isn't empty."""
+    none = F.expr(f"cast(array() as array<{put}>)")
+
+    def one(a: Column, x: Column) -> Column:
+        state, new = step(a["s"], x)
+        return F.struct(state.alias("s"), F.when(F.size(new) > 0, F.concat(a["out"], new)).otherwise(a["out"]).alias("out"))
+
+    def some(a: Column, run: Column) -> Column:
+        return let(F.aggregate(run, F.struct(a["s"].alias("s"), none.alias("out")), one), lambda r: F.struct(r["s"].alias("s"), F.concat(a["outs"], F.array(r["out"])).alias("outs")))
+
+    outs = F.expr(f"cast(array() as array<array<{put}>>)")
+    return let(F.aggregate(in_runs(elements), F.struct(begin.alias("s"), outs.alias("outs")), some), lambda a: F.struct(a["s"].alias("s"), F.flatten(a["outs"]).alias("out")))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -75,55 +100,89 @@ def _pairs(words: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def samples(spark: SparkSession, ordinary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled samples: random strings (base64 and hexadecimal digests of numbers), and identifiers made of the words of
-    ordinary (text), plain and joined in the usual ways; words are drawn by hash, WORD_ROWS at most."""
+    """Labelled samples (word, check): random strings (digests of numbers in base64 and hexadecimal, mixed and in capitals,
+    with and without digits), and identifiers made of the words of ordinary (text), plain and joined in the usual ways, and
+    lines of one character or of a few digits; words are drawn by hash, WORD_ROWS at most. check marks what is kept from
+    the counts."""
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    shape = F.col("id") % 4
-    random = spark.range(RANDOM_ROWS).select(F.when(shape == 0, digest).when(shape == 1, F.upper(F.translate(F.base64(F.unhex(digest)), "+/=", "XYZ"))).otherwise(F.base64(F.unhex(digest))).alias("word"))
+    shape, mixed = F.col("id") % 5, F.base64(F.unhex(digest))
+    kinds = F.when(shape == 0, digest).when(shape == 1, F.upper(F.translate(mixed, "+/=", "XYZ"))).when(shape == 2, F.regexp_replace(mixed, "[^A-Za-z]", "")).otherwise(mixed)
+    random = spark.range(RANDOM_ROWS).select(kinds.alias("word"), (F.pmod(F.floor(F.col("id") / 5), F.lit(CHECK_EVERY)) == 0).alias("check"))
     words = ordinary.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(WORD_ROWS)
-    number = F.pmod(F.xxhash64("w"), F.lit(2030)).cast("string")
-    joined = F.array(F.col("w"), F.lower("w"), F.upper("w"), F.concat_ws("_", "w", "w", number), F.concat_ws("-", "w", "w"), F.concat_ws("/", "w", "w", number), F.concat("w", F.initcap("w")), F.concat("w", number), F.concat(F.lit("page="), "w"))
-    return random, words.select(F.explode(joined).alias("word"))
+    n = F.pmod(F.xxhash64("w"), F.lit(2030))
+    number, line = n.cast("string"), lambda c: F.repeat(c, 24)
+    sign = F.substr(F.lit("-=_+/0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz"), (n % 67 + 1).cast("int"), F.lit(1))
+    joined = [F.col("w"), F.lower("w"), F.upper("w"), F.concat_ws("_", "w", "w", number), F.concat_ws("-", "w", "w"), F.concat_ws("/", "w", "w", number), F.concat("w", F.initcap("w")), F.concat("w", number), F.concat(F.lit("page="), "w"), line(F.substr("w", F.lit(1), F.lit(1))), line(sign), F.substr(F.lit("01234567890123456789012345678901234567890"), (n % 10 + 1).cast("int"), F.lit(24))]
+    # those that are checked are as long as the tokens that are judged
+    long = [F.concat_ws(sep, "w", "w", "w", "w", "w", "w", "w", "w", "w", "w") for sep in ("", "_", "-", "/")]
+    check = F.pmod(F.xxhash64("w", F.lit(1)), F.lit(CHECK_EVERY)) == 0
+    return random, words.select(F.explode(F.when(check, F.array(*long)).otherwise(F.array(*joined))).alias("word"), check.alias("check"))
 
 
 def fit(spark: SparkSession, ordinary: DataFrame) -> list[float]:
-    """The log-likelihood ratios of all pairs of characters, WIDE^2 of them (0 where a character is not in ALPHABET)."""
-    random, plain = (_pairs(x) for x in samples(spark, ordinary))
+    """What the log-likelihood ratios of all pairs of characters, WIDE^2 of them, exceed the threshold by (0 less the
+    threshold where a character is not in ALPHABET)."""
+    both = samples(spark, ordinary)
+    random, plain = (_pairs(x.where("not check")) for x in both)
 
     def logs(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
         rows = {a: sum(counts.get((a, b), 0) for b in ALPHABET) for a in ALPHABET}
         return {(a, b): math.log((counts.get((a, b), 0) + 1) / (rows[a] + len(ALPHABET))) for a in ALPHABET for b in ALPHABET}
 
     up, down = logs(random), logs(plain)
-    return [0.0 if not a or not b else round(up[a, b] - down[a, b], 6) for a in ["", *ALPHABET] for b in ["", *ALPHABET]]
+    model = [0.0 if not a or not b else round(up[a, b] - down[a, b], 6) for a in ["", *ALPHABET] for b in ["", *ALPHABET]]
+    limit = threshold(*both, model)
+    return [round(x - limit, 6) for x in model]
 
 
-def ratio(token: Column, model: Column) -> Column:
-    """The log-likelihood ratio per pair of a token of two or more characters."""
-    spot = lambda i: F.call_function("locate", F.substr(token, i, F.lit(1)), F.lit(ALPHABET))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.element_at(model, spot(i) * WIDE + spot(i + 1) + 1))
-    return total / (F.length(token) - 1)
-
-
-def runs(token: Column, model: Column) -> Column:
-    """The runs of a token that pass the threshold and hold a digit, out to the next =, / or _: array<struct<from int, to int>>."""
-    spot = lambda i: F.call_function("locate", F.substr(token, i, F.lit(1)), F.lit(ALPHABET))
-    state = lambda total, start, best, end, out: F.struct(total.alias("sum"), start.alias("from"), best.alias("best"), end.alias("to"), out.alias("out"))
-    closed = lambda a: F.when(a["to"] - a["from"] >= LEAST_RUN, F.concat(a["out"], F.array(F.struct(a["from"].alias("from"), a["to"].alias("to"))))).otherwise(a["out"])
-    begin = state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.expr("cast(array() as array<struct<from: int, to: int>>)"))
-
-    def step(a: Column, i: Column) -> Column:
-        ended = lambda s: (s <= 0) | (s < a["best"] - DROP)
-        goes_on = lambda s: state(s, a["from"], F.greatest(a["best"], s), F.when(s > a["best"], i + 1).otherwise(a["to"]), a["out"])
-        return let(a["sum"] + F.element_at(model, spot(i) * WIDE + spot(i + 1) + 1) - LEAST_RATIO, lambda s: F.when(ended(s), state(F.lit(0.0), i, F.lit(0.0), i, closed(a))).otherwise(goes_on(s)))
-
-    def whole(r: Column) -> Column:
-        before = F.regexp_extract(F.substr(token, F.lit(1), r["from"]), "[^=/_]*$", 0)
-        after = F.regexp_extract(F.substr(token, r["to"] + 1, F.length(token)), "^[^=/_]*", 0)
-        return F.struct((r["from"] - F.length(before)).alias("from"), (r["to"] + F.length(after)).alias("to"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), begin, step, closed)
-    return F.filter(F.array_distinct(F.transform(found, whole)), lambda r: F.substr(token, r["from"] + 1, r["to"] - r["from"]).rlike("[0-9]"))
+def threshold(random: DataFrame, plain: DataFrame, model: list[float]) -> float:
+    """The ratio with the least errors on the checked samples, tokens of 20 to 40 characters: between two hundredths, the
+    middle of the best range. At most some thousand counts come to the driver."""
+    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    token, cut = F.substr("word", F.lit(1), F.lit(20) + F.pmod(F.xxhash64("word"), F.lit(21)).cast("int")), F.col("cut")
+    found: list[dict[int, int]] = []
+    for rows in (random, plain):
+        long = rows.where("check and length(word) >= 20").select(token.alias("cut"))
+        mean = let(excess(cut, table), lambda s: _sum(s, F.lit(0.0)) / F.size(s))
+        found.append({r["at"]: r["n"] for r in long.groupBy(F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), mean)) * 100).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()})
+    up, down = found
+    total = [max(1, sum(x.values())) for x in found]
+    cost = {t: sum(n for k, n in up.items() if k < t) / total[0] + ALARM * sum(n for k, n in down.items() if k >= t) / total[1] for t in range(-200, 301)}
+    best = [t for t in cost if cost[t] <= min(cost.values()) + 1e-12]
+    return (best[0] + best[-1]) / 200
+
+
+def excess(token: Column, model: Column) -> Column:
+    """The model's value of each pair of neighbours in a token of two or more characters."""
+    place = lambda piece: F.transform(F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0)), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    numbers = F.flatten(F.transform(F.regexp_extract_all(token, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), place))
+    return let(numbers, lambda n: F.zip_with(F.slice(n, 1, F.size(n) - 1), F.slice(n, 2, F.size(n) - 1), lambda a, b: F.element_at(model, a * WIDE + b + 1)))
+
+
+def runs(token: Column, scores: Column) -> Column:
+    """The runs of a token whose scores pass, out to the next =, / or _: array<struct<from int, to int>>."""
+    state = lambda total, start, best, end, at: F.struct(total.alias("sum"), start.alias("from"), best.alias("best"), end.alias("to"), at.alias("at"))
+    none = F.expr("cast(array() as array<struct<from: int, to: int>>)")
+    closed = lambda a: F.when((a["to"] - a["from"] >= LEAST_RUN) & (a["best"] >= EVIDENCE), F.array(F.struct(a["from"].alias("from"), a["to"].alias("to")))).otherwise(none)
+
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        # at: the place of the pair's first character; a run ends behind the pair's second one
+        total, after = a["sum"] + x, a["at"] + 1
+        ended = (total <= 0) | (total < a["best"] - DROP)
+        goes_on = state(total, a["from"], F.greatest(a["best"], total), F.when(total > a["best"], after + 1).otherwise(a["to"]), after)
+        return F.when(ended, state(F.lit(0.0), after, F.lit(0.0), after, after)).otherwise(goes_on), F.when(ended, closed(a)).otherwise(none)
+
+    found = let(fold(scores, state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0)), "struct<from: int, to: int>", step), lambda r: F.concat(r["out"], closed(r["s"])))
+    # each character's part begins and ends here, the mark behind a part being its own
+    lengths = F.transform(F.split(token, "[=/_]", -1), F.length)
+    begins = lambda n: F.flatten(F.zip_with(starts(F.transform(n, lambda x: x + 1)), n, lambda s, x: F.array_repeat(s, x + 1)))
+    ends = lambda n: F.flatten(F.zip_with(starts(F.transform(n, lambda x: x + 1)), n, lambda s, x: F.array_repeat(s + x, x + 1)))
+
+    def widened(r: Column) -> Column:
+        wide = let(lengths, lambda n: let(F.struct(begins(n).alias("b"), ends(n).alias("e")), lambda p: F.transform(r, lambda x: F.struct(F.least(x["from"], F.element_at(p["b"], x["from"] + 1)).alias("from"), F.greatest(x["to"], F.element_at(p["e"], x["to"])).alias("to")))))
+        return let(wide, lambda w: F.filter(w, lambda x, k: (k == 0) | (x != F.element_at(w, F.greatest(k, F.lit(1))))))
+
+    return let(found, lambda r: F.when(F.size(r) > 0, widened(r)).otherwise(none))
 
 
 def spans(text: Column, model: list[float]) -> Column:
@@ -132,9 +191,10 @@ def spans(text: Column, model: list[float]) -> Column:
     shape = lambda k: lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.length(m["text"])).alias("end"))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 8)
     # a token that passes is one span; of another its runs are
-    parts = lambda m: F.when(ratio(m["text"], table) >= LEAST_RATIO, F.array(m)).otherwise(F.transform(runs(m["text"], table), lambda r: F.struct((m["start"] + r["from"]).alias("start"), F.substr(m["text"], r["from"] + 1, r["to"] - r["from"]).alias("text"))))
-    random = F.flatten(F.transform(F.filter(matches(text, TOKEN), lambda m: m["text"].rlike("[0-9]")), parts))
-    return F.array_sort(F.concat(*(F.transform(found, shape(k)) for k, found in enumerate((assign, matches(text, ACCESS), matches(text, HEX), random)))))
+    kind = F.lit(KINDS.index("markov"))
+    parts = lambda m: let(excess(m["text"], table), lambda s: F.when(_sum(s, F.lit(0.0)) >= 0, F.array(shape(KINDS.index("markov"))(m))).otherwise(F.transform(runs(m["text"], s), lambda r: F.struct((m["start"] + r["from"]).alias("start"), kind.alias("kind"), (m["start"] + r["to"]).alias("end")))))
+    random = F.flatten(F.transform(matches(text, TOKEN), parts))
+    return F.array_sort(F.concat(*(F.transform(found, shape(k)) for k, found in enumerate((assign, matches(text, ACCESS), matches(text, HEX)))), random))
 
 
 def _joined(found: Column) -> Column:
@@ -162,9 +222,15 @@ def mask(docs: DataFrame, model: list[float]) -> DataFrame:
     found = spans(F.coalesce(text, F.lit("")), model)
 
     def rebuilt(s: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-        step = lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit(MASK)))).otherwise(a["out"]).alias("out")))
-        return let(F.aggregate(s, begin, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text))))
+        # pieces between spans that don't overlap, each cut from the block of text that RUN of them lie in
+        def step(a: Column, x: Column) -> tuple[Column, Column]:
+            none = F.expr("cast(array() as array<struct<from: int, to: int>>)")
+            return F.greatest(a, x["end"]), F.when(x["start"] >= a, F.array(F.struct(a.alias("from"), x["start"].alias("to")))).otherwise(none)
+
+        last = lambda r: F.element_at(r, -1)["to"]
+        block = lambda r: let(F.substr(text, r[0]["from"] + 1, last(r) - r[0]["from"]), lambda t: F.transform(r, lambda p: F.substr(t, p["from"] - r[0]["from"] + 1, p["to"] - p["from"])))
+        pieces = lambda a: F.flatten(F.transform(in_runs(a["out"]), block))
+        return let(fold(s, F.lit(0), "struct<from: int, to: int>", step), lambda a: F.concat(F.array_join(pieces(a), MASK), F.lit(MASK), F.substr(text, a["s"] + 1, F.length(text))))
 
     new = let(found, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(text))
     names, pair = docs.columns, "masked text"
