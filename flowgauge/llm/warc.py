@@ -28,6 +28,8 @@ LEAST_REVISIT = 100
 #: An archive is closed at this many uncompressed bytes; the dictionary is trained on at most SAMPLE bytes of its first records.
 ROTATE, SAMPLE, DICTIONARY = 64 << 20, 1 << 20, 16 << 10
 LEVEL = 3
+#: A payload is hot if its rows are this part of all rows whose payload occurs more than once: there are at most HOT of them.
+HOT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -146,12 +148,23 @@ def read_archive(source: io.RawIOBase) -> Iterator[bytes]:
 
 def assigned(pages: DataFrame) -> DataFrame:
     """Each page with its payload's digest and size and, where an equal payload of LEAST_REVISIT bytes or more has a
-    smaller page_id, revisit (true) and refers_to. Only digests are grouped; a hot digest's rows meet one row in a join."""
+    smaller page_id, revisit (true) and refers_to. A revisit of a hot payload has no html any more.
+
+    Only digests are grouped. Payloads that hold 1 in HOT or more of all repeated rows, and so at most HOT of them, are
+    broadcast: their rows are decided where they are read, lose the html that a revisit doesn't store, and are dealt out by
+    page_id. The other rows meet their payload's one row by digest.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
-    again = base.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first")
-    revisit = F.col("again").isNotNull() & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return base.join(again, F.col("digest") == F.col("again"), "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("again", "first")
+    again = cut(base.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null"))
+    least = (again.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = again.where(F.col("n") >= least).select(F.col("digest").alias("hot"), F.col("first").alias("hot_first"))
+    later = lambda first: F.coalesce(F.col(first).isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col(first))), F.lit(False))
+    known = base.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left").withColumn("html", F.when(~later("hot_first"), F.col("html")))
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat_ws(":", F.lit("page"), F.col("page_id").cast("string")))
+    rest = again.where(F.col("n") < least).select(F.col("digest").alias("again"), F.col("first"))
+    met = known.withColumn("key", key).join(rest.hint("shuffle_hash"), F.col("key") == F.col("again"), "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return met.withColumn("revisit", later("first")).withColumn("refers_to", F.when(F.col("revisit"), F.col("first"))).drop("again", "first", "hot", "hot_first", "key")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -172,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
                     for page_id, url, html, digest, size, refers_to, revisit in zip(*(part.column(c).to_pylist() for c in names)):
-                        yield record(page_id, url, html.encode(), digest, size, refers_to, revisit)
+                        yield record(page_id, url, b"" if revisit else html.encode(), digest, size, refers_to, revisit)
 
         source, k, ahead = records(), 0, next
         pending = ahead(source, None)

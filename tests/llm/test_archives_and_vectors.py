@@ -37,6 +37,17 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_hot_payloads_are_decided_as_any_others(spark, tmp_path, monkeypatch):
+    # 3 hot payloads at most: one of two thirds of the rows, one whose rows all have one id, one whose ids are null but for two
+    rows = [(k, "u", "hot " * 40) for k in range(600, 0, -1)] + [(7, "u", "same id " * 20)] * 200
+    rows += [(None, None, "no id " * 30)] * 150 + [(9, "u", "no id " * 30), (8, "u", "no id " * 30)] + [(1000 + k, "u", f"pair {k % 10} " * 20) for k in range(20)]
+    rows += [(2000, "u", "x" * 3_000_000), (2001, "u", "x" * 3_000_000)]
+    for hot in (3, 1000):
+        monkeypatch.setattr(warc, "HOT", hot)
+        pages = spark.createDataFrame([(*r, "mine", "x") for r in rows], "page_id long, url string, html string, first string, hot string").repartition(4)
+        assert Counter(map(tuple, warc.round_trip(pages, f"file://{tmp_path}/{hot}").collect())) == page_rows(rows)
+
+
 def archive(payloads, **more):
     out = io.BytesIO()
     records = [warc.record(k, "u", p, hashlib.sha256(p).hexdigest(), len(p), None, False) for k, p in enumerate(payloads)]
