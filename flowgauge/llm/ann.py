@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by collision counting.
 
 Every vector is lifted to the length of the longest (one more component), so that the largest inner product is the
-nearest point. HASHES random directions project the points of a block; each direction's projections are sorted, and
-every point's place there is kept. A query's window around its own projection grows on all directions at once, by
-virtual rehashing: no bucket is built anew, only the window's two ends in the sorted array move. A point whose place
-lies in the windows of SHARE of the directions is a collision, and is verified by its true inner product; the search
-ends once enough points are verified, or the windows hold all.
+nearest point. HASHES random directions project the points of a block; each direction's points are sorted by their
+projections, once for all queries that meet the block. A query's window around its own projection grows on all
+directions at once, by virtual rehashing: no bucket is built anew, only the window's two ends in the sorted array move,
+and the points between the old ends and the new ones are counted. A point counted in SHARE of the directions is a
+collision, and is verified by its true inner product; the search ends once enough points are verified, or the windows
+hold all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,79 +46,61 @@ class Index:
         lifted = np.concatenate([unit, np.sqrt(np.maximum(0, sizes.max(initial=0) - sizes))[:, None]], axis=1)
         self.directions = np.random.default_rng(SEED).normal(size=(lifted.shape[1], HASHES))
         projected = lifted @ self.directions
-        order = np.argsort(projected, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(projected.T, order, axis=1)
-        self.place = np.empty(order.shape, np.uint16 if len(self.rows) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.place, order, np.arange(len(self.rows), dtype=self.place.dtype)[None, :], axis=1)
+        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
         self.spread = float(projected.std()) or 1.0
         self.last = 0
         self.need = int(np.ceil(SHARE * HASHES))
         self.enough = min(len(self.rows), max(VERIFY, 4 * k, int(PART * len(self.rows))))
 
     def windows(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First places and sizes of the windows of all queries: round x query x direction. The last round's hold all."""
+        """Both ends of the windows of all queries: round x query x direction. The last round's hold all."""
         n, most = len(self.rows), np.abs(q).max(axis=1, keepdims=True)
         unit = q / most
         # a query's length doesn't change the order: it is drawn to the points' length
         at = unit / np.sqrt((unit * unit).sum(1, keepdims=True)) * self.longest @ self.directions[:-1]
-        lo = np.zeros((ROUNDS + 1, *at.shape), self.place.dtype)
-        hi = np.full((ROUNDS + 1, *at.shape), n, np.int64)
-        for r in range(ROUNDS):
-            half = self.spread * FIRST * GROWTH**r
-            for h in range(HASHES):
-                lo[r, :, h] = np.searchsorted(self.sorted[h], at[:, h] - half)
-                hi[r, :, h] = np.searchsorted(self.sorted[h], at[:, h] + half, "right")
-        return lo, (hi - lo).astype(self.place.dtype)
-
-    def collided(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The points that lie in enough of the windows."""
-        n = len(self.rows)
-        counts, gap, inside = np.zeros(n, np.uint8), np.empty(n, self.place.dtype), np.empty(n, bool)
+        lo, hi = np.zeros((ROUNDS + 1, *at.shape), np.int32), np.full((ROUNDS + 1, *at.shape), n, np.int32)
+        half = self.spread * FIRST * GROWTH ** np.arange(ROUNDS)[:, None]
         for h in range(HASHES):
-            np.subtract(self.place[h], lo[h], out=gap)  # below the window it wraps round to a great number
-            np.less(gap, size[h], out=inside)
-            np.add(counts, inside.view(np.uint8), out=counts)
-        return np.nonzero(counts >= self.need)[0]
+            lo[:-1, :, h] = np.searchsorted(self.sorted[h], at[None, :, h] - half)
+            hi[:-1, :, h] = np.searchsorted(self.sorted[h], at[None, :, h] + half, "right")
+        return lo, hi
 
-    def search(self, q: np.ndarray, own: int, lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best found, without the query's own id; lo and size: round x direction.
+    def search(self, q: np.ndarray, own: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k best found, without the query's own id; lo and hi: round x direction.
 
-        Windows are nested, and so are their collisions: the first round with enough of them is looked for from the round
-        where the last query ended, with the same outcome from any other.
+        The windows grow round by round. The first rounds are taken at once where the queries before needed more of them;
+        should that be enough at once, the windows begin anew from the first round, so that the outcome is the same.
         """
-        known: dict[int, np.ndarray] = {}
         mine = np.searchsorted(self.begin, np.nonzero(self.ids == own)[0], "right") - 1
 
-        def enough(r: int) -> bool:
-            if r not in known:
-                known[r] = self.collided(lo[r], size[r]) if r + 1 < len(lo) else np.arange(len(self.rows))
-            g = known[r]
-            return len(g) >= self.enough and int((self.begin[g + 1] - self.begin[g]).sum()) - int(np.isin(mine, g).sum()) >= self.k
-
-        r = self.last
-        while not enough(r) and r + 1 < len(lo):
-            r += 1
-        while r and enough(r - 1):
-            r -= 1
-        self.last, g = r, known[r]
-        score, ids = self.rows[g] @ q, self.ids[self.begin[g]]
-        if len(self.ids) > len(self.rows):
-            ids = self.ids[np.concatenate([np.arange(self.begin[x], self.begin[x + 1]) for x in g])]
-            score = np.repeat(score, self.begin[g + 1] - self.begin[g])
+        def first(r: int) -> tuple[int, np.ndarray]:
+            counts, skipped = np.zeros(len(self.rows), np.int64), r
+            left = right = lo[r]
+            while True:
+                entered = [part for h in range(HASHES) for part in (self.order[h, lo[r, h] : left[h]], self.order[h, right[h] : hi[r, h]])]
+                counts += np.bincount(np.concatenate(entered), minlength=len(self.rows))
+                g = np.nonzero(counts >= self.need)[0]
+                others = int((self.begin[g + 1] - self.begin[g]).sum()) - int(np.isin(mine, g).sum())
+                if len(g) >= self.enough and others >= self.k or r + 1 == len(lo):
+                    return first(0) if r == skipped and r else (r, g)
+                left, right, r = lo[r], hi[r], r + 1
+
+        r, g = first(max(0, self.last - 2))
+        self.last = r
+        score, ids = np.repeat(self.rows[g] @ q, self.begin[g + 1] - self.begin[g]), self.ids[blocks.expand(self.begin, g)]
         score, ids = score[ids != own], ids[ids != own]
         best = blocks.order(score, ids, self.k)
         return ids[best], score[best]
 
-
-def meet(k: int) -> "callable":
-    def run(ask: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        index = Index(c, ids, k)
-        lo, size = index.windows(q)
+    def ask(self, ask: np.ndarray, q: np.ndarray) -> blocks.Found:
+        lo, hi = self.windows(q)
         for n in range(len(q)):
-            found, scores = index.search(q[n], ask[n], lo[:, n], size[:, n])
-            yield n, found, scores
+            yield n, *self.search(q[n], ask[n], lo[:, n], hi[:, n])
+
 
-    return run
+def prepare(k: int) -> Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], blocks.Found]]:
+    return lambda ids, c: Index(c, ids, k).ask
 
 
 def nearest(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
@@ -130,4 +113,4 @@ def nearest(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     rows: no rows. Other columns are ignored.
     """
     whole = table.where(F.exists(F.col("embedding"), lambda x: x != 0))
-    return blocks.search(whole, every, k, "double", meet(k))
+    return blocks.search(whole, every, k, "double", prepare(k))

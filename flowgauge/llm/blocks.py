@@ -1,7 +1,9 @@
 """Searches by a query set against all rows, in blocks.
 
-Vectors are packed into blocks of rows; each block of queries meets each block of candidates in one task, as two binary
-values. Each meeting gives at most k rows a query, which are merged by a partial aggregation.
+Vectors are packed into blocks of rows. Each block of candidates goes to a task with the blocks of queries that meet it
+there, is prepared once, and then searched for each of them. Each meeting gives at most k rows a query, which are merged
+by a partial aggregation. The more blocks of candidates there are, the fewer tasks share one: from twice as many as there
+are cores on, each is sent to one task and prepared once.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import cut
+from flowgauge.llm.common import cut, small_batches
 
-#: Rows in a block of candidates and of queries: 2 to 8 MB of 64 doubles a block.
-CANDIDATES, QUERIES = 16_384, 1024
+#: Rows in a block of candidates and of queries: 8 MB and 128 KB for 64 doubles a row.
+CANDIDATES, QUERIES = 16_384, 256
 
 
 def vectors(table: DataFrame) -> DataFrame:
@@ -56,18 +58,22 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "dim int, ids binary, data binary").withColumn("block", F.monotonically_increasing_id())
 
 
-def search(table: DataFrame, every: int, k: int, kind: str, meet: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector whose id is divisible by every, the k best of what meet finds.
+Found = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
-    meet(query ids, queries, candidate ids, candidates) gives, for each query, its number and its best candidates' ids
-    and scores, best first, without the query's own id. Vectors meet those of their own dimension. A repeated query row
-    asks once; a repeated candidate row may be found as often as it occurs.
+
+def search(table: DataFrame, every: int, k: int, kind: str, prepare: Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], Found]]) -> DataFrame:
+    """query_id, rank, vec_id, score: for each vector whose id is divisible by every, the k best of what is found.
+
+    prepare(candidate ids, candidates) gives a function of query ids and queries, which gives, for each query, its number
+    and its best candidates' ids and scores, best first, without the query's own id. Vectors meet those of their own
+    dimension. A repeated query row asks once; a repeated candidate row may be found as often as it occurs.
     """
     spark, rows = table.sparkSession, vectors(table)
+    small_batches(spark)
     total = rows.count()
-    parts = max(1, -(-total // CANDIDATES))
+    parts, some = max(1, -(-total // CANDIDATES)), max(1, -(-total // every // QUERIES))
     packed = cut(_pack(rows.repartition(parts), CANDIDATES))
-    asked = cut(_pack(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(max(1, -(-total // every // QUERIES))), QUERIES))
+    asked = cut(_pack(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(some), QUERIES))
     #: One row of 12 bytes for each block of candidates.
     there = [(r.block, r.dim) for r in packed.select("block", "dim").toLocalIterator()]
     if not there:
@@ -75,6 +81,9 @@ def search(table: DataFrame, every: int, k: int, kind: str, meet: Callable[[np.n
     by_dim: dict[int, list[int]] = {}
     for block, dim in there:
         by_dim.setdefault(dim, []).append(block)
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    #: Tasks that share a block of candidates.
+    share = max(1, min(some, -(-2 * cores // len(there))))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,21 +92,28 @@ def search(table: DataFrame, every: int, k: int, kind: str, meet: Callable[[np.n
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(near), pa.int64()), pa.array(near, pa.int64())], ["asked", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ask = None, None
         for b in batches:
-            for dim, qi, q, ci, c in zip(*(b.column(x).to_pylist() for x in ("dim", "q_ids", "q", "c_ids", "c"))):
-                ask, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                out: list[tuple] = []
-                for n, found, scores in meet(ask, np.frombuffer(q).reshape(len(ask), dim), ids, np.frombuffer(c).reshape(len(ids), dim)):
-                    out.append((np.full(len(found), ask[n]), found, scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+            # a block of candidates comes before the blocks of queries that meet it
+            for asked, dim, i, v in zip(*(b.column(x) for x in ("asked", "dim", "ids", "data"))):
+                ids, data = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(v.as_buffer()) if dim.as_py() else np.zeros(0)
+                data = data.reshape(len(ids), dim.as_py())
+                if not asked.is_valid:
+                    held, ask = (ids, data), None
+                    continue
+                if ask is None:
+                    ask = prepare(*held)
+                out = [(np.full(len(found), ids[n]), found, scores) for n, found, scores in ask(ids, data)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
     pairs = asked.select("dim", "block").mapInArrow(partners, "asked long, met long")
-    first = asked.select(F.col("block").alias("asked"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q"))
-    second = packed.select(F.col("block").alias("met"), F.col("ids").alias("c_ids"), F.col("data").alias("c"))
-    met = pairs.join(first, "asked").join(second, "met").select("dim", "asked", "met", "q_ids", "q", "c_ids", "c")
-    tasks = max(1, min(len(there) * max(1, -(-total // every // QUERIES)), 16 * max(1, spark.sparkContext.defaultParallelism)))
-    found = met.repartition(tasks, F.xxhash64("asked", "met")).select("dim", "q_ids", "q", "c_ids", "c").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    first = asked.select(F.col("block").alias("asked"), "dim", "ids", "data")
+    queries = pairs.join(first, "asked").select("met", F.pmod(F.xxhash64("asked"), F.lit(share)).cast("int").alias("part"), "asked", "dim", "ids", "data")
+    places = F.explode(F.sequence(F.lit(0), F.lit(share - 1)))
+    candidates = packed.select(F.col("block").alias("met"), places.alias("part"), F.lit(None).cast("long").alias("asked"), "dim", "ids", "data")
+    tasks = max(1, min(len(there) * share, 16 * cores))
+    met = candidates.unionByName(queries).repartition(tasks, "met", "part").sortWithinPartitions("met", "part", F.asc_nulls_first("asked"))
+    found = met.select("asked", "dim", "ids", "data").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -122,3 +138,9 @@ def needed(ids: np.ndarray, new: np.ndarray, k: int) -> np.ndarray:
     most = np.maximum.accumulate(group[at] * (len(ids) + 1) + np.diff(np.append(at, len(ids)))) - group[at] * (len(ids) + 1)
     before = np.where(new[at], 0, np.concatenate([[0], most[:-1]]))
     return count - np.nonzero(new)[0][group] - before[run] < k
+
+
+def expand(begin: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The places begin[g] up to begin[g + 1] of each of the groups, one after the other."""
+    sizes = begin[groups + 1] - begin[groups]
+    return np.repeat(begin[groups] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())

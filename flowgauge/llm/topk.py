@@ -1,14 +1,15 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Each component x becomes floor(256 x). For a block of candidates the distances to PIVOTS of them are tabled. For a query
-the table gives, by the triangle inequality, the greatest of the lower bounds of its distance to each candidate, and so
+Each component x becomes floor(256 x). For a block of candidates the distances to PIVOTS of them are tabled, once
+for all queries that meet it. For a query the table gives, by the triangle inequality, the greatest of the lower bounds of its distance to each candidate, and so
 an upper bound of the inner product, (|q|^2 + |c|^2 - d^2) / 2. Candidates are evaluated in the order of these bounds,
 until the k-th best score found is greater than the next bound: then no other can enter, not even by a tie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,10 +19,12 @@ from flowgauge.llm import blocks
 EVERY, K, PIVOTS, STEP = 50, 5, 48, 512
 #: Below this sum of products doubles hold integers exactly; beyond it Python's integers do, cut to 64 bits.
 EXACT = float(1 << 53)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def whole(x: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * x)
+    with np.errstate(over="ignore"):
+        return np.floor(256.0 * x)
 
 
 def pivots(c: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -34,63 +37,87 @@ def pivots(c: np.ndarray, n: int = PIVOTS) -> np.ndarray:
     return np.array(chosen)
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products in Python's integers, cut to the range of a long."""
-    ints = lambda x: [int(v) for v in x]
-    a = ints(q)
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, ints(row))))) for row in c], dtype=object).astype(np.int64)
+def _integers(row: np.ndarray) -> list[int]:
+    return [math.floor(256.0 * x) if abs(x) < 2.0**1000 else int(x) * 256 for x in row.tolist()]
 
 
-def meet(k: int) -> "callable":
-    def run(ask: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        q, c = whole(q), whole(c)
-        if not c.shape[1] or np.abs(c).max(initial=1) * np.abs(q).max(initial=1) * c.shape[1] * 4 >= EXACT:
-            for n in range(len(q)):
-                score = _exact(q[n], c)
-                other = np.nonzero(ids != ask[n])[0]
-                best = other[blocks.order(score[other].astype(object), ids[other], k)] if len(other) <= k else other[sorted(range(len(other)), key=lambda i: (-int(score[other[i]]), ids[other[i]]))[:k]]
-                yield n, ids[best], score[best]
-            return
+class Table:
+    """A block of candidates with the distances of each to the pivots, made once for all queries that meet it."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         # equal rows are one candidate with the smallest ids of them: those that any query can ask for
-        order = np.lexsort((ids, *c.T))
-        new = np.concatenate([[True], (c[order][1:] != c[order][:-1]).any(1)])
-        first = np.nonzero(new)[0]
-        asked = blocks.needed(ids[order], new, k)
-        group = (np.cumsum(new) - 1)[asked]
-        kept = order[asked]
-        rows = c[order[first]]
-        begin = np.searchsorted(group, np.arange(len(rows) + 1))
-        p = pivots(rows)
-        table = np.sqrt(np.maximum(0, ((rows * rows).sum(1)[:, None] + (rows[p] ** 2).sum(1)[None, :] - 2 * rows @ rows[p].T)))
-        sizes = (rows * rows).sum(1)
+        c = whole(vectors)
+        key = c if np.isfinite(c).all() else vectors
+        order = np.lexsort((ids, *key.T))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1)])
+        self.k, asked = k, blocks.needed(ids[order], new, k)
+        self.ids = ids[order[asked]]
+        self.begin = np.searchsorted((np.cumsum(new) - 1)[asked], np.arange(new.sum() + 1))
+        self.vectors = vectors[order[new]]
+        self.rows = c[order[new]]
+        self.most = float(np.abs(self.rows).max(initial=1))
+        self.scaled: dict[int | None, tuple] = {}
+
+    def bounds(self, scale: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (by a power of two, if any), their squared lengths, the pivots and the distances to these; the last are kept."""
+        if scale not in self.scaled:
+            rows = self.rows if scale is None else np.ldexp(self.vectors, -scale)
+            sizes, p = (rows * rows).sum(1), pivots(rows)
+            self.scaled = {scale: (rows, sizes, p, np.sqrt(np.maximum(0, sizes[None, :] + sizes[p][:, None] - 2 * rows[p] @ rows.T)))}
+        return self.scaled[scale]
+
+    def ask(self, ask: np.ndarray, vectors: np.ndarray) -> blocks.Found:
+        q = whole(vectors)
+        exact = self.most * float(np.abs(q).max(initial=1)) * max(1, q.shape[1]) * 4 < EXACT
+        # larger numbers are bounded by the powers of two that bring all below 1, and scored as Python's integers
+        scale = None if exact else math.frexp(max(float(np.abs(self.vectors).max(initial=1)), float(np.abs(vectors).max(initial=1))))[1]
+        rows, sizes, p, table = self.bounds(scale)
+        q = q if exact else np.ldexp(vectors, -scale)
+        near, over = (1e-6, 1e-3) if exact else (1e-4, 1e-4 * max(1, q.shape[1]))
         at_pivots = q @ rows[p].T
         for n in range(len(q)):
             own = q[n] @ q[n]
             away = np.sqrt(np.maximum(0, own + sizes[p] - 2 * at_pivots[n]))
-            low = np.zeros(len(rows))
+            low, gap = np.zeros(len(rows)), np.empty(len(rows))
             for j in range(len(p)):
-                np.maximum(low, np.abs(table[:, j] - away[j]), out=low)
-            bound = (own + sizes - np.maximum(0, low - 1e-6) ** 2) / 2 + 1e-3
-            # the k-th best of the pivots' own scores (other rows than the query's) is passed by the k-th best of all
-            seed = [s for j, s in zip(p, at_pivots[n]) for i in kept[begin[j] : begin[j + 1]] if ids[i] != ask[n]]
-            least = sorted(seed, reverse=True)[k - 1] if len(seed) >= k else -np.inf
-            live = np.nonzero(bound >= least)[0]
+                np.maximum(low, np.abs(np.subtract(table[j], away[j], out=gap), out=gap), out=low)
+            bound = (own + sizes - np.maximum(0, low - near) ** 2) / 2 + over
+            live = np.arange(len(rows))
+            if exact:
+                # the k-th best of the pivots' own scores (other rows than the query's) is passed by the k-th best of all
+                seed = [s for j, s in zip(p, at_pivots[n]) for i in self.ids[self.begin[j] : self.begin[j + 1]] if i != ask[n]]
+                if len(seed) >= self.k:
+                    live = np.nonzero(bound >= sorted(seed, reverse=True)[self.k - 1])[0]
             live = live[np.argsort(-bound[live], kind="stable")]
-            found_ids, found = np.zeros(0, np.int64), np.zeros(0)
-            for at in range(0, len(live), STEP):
-                if len(found) == k and bound[live[at]] < found[-1]:
-                    break
-                part = live[at : at + STEP]
-                score = rows[part] @ q[n]
-                members = np.concatenate([kept[begin[g] : begin[g + 1]] for g in part]) if len(kept) > len(rows) else kept[part]
-                score = np.repeat(score, begin[part + 1] - begin[part])
-                other = ids[members] != ask[n]
-                found_ids, found = np.concatenate([found_ids, ids[members][other]]), np.concatenate([found, score[other]])
-                best = blocks.order(found, found_ids, k)
-                found_ids, found = found_ids[best], found[best]
-            yield n, found_ids, found.astype(np.int64)
-
-    return run
+            yield n, *(self._plain(live, bound, q[n], ask[n]) if exact else self._large(live, bound, scale, vectors[n], ask[n]))
+
+    def _plain(self, live: np.ndarray, bound: np.ndarray, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, found, at, step = np.zeros(0, np.int64), np.zeros(0), 0, STEP
+        while at < len(live) and not (len(found) == self.k and bound[live[at]] < found[-1]):
+            part = live[at : at + step]
+            at, step = at + step, min(2 * step, 8 * STEP)
+            members = blocks.expand(self.begin, part)
+            score = np.repeat(self.rows[part] @ q, self.begin[part + 1] - self.begin[part])
+            other = self.ids[members] != own
+            ids, found = np.concatenate([ids, self.ids[members][other]]), np.concatenate([found, score[other]])
+            best = blocks.order(found, ids, self.k)
+            ids, found = ids[best], found[best]
+        return ids, found.astype(np.int64)
+
+    def _large(self, live: np.ndarray, bound: np.ndarray, scale: int, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores as integers, one by one. A score cut to a long ties with all that are cut, so that these are looked at too."""
+        mine, found = _integers(q), []
+        for g in live:
+            if len(found) == self.k and math.ldexp(-found[-1][0] / 65536, -2 * scale) > bound[g]:
+                break
+            score = max(LEAST, min(MOST, sum(a * b for a, b in zip(mine, _integers(self.vectors[g])))))
+            found += [(-score, int(i)) for i in self.ids[self.begin[g] : self.begin[g + 1]] if i != own]
+            found = sorted(found)[: self.k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
+
+
+def prepare(k: int) -> Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], blocks.Found]]:
+    return lambda ids, vectors: Table(ids, vectors, k).ask
 
 
 def top(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
@@ -101,7 +128,7 @@ def top(table: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     non-finite components, take no part. A repeated candidate row is returned as often as it occurs; a repeated query
     id asks once. Scores beyond a long are cut to its range. No rows: no rows. Other columns are ignored.
     """
-    return blocks.search(table, every, k, "long", meet(k))
+    return blocks.search(table, every, k, "long", prepare(k))
 
 
 ORACLE_SQL = """

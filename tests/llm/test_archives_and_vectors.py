@@ -123,6 +123,53 @@ def test_topk_equals_brute_force(frame, vectors):
     assert dict(grouped(topk.top(frame))) == want
 
 
+def test_topk_of_large_numbers_equals_brute_force():
+    rng = np.random.default_rng(7)
+    clip = lambda n: max(topk.LEAST, min(topk.MOST, n))
+    whole = lambda x: math.floor(256 * x) if abs(x) < 1e300 else int(x) * 256
+    for size in (1e3, 1e7, 1e9, 1e16, 1e307):
+        c, q = rng.normal(size=(300, 6)) * size * 0.2, rng.normal(size=(5, 6)) * min(size, 1e9) * 0.2
+        c[7], c[50:60] = c[8], c[60:70]
+        ids = rng.permutation(300)
+        for n, found, scores in topk.prepare(5)(ids, c)(np.array([3, 4, 900, 901, 902]), q):
+            all_ = sorted((-clip(sum(whole(a) * whole(b) for a, b in zip(q[n].tolist(), row))), i) for i, row in zip(ids.tolist(), c.tolist()) if i != (3, 4, 900, 901, 902)[n])
+            assert list(zip((-scores).tolist() if scores.min() > topk.LEAST else [-s for s in scores.tolist()], found.tolist())) == all_[:5]
+
+
+def test_tables_of_a_block_are_made_once():
+    rng = np.random.default_rng(2)
+    for module, what in ((topk, topk.Table), (ann, ann.Index)):
+        made = []
+        before, what.__init__ = what.__init__, lambda self, *a: (made.append(1), before(self, *a))[1]
+        try:
+            ask = module.prepare(3)(np.arange(500), rng.normal(size=(500, 8)))
+            for k in range(4):
+                assert len(list(ask(np.arange(k, k + 2), rng.normal(size=(2, 8))))) == 2
+        finally:
+            what.__init__ = before
+        assert made == [1]
+
+
+def test_windows_grow_to_the_same_collisions_from_any_round():
+    rng = np.random.default_rng(6)
+    index, q = ann.Index(rng.normal(size=(3000, 12)), np.arange(3000), 10), rng.normal(size=(20, 12))
+    lo, hi = index.windows(q)
+    assert (np.diff(lo, axis=0) <= 0).all() and (np.diff(hi, axis=0) >= 0).all()
+    want = []
+    for n in range(20):
+        for r in range(len(lo)):
+            counts = sum(np.isin(np.arange(3000), index.order[h, lo[r, n, h] : hi[r, n, h]]).astype(int) for h in range(ann.HASHES))
+            near = np.nonzero(counts >= index.need)[0]
+            if len(near) >= index.enough:
+                break
+        score = index.rows[near] @ q[n]
+        want.append([int(index.ids[near[k]]) for k in np.lexsort((index.ids[near], -score))[:10]])
+    for begin in (0, 5, len(lo) - 1):
+        for n in range(20):
+            index.last = begin
+            assert index.search(q[n], -1, lo[:, n], hi[:, n])[0].tolist() == want[n]
+
+
 @pytest.mark.parametrize(("run", "k"), [(topk.top, 5), (ann.nearest, 20)])
 def test_query_ids_repeated_among_equal_vectors_lose_no_others(spark, run, k):
     same, low = [0.5, 0.25], [0.25, 0.25]
