@@ -45,58 +45,97 @@ class Index:
         self.longest, self.scale = np.sqrt(sizes.max(initial=0)), scale
         lifted = np.concatenate([unit, np.sqrt(np.maximum(0, sizes.max(initial=0) - sizes))[:, None]], axis=1)
         self.directions = np.random.default_rng(SEED).normal(size=(lifted.shape[1], HASHES))
-        projected = lifted @ self.directions
-        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        projected = np.ascontiguousarray((lifted @ self.directions).T)
+        self.order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        self.place = np.empty(self.order.shape, np.uint16 if len(self.rows) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, self.order, np.arange(len(self.rows), dtype=self.place.dtype)[None, :], axis=1)
         self.spread = float(projected.std()) or 1.0
         self.last = 0
         self.need = int(np.ceil(SHARE * HASHES))
         self.enough = min(len(self.rows), max(VERIFY, 4 * k, int(PART * len(self.rows))))
 
-    def windows(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both ends of the windows of all queries: round x query x direction. The last round's hold all."""
-        n, most = len(self.rows), np.abs(q).max(axis=1, keepdims=True)
-        unit = q / most
-        # a query's length doesn't change the order: it is drawn to the points' length
-        at = unit / np.sqrt((unit * unit).sum(1, keepdims=True)) * self.longest @ self.directions[:-1]
-        lo, hi = np.zeros((ROUNDS + 1, *at.shape), np.int32), np.full((ROUNDS + 1, *at.shape), n, np.int32)
-        half = self.spread * FIRST * GROWTH ** np.arange(ROUNDS)[:, None]
-        for h in range(HASHES):
-            lo[:-1, :, h] = np.searchsorted(self.sorted[h], at[None, :, h] - half)
-            hi[:-1, :, h] = np.searchsorted(self.sorted[h], at[None, :, h] + half, "right")
-        return lo, hi
+    def windows(self, q: np.ndarray) -> "Windows":
+        return Windows(self, q)
 
-    def search(self, q: np.ndarray, own: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best found, without the query's own id; lo and hi: round x direction.
+    def search(self, q: np.ndarray, own: int, windows: "Windows", n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k best found, without the query's own id; n is the query's place in windows.
 
-        The windows grow round by round. The first rounds are taken at once where the queries before needed more of them;
-        should that be enough at once, the windows begin anew from the first round, so that the outcome is the same.
+        The search ends at the first round with enough collisions. It begins at the round where the last query ended, whose
+        windows hold about half of the points: these are counted by their places. From there on the windows grow, or shrink,
+        a round at a time, and only the points between old and new ends are counted. The outcome is the same from any round.
         """
         mine = np.searchsorted(self.begin, np.nonzero(self.ids == own)[0], "right") - 1
-
-        def first(r: int) -> tuple[int, np.ndarray]:
-            counts, skipped = np.zeros(len(self.rows), np.int64), r
-            left = right = lo[r]
-            while True:
-                entered = [part for h in range(HASHES) for part in (self.order[h, lo[r, h] : left[h]], self.order[h, right[h] : hi[r, h]])]
-                counts += np.bincount(np.concatenate(entered), minlength=len(self.rows))
-                g = np.nonzero(counts >= self.need)[0]
-                others = int((self.begin[g + 1] - self.begin[g]).sum()) - int(np.isin(mine, g).sum())
-                if len(g) >= self.enough and others >= self.k or r + 1 == len(lo):
-                    return first(0) if r == skipped and r else (r, g)
-                left, right, r = lo[r], hi[r], r + 1
-
-        r, g = first(max(0, self.last - 2))
+        r, at = self.last, [x[n] for x in windows.ends(self.last)]
+        counts = self.counted(*at)
+
+        def enough() -> np.ndarray | None:
+            g = np.nonzero(counts >= self.need)[0]
+            others = int((self.begin[g + 1] - self.begin[g]).sum()) - int((counts[mine] >= self.need).sum())
+            return g if len(g) >= self.enough and others >= self.k or r == ROUNDS else None
+
+        g = enough()
+        if g is None:
+            while g is None:
+                r, at = r + 1, self.moved(counts, at, [x[n] for x in windows.ends(r + 1)], 1)
+                g = enough()
+        else:
+            while r:
+                r, at = r - 1, self.moved(counts, at, [x[n] for x in windows.ends(r - 1)], -1)
+                if (fewer := enough()) is None:
+                    r += 1
+                    break
+                g = fewer
         self.last = r
         score, ids = np.repeat(self.rows[g] @ q, self.begin[g + 1] - self.begin[g]), self.ids[blocks.expand(self.begin, g)]
         score, ids = score[ids != own], ids[ids != own]
         best = blocks.order(score, ids, self.k)
         return ids[best], score[best]
 
+    def counted(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """In how many directions each point lies in the window."""
+        n, size = len(self.rows), (right - left).astype(self.place.dtype)
+        counts, gap, inside = np.zeros(n, np.uint8), np.empty(n, self.place.dtype), np.empty(n, bool)
+        for h in range(HASHES):
+            np.subtract(self.place[h], self.place.dtype.type(left[h]), out=gap)  # below the window it wraps round to a great number
+            np.less(gap, size[h], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
+
+    def moved(self, counts: np.ndarray, old: list, new: list, by: int) -> list:
+        """Counts the points that come in (by 1) or go out (by -1) as the windows' ends move; a point is once in a direction."""
+        inner, outer = (old, new) if by > 0 else (new, old)
+        row = np.arange(HASHES) * len(self.rows)
+        begin, size = np.concatenate([row + outer[0], row + inner[1]]), np.concatenate([inner[0] - outer[0], outer[1] - inner[1]])
+        places = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        counts += (by * np.bincount(self.order.ravel()[places], minlength=len(self.rows))).astype(np.uint8)
+        return new
+
     def ask(self, ask: np.ndarray, q: np.ndarray) -> blocks.Found:
-        lo, hi = self.windows(q)
+        windows = self.windows(q)
         for n in range(len(q)):
-            yield n, *self.search(q[n], ask[n], lo[:, n], hi[:, n])
+            yield n, *self.search(q[n], ask[n], windows, n)
+
+
+class Windows:
+    """The ends of all queries' windows, worked out a round at a time for all of them, when one asks for it."""
+
+    def __init__(self, index: Index, q: np.ndarray) -> None:
+        unit = q / np.abs(q).max(axis=1, keepdims=True)
+        # a query's length doesn't change the order: it is drawn to the points' length
+        self.at = unit / np.sqrt((unit * unit).sum(1, keepdims=True)) * index.longest @ index.directions[:-1]
+        self.index, self.known = index, {}
+
+    def ends(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """First places, and those behind the last: query x direction. The last round's windows hold all points."""
+        if r not in self.known:
+            lo, hi = np.zeros(self.at.shape, np.int64), np.full(self.at.shape, len(self.index.rows), np.int64)
+            half = self.index.spread * FIRST * GROWTH**r
+            for h in range(HASHES if r < ROUNDS else 0):
+                lo[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] - half)
+                hi[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] + half, "right")
+            self.known[r] = lo, hi
+        return self.known[r]
 
 
 def prepare(k: int) -> Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], blocks.Found]]:

@@ -153,21 +153,21 @@ def test_tables_of_a_block_are_made_once():
 def test_windows_grow_to_the_same_collisions_from_any_round():
     rng = np.random.default_rng(6)
     index, q = ann.Index(rng.normal(size=(3000, 12)), np.arange(3000), 10), rng.normal(size=(20, 12))
-    lo, hi = index.windows(q)
-    assert (np.diff(lo, axis=0) <= 0).all() and (np.diff(hi, axis=0) >= 0).all()
-    want = []
+    windows, want = index.windows(q), []
+    ends = [windows.ends(r) for r in range(ann.ROUNDS + 1)]
+    assert all((a[0] >= b[0]).all() and (a[1] <= b[1]).all() for a, b in zip(ends, ends[1:])) and (ends[-1][0] == 0).all() and (ends[-1][1] == 3000).all()
     for n in range(20):
-        for r in range(len(lo)):
-            counts = sum(np.isin(np.arange(3000), index.order[h, lo[r, n, h] : hi[r, n, h]]).astype(int) for h in range(ann.HASHES))
+        for lo, hi in ends:
+            counts = sum(np.isin(np.arange(3000), index.order[h, lo[n, h] : hi[n, h]]).astype(int) for h in range(ann.HASHES))
             near = np.nonzero(counts >= index.need)[0]
             if len(near) >= index.enough:
                 break
         score = index.rows[near] @ q[n]
         want.append([int(index.ids[near[k]]) for k in np.lexsort((index.ids[near], -score))[:10]])
-    for begin in (0, 5, len(lo) - 1):
+    for begin in (0, 5, ann.ROUNDS):
         for n in range(20):
             index.last = begin
-            assert index.search(q[n], -1, lo[:, n], hi[:, n])[0].tolist() == want[n]
+            assert index.search(q[n], -1, windows, n)[0].tolist() == want[n]
 
 
 @pytest.mark.parametrize(("run", "k"), [(topk.top, 5), (ann.nearest, 20)])
