@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh local one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a fresh one if the session is
+    of one machine (tests), and an error on a cluster, whose executors couldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowgauge-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -86,3 +90,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+#: A key is hot if it has this part of all rows: there are at most so many of them.
+HOT = 1000
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, fact: str, spread: str) -> DataFrame:
+    """rows with the column fact of facts (the long key, once; n, how many rows have it; fact), null where there is none.
+
+    Keys of 1 in HOT of all rows or more, HOT of them at most, are broadcast, and their rows dealt out by the long column
+    spread instead, so that no key's rows meet in one task. facts should be cheap to read twice.
+    """
+    least = (facts.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = facts.where(F.col("n") >= least).select(F.col(key).alias("_hot"), F.col(fact).alias("_known"))
+    known = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    rest = facts.where(F.col("n") < least).select(F.col(key).alias("_rest"), F.col(fact).alias("_found"))
+    both = known.join(rest, F.col("_by") == F.col("_rest"), "left")
+    return both.withColumn(fact, F.when(F.col("_hot").isNotNull(), F.col("_known")).otherwise(F.col("_found"))).drop("_hot", "_known", "_by", "_rest", "_found")

@@ -1,10 +1,12 @@
 """License scans by conditional compression.
 
-Candidate blocks begin at sentences that hold a cue word, where a template's opening words occur near one, and as many
-words before one as the template has; they are as long as the template they are compared with, line ends and comment
-marks aside. At a sentence each is compressed by itself and with every template as Zstandard raw-content dictionary; the
-templates are ranked by how much smaller the block gets, and the best few are confirmed by their exact differences in
-wording. Elsewhere the one template that led there is confirmed.
+A block that agrees with a template holds two thirds of its words or more, so that of any words that make up more than a
+third of the template one must be in the block: the longest of them are its cues, and a text without a cue has no notice.
+Candidate blocks begin at the sentence that holds a cue, at the word that would be the template's first if the cue is
+where the template has it, and where a template's opening words occur; they are as long as the template they are compared
+with, line ends and comment marks aside. At a sentence each is compressed by itself and with every template as Zstandard
+raw-content dictionary; the templates are ranked by how much smaller the block gets, and confirmed in this order by their
+exact differences in wording, but for those that share too few words. Elsewhere the templates that led there are confirmed.
 """
 
 from __future__ import annotations
@@ -26,16 +28,24 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
@@ -43,22 +53,16 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-#: Least share of the wording that must agree, and how many of the best compressed templates are confirmed.
-AGREE, WINNERS = 0.8, 4
+#: Least share of the wording that must agree (twice the words in common, by the words of both).
+AGREE = 0.8
 LEVEL = 3
-CUES = ("licen", "copyright", "redistribut", "hereby granted", "public domain", "free software")
+#: Words that are cues only where a template has no others.
+COMMON = frozenset("a all also and any are as at be been but by can do for from had has have he if in is it its may more must no not of on one or other our out shall she that the their there these they this to under use used was we were which will with work would you".split())
 #: What parts words, also across the lines of a comment.
 GAP = r"[^\w.+-]+(?:[-.+]+[^\w.+-]+)*"
-_CUE = re.compile("|".join(c.replace(" ", GAP) for c in CUES), re.IGNORECASE)
-#: A text without any of these has no cue.
-FIRST = tuple(c.split()[0] for c in CUES)
 _END = re.compile(r"\n|[.!?](?=\s)")
 _WRAP = re.compile(r"\s*\n[\s*#/;%!>|-]*")
 _WORD = re.compile(r"[\w.+-]*\w")
-#: How far before a cue its sentence may begin.
-BACK = 600
-
-
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
@@ -72,40 +76,42 @@ class Scanner:
         named = [(name, text) for name, all_ in TEMPLATES.items() for text in all_]
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = [(name, text, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in named]
-        #: Each template's opening and closing words, and how many words it has before its first cue.
-        self.opening, self.closing, self.lead = {}, [], {}
-        for at, (_, text, wanted, _) in enumerate(self.templates):
+        #: Each template's opening and closing words, and the places that its cues have in it.
+        self.opening, self.closing, self.places = {}, [], {}
+        for at, (_, _, wanted, _) in enumerate(self.templates):
             self.opening.setdefault(_phrase(wanted[:2]), []).append(at)
             self.closing.append(_phrase(wanted[-2:]))
-            if cue := _CUE.search(text):
-                self.lead.setdefault(sum(m.end() <= cue.start() for m in _WORD.finditer(text)), []).append(at)
+            for cue in self.cues(wanted):
+                self.places.setdefault(cue, []).extend((k, at) for k, w in enumerate(wanted) if w == cue)
+
+    @staticmethod
+    def cues(wanted: list[str]) -> set[str]:
+        """Words one of which is in every text that agrees: of the words wanted a block may lack a third at most, for of m in
+        common and a block of b >= m words, 2 m / (len(wanted) + b) >= AGREE asks for m >= 2 / 3 len(wanted)."""
+        found: set[str] = set()
+        for w in sorted(set(wanted), key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(x in found for x in wanted) > len(wanted) * (2 - 2 * AGREE) / (2 - AGREE) + 1e-9:
+                break
+            found.add(w)
+        return found
 
     def begins(self, text: str) -> dict[int, set[int] | None]:
         """Where blocks begin, and the templates to compare there: all (None) where a sentence with a cue begins."""
         found: dict[int, set[int] | None] = {}
-        near: list[list[int]] = []
-        for cue in _CUE.finditer(text):
-            low = max(0, cue.start() - BACK)
-            ends = [m.end() for m in _END.finditer(text, low, cue.start())]
-            begin = ends[-1] if ends else low
-            while begin < cue.start() and text[begin].isspace():
-                begin += 1
-            found[begin] = None
-            # the words before the cue's own, last first
-            before = [m.start() for m in _WORD.finditer(text, low, cue.end())][::-1]
-            own = sum(s >= cue.start() for s in before)
-            for n, which in self.lead.items():
-                # a cue may begin inside a word: its word counts as none before it
-                for k in {own - 1 + n, own + n}:
-                    if 0 <= k < len(before):
-                        self._add(found, before[k], which)
-            if near and low <= near[-1][1]:
-                near[-1][1] = cue.end()
-            else:
-                near.append([low, cue.end()])
-        for low, high in near:
+        spots = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
+        starts = [spot for spot, _ in spots]
+        ends = [0, *(m.end() for m in _END.finditer(text))]
+        for n, (spot, word) in enumerate(spots):
+            if (places := self.places.get(word)) is None:
+                continue
+            first = bisect.bisect_left(starts, ends[bisect.bisect_right(ends, spot) - 1])
+            found[starts[first]] = None
+            for k, at in places:
+                if n >= k:
+                    self._add(found, starts[n - k], [at])
+        if found:
             for opening, which in self.opening.items():
-                for m in opening.finditer(text, low, min(len(text), high + 100)):
+                for m in opening.finditer(text):
                     self._add(found, m.start(), which)
         return found
 
@@ -142,7 +148,7 @@ class Scanner:
             if block:
                 ranked.append((reduction(block, at) if only is None else 0.0, -at, block))
         best = None
-        for cut, at, block in sorted(ranked, reverse=True)[: WINNERS if only is None else None]:
+        for cut, at, block in sorted(ranked, reverse=True):
             name, _, wanted, _ = self.templates[-at]
             have = words(block)
             matcher = SequenceMatcher(None, wanted, have, autojunk=False)
@@ -158,7 +164,7 @@ class Scanner:
 
     def scan(self, text: str) -> Iterator[tuple]:
         low = text.lower()
-        if not any(c in low for c in FIRST):
+        if not any(c in low for c in self.places):
             return
         # of notices that overlap, the one with the most words in agreement, and then the closest
         found = []

@@ -9,16 +9,17 @@ share of pairs that is skipped; the work still grows faster than the input.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowgauge.llm.common import byte_texts, components, cut, texts
+from flowgauge.llm.common import byte_texts, components, cut, met, texts
 
 SEED = 42
 WORDS = 4
@@ -45,15 +46,17 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(grams), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, sha: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of each row of docs (doc_id, text), and sha (of the text), if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in byte_texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            all_ = byte_texts(b)
+            fp = np.array([fingerprint(t) for t in all_], np.uint64).view(np.int64)
+            more = [pa.array([hashlib.sha256(t).hexdigest() for t in all_], pa.string())] if sha else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *more], ["doc_id", "fp"] + ["sha"] * sha)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long" + ", sha string" * sha)
 
 
 def _bounds(fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +167,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.repartition(tasks, F.xxhash64("one", "two")).mapInArrow(compare, "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """Each distinct fingerprint of prints (doc_id, fp): fp, n (its rows), least (its smallest doc_id) and root (that of its component)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -172,17 +182,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids of the component are null; repeated rows stay repeated. No rows: no rows. Other columns are ignored.
     """
     prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = cut(components(links(distinct, radius)))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(first, "root").select("fp", "component_id")
-    return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = _rooted(prints, radius)
+    first = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    of = cut(met(placed, first, "root", "component_id", "fp").select("fp", "component_id", "n"))
+    return met(prints, of, "fp", "component_id", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is its component's id, one for each such id; rows without a doc_id stay. All columns are kept."""
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id is not null")
-    single = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null"))
+    """One row of each component of docs (doc_id, text, any others), with all its columns; rows without a doc_id stay.
+
+    Of the rows with a doc_id the one with the smallest stays; of several with that id, in this order, the one whose text
+    has the smallest SHA-256, and the one whose other columns come first as JSON. Rows of one doc_id whose texts belong to
+    different components are each judged in its own. No rows: no rows.
+    """
+    id_, sha, place = "keep one: id", "keep one: sha", "keep one: place"
+    prints = cut(fingerprints(docs, True))
+    rooted = met(prints, _rooted(prints, radius).select("fp", "n", "root"), "fp", "root", "sha")
+    chosen = rooted.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "sha")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.sha").alias("_sha"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    known = docs.where("doc_id is not null").select(*names, F.col("doc_id").cast("long").alias(id_), whole.alias(sha))
+    kept = known.join(chosen, (F.col(id_) == F.col("_id")) & (F.col(sha) == F.col("_sha")), "left_semi")
+    order = F.to_json(F.struct(*(c for c, name in zip(names, docs.columns) if name != "text")))
+    first = kept.withColumn(place, F.row_number().over(Window.partitionBy(id_, sha).orderBy(order))).where(F.col(place) == 1)
+    return first.select(*names).unionByName(docs.where("doc_id is null"))

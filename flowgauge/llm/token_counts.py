@@ -4,7 +4,7 @@ Distinct pre-tokens enter a trie, character by character. Each node holds the be
 of pieces that give it, computed once from the nodes above it, whatever number of pre-tokens share the prefix; the node
 where a pre-token ends holds its occurrences. The pieces are those of a public vocabulary; their log-probabilities
 follow the ranks there by the Zipf-Mandelbrot law, a fixed rule, so that nothing is trained. A character that is no
-piece costs one byte piece for each of its bytes.
+piece costs one byte piece for each of its bytes. Of equally good cuts the one with the longest last piece is taken.
 """
 
 from __future__ import annotations
@@ -135,22 +135,27 @@ class Trie:
         path.append(below)
 
     def count(self, words: dict[str, int]) -> tuple[int, float]:
-        """Counts occurrences of pre-tokens; the number of pieces of them all, and their log-probability."""
+        """Counts a document's pre-tokens at the nodes where they end; the number of pieces of them all, and their
+        log-probability, summed over these terminal counts. times keeps the counts of all documents."""
         if self.nodes > NODES:
             self.clear()
-        ends, times, best, pieces = self.ends, self.times, self.best, self.pieces
-        total, log_prob = 0, 0.0
+        ends, own, outside = self.ends, {}, []
         for word, n in words.items():
             node = ends.get(word)
             if node is None:
                 if len(word) > DEEP:
-                    score, number = self.model.forward(MARK + word)
-                    total, log_prob = total + n * number, log_prob + n * score
+                    outside.append((n, *self.model.forward(MARK + word)))
                     continue
                 node = ends[word] = self.insert(MARK + word)
+            own[node] = n
+        times, best, pieces, total, log_prob = self.times, self.best, self.pieces, 0, 0.0
+        for node, n in own.items():
             times[node] += n
             total += n * pieces[node]
             log_prob += n * best[node]
+        for n, score, number in outside:
+            total += n * number
+            log_prob += n * score
         return total, log_prob
 
 

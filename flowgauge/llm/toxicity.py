@@ -23,7 +23,7 @@ from flowgauge.llm.common import small_batches
 
 BUCKETS, STEMS, STEM = 1 << 15, 1 << 13, 4
 DEPTH, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
-#: The bound of the labelled sample: so many rows, each of at most so many characters.
+#: The bound of the labelled sample: so many rows, of those of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.03, 7
 #: Standard errors taken off a word's log-odds before training.
@@ -255,16 +255,20 @@ def remainder(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from a bounded sample of labelled rows, none of them held out; the sample is drawn by a hash of doc_id.
+    """A model from a bounded sample of labelled rows, none of them held out: SAMPLE_ROWS of those whose text has at most
+    SAMPLE_CHARS characters, drawn by a hash of doc_id and text; equal rows count once.
 
     A doc_id with several labels counts as toxic if one says so; null labels and ids are left out.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("known_id")).agg(F.max("toxic").cast("int").alias("y"))
-    chosen = known.where(remainder(F.col("known_id")) != 2).orderBy(F.xxhash64("known_id"), "known_id").limit(SAMPLE_ROWS)
-    held = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("words"), F.col("lang").cast("string").alias("tongue")).where(F.length("words") <= SAMPLE_CHARS)
-    rows = held.join(F.broadcast(chosen), F.col("id") == F.col("known_id")).select("id", "words", "tongue", "y").collect()  # bounded by SAMPLE_ROWS where ids are unique
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where(remainder(F.col("id")) != 2)
+    words = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    usable = docs.select(F.col("doc_id").cast("long").alias("id"), words.alias("words"), F.col("lang").cast("string").alias("tongue")).where(F.length("words") <= SAMPLE_CHARS).withColumn("print", F.xxhash64("id", "words"))
+    # ids and prints alone are drawn first, so that no more than the sample's texts move
+    drawn = usable.select("id", "print").join(known, "id").groupBy("print", "id").agg(F.first("y").alias("y")).orderBy("print", "id").limit(SAMPLE_ROWS)
+    chosen = usable.join(F.broadcast(drawn.select(F.col("print").alias("drawn"), F.col("id").alias("drawn_id"), "y")), (F.col("print") == F.col("drawn")) & (F.col("id") == F.col("drawn_id")))
+    rows = chosen.groupBy("print", "id").agg(F.min(F.struct("words", "tongue", "y")).alias("r")).select("id", "r.*").orderBy("id").limit(SAMPLE_ROWS).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.words))
-    return fit_rows([(r.words, r.tongue, r.y) for r in rows[:SAMPLE_ROWS]])
+    return fit_rows([(r.words, r.tongue, r.y) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,15 +294,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model does not predict to be toxic, with all their columns."""
+    """The rows of docs whose score is below the threshold of their language (0.3 where it has none, or there is no lang),
+    with all their columns. A null or empty text has the score of no words; repeated rows are judged alike; no rows: no rows."""
     small_batches(docs.sparkSession)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    at = names.index("text")
+    at, tongue = names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer, limits = Scorer(shared.value), shared.value.thresholds or {}
         for b in batches:
-            keep = [scorer.score(t.as_py() or "") < THRESHOLD for t in b.column(at)]
+            langs = b.column(tongue).to_pylist() if tongue is not None else [None] * b.num_rows
+            keep = [scorer.score(t.as_py() or "") < limits.get(lang, THRESHOLD) for t, lang in zip(b.column(at), langs)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
