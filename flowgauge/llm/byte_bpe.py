@@ -122,12 +122,29 @@ class PrefixBpe:
         out.reverse()
         return out
 
+    def found(self, data: bytes, last: list[int]) -> Iterator[tuple[int, int]]:
+        """Appends to last the last tokens of all longer prefixes, and gives each with the place of its last byte. The automaton
+        has all tokens in the data by their ends, the longest first; one of those that end at a place is valid there."""
+        beside = self.beside
+        for end, (token, size) in self.finder.iter(data.decode("latin-1")):
+            if end != len(last) - 1:
+                continue
+            if start := end + 1 - size:
+                may = beside.get((last[start], token))
+                if not (self.may_stand(last[start], token) if may is None else may):
+                    continue
+            last.append(token)
+            yield end, token
+
     def piece(self, data: bytes) -> list[int]:
         """The ids of one pre-token. Prefixes are numbered: next holds the number of a prefix with one more byte."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         if len(data) > LONG:
-            return self.tokens(data, self.lasts(data))
+            last = [-1]
+            for _ in self.found(data, last):
+                pass
+            return self.tokens(data, last)
         if len(self.token) > PREFIXES:
             self.next, self.token = {}, [-1]
         after, token, at, last, known = self.next, self.token, 0, [-1], 0
@@ -138,16 +155,7 @@ class PrefixBpe:
             last.append(token[at])
             known += 1
         if known < len(data):
-            beside = self.beside
-            # all tokens in the piece, by their ends and the longest first; one of those that end at a place is valid there
-            for end, (found, size) in self.finder.iter(data.decode("latin-1")):
-                if end != len(last) - 1:
-                    continue
-                if start := end + 1 - size:
-                    may = beside.get((last[start], found))
-                    if not (self.may_stand(last[start], found) if may is None else may):
-                        continue
-                last.append(found)
+            for end, found in self.found(data, last):
                 below = after[at << 8 | data[end]] = len(token)
                 token.append(found)
                 at = below

@@ -435,6 +435,13 @@ def test_byte_bpe_equals_tiktoken(frame, docs):
     assert Counter(map(tuple, byte_bpe.round_trip(frame).collect())) == want
 
 
+def test_byte_bpe_of_long_pieces_equals_prefix_by_prefix():
+    bpe = byte_bpe.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    for data in (b"a" * 300, "é".encode() * 90, "".join(rng.choice(list("abcdeonst"), 500)).encode(), rng.integers(0, 256, 400).astype(np.uint8).tobytes()):
+        assert bpe.piece(data) == bpe.tokens(data, bpe.lasts(data))
+
+
 def test_byte_bpe_neighbours_follow_the_definition():
     bpe = byte_bpe.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
     rng = np.random.default_rng(8)
