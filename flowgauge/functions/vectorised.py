@@ -1,13 +1,11 @@
-"""Functions that Spark's own can't express, as pandas UDFs over Arrow batches: embeddings, shell intents, tool
-fingerprints and text segments."""
+"""Functions that Spark's own can't express, as pandas UDFs over Arrow batches: embeddings, tool fingerprints and text
+segments. Shell lines are in flowgauge.functions.shell."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import posixpath
 import re
-import shlex
 
 import numpy as np
 import pandas as pd
@@ -16,13 +14,6 @@ from pyspark.sql.functions import pandas_udf
 
 DIMENSION = 384
 _FEATURE = re.compile(r"[a-z0-9_]+")
-#: Programs by what running them is for.
-CHANGES = {"mkdir", "rm", "mv", "cp", "touch", "chmod", "chown", "ln", "patch", "tee"}
-CHANGE_VERBS = {"git": {"add", "commit", "checkout", "switch", "reset", "restore", "apply", "merge", "rebase", "mv", "rm", "push", "stash"}, "sed": {"-i"}} | {p: {"install", "add", "remove", "uninstall", "get", "update", "upgrade"} for p in ("pip", "pip3", "poetry", "npm", "yarn", "pnpm", "cargo", "go", "gem", "apt", "apt-get", "brew")}
-CHECKS = {"pytest", "tox", "nox", "unittest", "jest", "vitest", "mocha", "rspec", "ctest", "ruff", "mypy", "pyright", "flake8", "pylint", "eslint", "tsc", "mvn", "shellcheck"}
-CHECK_VERBS = {"go": {"test", "vet", "build"}, "cargo": {"test", "check", "clippy", "build"}, "make": {"test", "check", "lint", "ci"}, "npm": {"test", "lint"}, "yarn": {"test", "lint"}, "dotnet": {"test", "build"}}
-LOOKS = {"ls", "cat", "head", "tail", "less", "more", "find", "grep", "rg", "tree", "pwd", "wc", "stat", "du", "which", "echo", "env"}
-WRAPPERS = {"sudo", "env", "time", "nohup", "exec", "command", "nice", "xargs", "npx"}
 VOLATILE = {"timestamp", "request_id", "uuid", "id"}
 
 
@@ -41,54 +32,6 @@ def embedding(text: pd.Series) -> pd.Series:
     return text.map(_embed)
 
 
-def commands(line: str | None) -> list[list[str]]:
-    """The simple commands of a shell line, without redirections, assignments and wrappers."""
-    out: list[list[str]] = [[]]
-    try:
-        lexer = shlex.shlex(line or "", posix=True, punctuation_chars="();<>|&\n")
-        lexer.whitespace, lexer.whitespace_split, lexer.commenters = " \t\r", True, ""
-        tokens = list(lexer)
-    except ValueError:
-        tokens = (line or "").split()
-    skip = False
-    for t in tokens:
-        if t and set(t) <= set("();<>|&\n"):
-            skip = "<" in t or ">" in t
-            if not skip:
-                out.append([])
-        elif skip:
-            skip = False
-        else:
-            out[-1].append(t)
-    peeled = []
-    for words in out:
-        while words and (re.match(r"[A-Za-z_]\w*=", words[0]) or posixpath.basename(words[0]) in WRAPPERS):
-            words = words[1:]
-        if words[:2] in (["uv", "run"], ["poetry", "run"]):
-            words = words[2:]
-        if len(words) > 2 and words[0].startswith("python") and words[1] == "-m":
-            words = words[2:]
-        if words:
-            peeled.append([posixpath.basename(words[0]), *words[1:]])
-    return peeled
-
-
-def _intent(line: str | None) -> str:
-    heads = [c for c in commands(line) if c[0] != "cd"]
-    verb = lambda c, table: len(c) > 1 and c[1] in table.get(c[0], ())
-    if any(c[0] in CHANGES or verb(c, CHANGE_VERBS) for c in heads):
-        return "change"
-    if any(c[0] in CHECKS or verb(c, CHECK_VERBS) or c[0] in ("python", "python3", "node") and len(c) > 1 for c in heads):
-        return "validate"
-    return "explore" if heads and (heads[0][0] in LOOKS or heads[0][0] == "git") else "other"
-
-
-@pandas_udf(T.StringType())
-def shell_intent(command: pd.Series) -> pd.Series:
-    """change, validate, explore or other."""
-    return command.map(_intent)
-
-
 def _canonical(value: object) -> object:
     if isinstance(value, dict):
         return {k: _canonical(v) for k, v in sorted(value.items()) if k not in VOLATILE}
@@ -97,6 +40,19 @@ def _canonical(value: object) -> object:
     return " ".join(value.split()) if isinstance(value, str) else value
 
 
+@pandas_udf(T.StringType())
+def canonical_json(value: pd.Series) -> pd.Series:
+    """JSON with sorted keys and no blanks, so that equal values are equal texts; what isn't JSON stays as it is."""
+
+    def one(text: str | None) -> str:
+        try:
+            return json.dumps(json.loads(text or "{}"), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return text or ""
+
+    return value.map(one)
+
+
 @pandas_udf(T.StringType())
 def tool_fingerprint(name: pd.Series, arguments: pd.Series) -> pd.Series:
     """A digest of a tool's name and its arguments in canonical JSON."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,28 +13,52 @@ from flowgauge.functions.scalars import cosine
 
 
 def fold(df: DataFrame, by: str, order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """run over each session's rows in order."""
-    return df.groupBy(by).applyInPandas(lambda p: run(p.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+    """run over each session's rows in order. A task takes many sessions, sorted by Spark, one after the other; it holds one
+    batch, or one session where that is longer."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            key = b[by].to_numpy()
+            fresh = np.nonzero([x != y and not (x is y or pd.isna(x) and pd.isna(y)) for x, y in zip(key[1:], key[:-1])])[0] + 1
+            if held and len(b):
+                x, y = held[-1][by].iloc[-1], key[0]
+                if x != y and not (pd.isna(x) and pd.isna(y)):
+                    yield run(pd.concat(held, ignore_index=True))
+                    held = []
+            begins = [0, *fresh.tolist()]
+            for k, begin in enumerate(begins[:-1]):
+                held.append(b.iloc[begin : begins[k + 1]])
+                yield run(pd.concat(held, ignore_index=True))
+                held = []
+            if len(b):
+                held.append(b.iloc[begins[-1] :])
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(each, schema)
 
 
 def sliding_intents(vectors: DataFrame, split: float = 0.45, length: int = 5) -> DataFrame:
     """Segments of prompts (session_id, seq, vec): a new one begins below the similarity, or when one is full.
 
-    The length resets where a segment begins, so that this is a fold: over a sorted array, in the JVM.
+    The length resets where a segment begins, so that this is a fold, one step a row.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("session_id").orderBy("seq")
     near = vectors.select("session_id", "seq", F.lag("vec").over(w).alias("before"), "vec").select("session_id", "seq", F.when(F.col("before").isNull(), 0.0).otherwise(cosine(F.col("before"), F.col("vec"))).alias("near"))
-    rows = near.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "near"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("segment"), F.lit(0).alias("size"), F.expr("cast(array() as array<struct<seq: bigint, segment: int>>)").alias("out"))
 
-    def step(a, x):
-        fresh = (a["size"] == 0) | (x["near"] < split) | (a["size"] >= length)
-        segment = F.when(fresh & (a["size"] > 0), a["segment"] + 1).otherwise(a["segment"])
-        return F.struct(segment.alias("segment"), F.when(fresh, 1).otherwise(a["size"] + 1).alias("size"), F.concat(a["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), segment.alias("segment")))).alias("out"))
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        segment, size, out = 0, 0, []
+        for close in p["near"].to_numpy():
+            if size and (close < split or size >= length):
+                segment, size = segment + 1, 0
+            size += 1
+            out.append(segment)
+        return p[["session_id", "seq"]].assign(segment=np.array(out, np.int32))
 
-    return rows.select("session_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("x")).select("session_id", "x.seq", "x.segment")
+    return fold(near, "session_id", ["seq"], run, f"session_id {dict(vectors.dtypes)['session_id']}, seq long, segment int")
 
 
 def ema(vectors: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -58,30 +82,33 @@ def knapsack(items: DataFrame, budget: int, exact: int = 500, quantum: int = 100
     quanta for up to `exact` items, by relevance per token beyond."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["relevance"] >= 0.1].reset_index(drop=True)
-        if p["tokens"].sum() <= budget:
-            return p[["session_id", "item", "tokens"]]
-        if len(p) <= exact:
-            room, cost = max(1, budget // quantum), np.maximum(1, p["tokens"].to_numpy() // quantum)
-            best, taken = np.zeros(room + 1), np.zeros((len(p), room + 1), bool)
-            for k, (c, v) in enumerate(zip(cost, p["relevance"])):
+        tokens, worth = p["tokens"].to_numpy(), p["relevance"].to_numpy()
+        able = np.nonzero(worth >= 0.1)[0]
+        tokens, worth = tokens[able], worth[able]
+        if tokens.sum() <= budget:
+            chosen = np.arange(len(able))
+        elif len(able) <= exact:
+            room, cost = max(1, budget // quantum), np.maximum(1, tokens // quantum)
+            best, taken = np.zeros(room + 1), np.zeros((len(able), room + 1), bool)
+            for k, (c, v) in enumerate(zip(cost.tolist(), worth.tolist())):
                 if c <= room:
                     more = best[: room + 1 - c] + v
-                    taken[k, c:] = more > best[c:]
-                    best[c:] = np.maximum(best[c:], more)
+                    np.greater(more, best[c:], out=taken[k, c:])
+                    np.maximum(best[c:], more, out=best[c:])
             chosen, left = [], room
-            for k in range(len(p) - 1, -1, -1):
+            for k in range(len(able) - 1, -1, -1):
                 if taken[k, left]:
                     chosen.append(k)
-                    left -= cost[k]
-            return p.loc[sorted(chosen), ["session_id", "item", "tokens"]]
-        ranked = p.assign(worth=p["relevance"] / p["tokens"].clip(lower=1)).sort_values(["worth", "item"], ascending=[False, True])
-        used, chosen = 0, []
-        for k, tokens in zip(ranked.index, ranked["tokens"]):
-            if used + tokens <= budget:
-                chosen.append(k)
-                used += tokens
-        return p.loc[sorted(chosen), ["session_id", "item", "tokens"]]
+                    left -= int(cost[k])
+            chosen = np.array(chosen[::-1], np.int64)
+        else:
+            used, kept = 0, []
+            for k in np.lexsort((p["item"].to_numpy()[able], -worth / np.maximum(1, tokens))).tolist():
+                if used + tokens[k] <= budget:
+                    kept.append(k)
+                    used += int(tokens[k])
+            chosen = np.sort(np.array(kept, np.int64))
+        return p.iloc[able[chosen]][["session_id", "item", "tokens"]]
 
     return fold(items, "session_id", ["item"], run, "session_id long, item long, tokens long")
 
@@ -119,23 +146,43 @@ def interventions(signals: DataFrame, floor: float = 0.7, cooldown: int = 20, le
 
 
 def excessive_planning(steps: DataFrame, least: int = 4, novelty: float = 0.25) -> DataFrame:
-    """Runs of `least` or more planning steps (session_id, seq, planning, words): steps whose words are mostly known."""
+    """Findings for runs of `least` or more planning steps (see flowgauge.operators.steps) in a row, without the results of
+    plan calls: in each, from the third step on, reasoning of whose words at most a share `novelty` is new to the prompt and
+    the run, and plan calls that repeat one of the run. One row for such a step: session_id, run (its first idx), idx, and
+    the finding's confidence, 0.55 and 0.05 for each step of the run, 0.9 at most."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        out, island = [], (~p["planning"]).cumsum()
-        for _, part in p[p["planning"]].groupby(island[p["planning"]]):
-            if len(part) < least:
-                continue
-            known: set[str] = set()
-            for k, r in enumerate(part.itertuples()):
+        out: list[tuple] = []
+        part: list = []
+        prompt: set[str] = set()
+
+        def judged() -> None:
+            known, keys, extra = set(prompt), set(), []
+            for place, r in enumerate(part):
                 mine = set(r.words)
-                fresh = len(mine - known) / len(mine) if mine else 0.0
-                if k and fresh <= novelty:
-                    out.append((r.session_id, r.seq, round(fresh, 4)))
+                again = (len(mine - known) / len(mine) if mine else 0.0) <= novelty if r.kind == "reasoning" else r.call_key in keys
+                if place >= 2 and again:
+                    extra.append(r.idx)
                 known |= mine
-        return pd.DataFrame(out, columns=["session_id", "seq", "novelty"])
+                keys.add(r.call_key)
+            if len(part) >= least:
+                out.extend((part[0].session_id, part[0].idx, x, round(min(0.9, 0.55 + 0.05 * len(part)), 4)) for x in extra)
+            part.clear()
 
-    return fold(steps, "session_id", ["seq"], run, "session_id long, seq long, novelty double")
+        for r in p.itertuples():
+            if r.kind == "completion" and r.tool_kind == "plan":
+                continue
+            if r.kind == "reasoning" or (r.kind == "request" and r.tool_kind == "plan"):
+                part.append(r)
+                continue
+            judged()
+            if r.kind == "prompt":
+                prompt = set(r.words)
+        judged()
+        return pd.DataFrame(out, columns=["session_id", "run", "idx", "confidence"])
+
+    taken = steps.select("session_id", "idx", "kind", "tool_kind", "call_key", "words")
+    return fold(taken, "session_id", ["idx"], run, "session_id string, run long, idx long, confidence double")
 
 
 def bootstrap(records: DataFrame, by: str, samples: int = 400, seed: int = 17) -> DataFrame:

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowgauge import shared
+
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """start, node and depth of every node within `depth` steps of each start (column node), nearest depth first."""
-    spark = edges.sparkSession
-    text = f"""with recursive walk(start, node, depth) as (select node as start, node, 0 as depth from {{starts}}
-      union all select w.start, e.dst as node, w.depth + 1 as depth from walk w join {{edges}} e on e.src = w.node where w.depth < {int(depth)})
-      select start, node, min(depth) as depth from walk group by start, node"""
-    return spark.sql(text, starts=starts, edges=edges)
+    """start, node and depth of every node within `depth` steps of each start (column node), nearest depth first. A pair of
+    start and node is walked on from once, so that the work doesn't grow with the number of walks."""
+    steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    rim = met = _cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
+    for at in range(1, depth + 1):
+        ahead = rim.join(steps, rim["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
+        rim = _cut(ahead.join(met, ["start", "node"], "left_anti").withColumn("depth", F.lit(at)))
+        if rim.isEmpty():
+            break
+        met = met.unionByName(rim)
+    return met
 
 
 def neighbours(edges: DataFrame, both_ways: bool = False) -> DataFrame:
@@ -21,20 +28,15 @@ def neighbours(edges: DataFrame, both_ways: bool = False) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"))).distinct() if both_ways else out.distinct()
 
 
-def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """Nodes that lie on a cycle of at most `longest` edges."""
-    out = reach(edges, edges.select(F.col("src").alias("node")).distinct(), longest - 1)
-    back = out.join(edges, (out.node == edges.src) & (out.start == edges.dst))
-    return back.select(F.col("start").alias("node")).distinct()
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle, however long."""
+    return shortest_cycles(edges).select("node")
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without what led to them: in the checkpoint folder, or with the executors where none is set (tests)."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """The same rows without what led to them, held in the checkpoint folder that driver and executors share."""
+    shared.checkpoints(df.sparkSession)
+    return df.checkpoint()
 
 
 def shortest_cycles(edges: DataFrame) -> DataFrame:

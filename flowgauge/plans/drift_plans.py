@@ -7,10 +7,6 @@ from flowgauge.plans import lean_plans
 from flowgauge.plans.catalog import Plan
 
 SEGMENTED = "f as (select *, sum(case when kind = 'prompt' then 1 else 0 end) over (partition by session_id order by seq) as segment from {e})"
-#: A later turn of the same role that repeats an earlier one, best first.
-OVERLAPS = """
-w as (select session_id, seq, role, array_distinct(regexp_extract_all(lower(text), '[a-z]{4,}', 0)) as words from {c}),
-o as (select a.session_id, a.seq, b.seq as later, size(array_intersect(a.words, b.words)) as shared, size(a.words) as n, size(b.words) as n_later from w a join w b on a.session_id = b.session_id and a.role = b.role and b.seq > a.seq where a.role = 'assistant' and size(a.words) >= 4)"""
 #: Module m imports module 3 m + 1 (by 100); a session's surface is what it read before its first edit, with neighbours.
 SURFACE = """
 f as (select session_id, seq, kind, path, tokens, min(case when kind = 'edit' then seq end) over (partition by session_id) as first_edit, count(*) over (partition by session_id) as n from {e} where kind <> 'prompt' and path is not null),
@@ -28,8 +24,6 @@ ALL = lean_plans.ALL
 EDIT_EDGES = "select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path"
 
 PLANS = [
-    Plan("d9_unnecessary_handoff", f"with {OVERLAPS} select session_id, later as seq, 'unnecessary_handoff' as detector, round(least(0.65, 0.45 + 0.4 * max(shared * 1.0 / n)), 4) as confidence from o where shared >= 3 and shared >= 0.15 * n group by session_id, later"),
-    Plan("d11_regeneration", f"with {OVERLAPS} select session_id, later as seq, 'regeneration' as detector, round(max(shared * 1.0 / n), 4) as kept, max(case when shared >= 0.3 * n and shared >= 0.2 * n_later then 0.8 else 0.6 end) as confidence from o where shared >= 0.15 * n group by session_id, later"),
     Plan("d15_unused_traversal", f"""
 with {SEGMENTED}, r as (select session_id, segment, path, min(seq) as seq, max(tokens) as tokens from f where kind = 'read' group by session_id, segment, path),
 u as (select session_id, segment, path, max(seq) as used from f where kind in ('edit', 'check') group by session_id, segment, path)

@@ -20,13 +20,6 @@ i as (select session_id, seq, lead(seq) over (partition by session_id, role orde
 g as (select session_id, seq, next_seq, gram, count(*) as k from (select session_id, seq, next_seq, substr(lower(text), cast(place as int), 3) as gram from (select session_id, seq, next_seq, text, explode(sequence(1, greatest(1, length(text) - 2))) as place from i) x) y group by session_id, seq, next_seq, gram),
 h as (select session_id, case side when 0 then seq else next_seq end as seq, gram, sum(case side when 0 then k else 0 end) as k, sum(case side when 1 then k else 0 end) as old_k from (select *, explode(sequence(0, 1)) as side from g) x where side = 0 or next_seq is not null group by 1, 2, 3),
 cosines as (select session_id, seq, sum(k * old_k) / (sqrt(sum(k * k)) * sqrt(sum(old_k * old_k))) as semantic from h group by session_id, seq having sum(old_k) > 0)"""
-#: A shell line for each event.
-COMMANDS = """
-k as (select session_id, seq, case when kind = 'read' and path % 2 = 0 then concat('cat  src/m', path, '.py | head -', tokens) when kind = 'read' then concat('grep -n todo  src/m', path, '.py | tail -n 5') when kind = 'edit' and path % 3 = 0 then concat('sed -i s/a/b/ src/m', path, '.py')
-  when kind = 'edit' then concat('echo x > src/m', path, '.py') when kind = 'check' then concat('pytest   tests/test_m', path, '.py') else 'ls' end as command from {e})"""
-#: What a check prints.
-OUTPUTS = """
-o as (select session_id, seq, case outcome when 'failed' then concat('Error: m', path, ' gave exit code 1 in ', tokens, 'ms') when 'passed' then concat(tokens, ' passed in ', path, 's') else concat('<tool_use_error>no file m', path) end as output from {e} where kind = 'check')"""
 #: Paths as different shells write them.
 PATHS = """
 p as (select session_id, seq, path, case path % 3 when 0 then concat('C:/work/app', session_id % 4, '/src/m', path, '.py') when 1 then concat('/c/work/app', session_id % 4, '/src/m', path, '.ts') else concat('/c/work/lib/m', path, '.md') end as raw from {e} where path is not null),
@@ -52,11 +45,6 @@ d as (select *, case when chars > 0 then code * 1.0 / chars else 0.0 end as dens
 select session_id, seq, greatest(cast(1 as bigint), cast(floor(chars / case when density >= 0.03 then 3.2 else 4.0 end) as bigint)) as tokens, round(case when chars = 0 then 0.0 when density >= 0.03 then 0.7 else 0.8 end, 4) as confidence from d"""),
     Plan("p6_block_phase", "select session_id, seq, case kind when 'read' then 'reasoning' when 'edit' then 'tool_use' when 'check' then 'tool_use' else 'generation' end as phase from {e}"),
     Plan("p8_event_class", "select class, count(*) as events, cast(sum(tokens) as bigint) as tokens from (select tokens, case when kind = 'prompt' then 'user' when outcome is not null then 'lifecycle' when kind = 'edit' then 'generated' else 'tool' end as class from {e}) x group by class"),
-    Plan("p9_call_key", "select call_key, count(*) as calls, min(event_id) as first_event from (select event_id, substr(sha2(concat(kind, chr(0), '{\"path\":', path, '}'), 256), 1, 16) as call_key from {e} where kind <> 'prompt' and path is not null) x group by call_key"),
-    Plan("p11_stage_of_tool", "select session_id, case kind when 'prompt' then 'intent' when 'read' then 'explore' when 'edit' then 'implement' else case when outcome is null then 'other' else 'validate' end end as stage, count(*) as steps from {e} group by 1, 2"),
-    Plan("p16_failure_signature", f"""
-with {OUTPUTS}, l as (select session_id, seq, array_sort(array_distinct(transform(filter(split(output, chr(10)), x -> x like '%rror%'), x -> regexp_replace(trim(x), '[0-9]+(ms|s)', '#')))) as bad from o)
-select signature, count(*) as n, count(distinct session_id) as sessions from (select session_id, substr(sha2(array_join(bad, chr(10)), 256), 1, 16) as signature from l where size(bad) > 0) x group by signature"""),
     Plan("p17_output_fingerprint", "select session_id, seq, substr(sha2(regexp_replace(trim(text), '[0-9]+([.][0-9]+)?(ms|s)?', '#'), 256), 1, 16) as fingerprint from {c}"),
     Plan("p20_defined_names", """select doc_id, array_join(array_sort(array_distinct(regexp_extract_all(text, '(class|function|def|const|let|var|password|token)[ =:"]+([A-Za-z0-9_]{3,})', 2))), ' ') as names from {d} where size(regexp_extract_all(text, '(class|function|def|const|let|var|password|token)[ =:"]+([A-Za-z0-9_]{3,})', 2)) > 0"""),
     Plan("p21_source_lines", "select doc_id, size(array_distinct(filter(transform(split(text, chr(10)), x -> trim(x)), x -> x <> ''))) as lines, size(split(text, chr(10))) as raw_lines from {d} where text is not null"),
@@ -64,10 +52,6 @@ select signature, count(*) as n, count(distinct session_id) as sessions from (se
          duck=QUESTIONS.format(clean=r"regexp_replace(lower(text), '\b[.]\b', ' ', 'g')", each="unnest", words=r"where regexp_matches(sentence, '[?][ \t\r\n]$')")),
     Plan("p24_path_predicates", f"with {PATHS} select session_id, seq, full_path like '%.md' as is_doc, full_path like '%/src/%' as in_source, full_path like 'C:/work/lib/%' as outside from n"),
     Plan("p26_change_terms", f"with {SETS} select session_id, seq, size(array_except(words, old_words)) as added, size(array_except(old_words, words)) as removed from b where old_seq is not null"),
-    Plan("p31_plain_command", f"with {COMMANDS}, x as (select session_id, seq, regexp_replace(command, '[ ]*[|][ ]*(tail|head) +-n? *[0-9]+ *$', '') as command from k) select session_id, seq, regexp_replace(command, ' +', ' ') as command from x"),
-    Plan("p32_anti_pattern", f"with {COMMANDS} select session_id, tool, count(*) as n from (select session_id, case when command rlike '^ *(cat|head|tail) ' then 'Read' when command rlike '^ *(grep|rg) ' then 'Grep' when command rlike '^ *find ' then 'Glob' when command rlike '^ *sed +-i' then 'Edit' when command rlike '^ *echo .*>' then 'Write' when command rlike '^ *ls( |$)' then 'LS' end as tool from k) x where tool is not null group by session_id, tool"),
-    Plan("p18_tool_failed", f"with {OUTPUTS} select session_id, seq, output like '<tool_use_error>%' as failed, output like '%passed%' as passed from o"),
-    Plan("p33_error_result", f"with {OUTPUTS} select session_id, count(*) filter (where output like 'Error%') as by_prefix, count(*) filter (where output like '%exit code%' or output like '%tool_use_error%') as by_marker, count(*) as outputs from o group by session_id"),
     Plan("p35_text_repetition", f"with {GRAMS}, {SETS} select s.session_id, s.seq, round((0.82 * x.semantic + 0.18 * (0.45 * s.lexical + 0.30 * s.entity + 0.25 * s.action)) * (1.0 - 0.30 * (1.0 - s.lexical)), 4) as score from s join cosines x on x.session_id = s.session_id and x.seq = s.seq"),
     Plan("p36_tool_repetition", """
 with c as (select session_id, seq, kind, path, tokens, lag(kind) over w as old_kind, lag(path) over w as old_path, lag(tokens) over w as old_tokens from {e} where kind <> 'prompt' window w as (partition by session_id order by seq)),

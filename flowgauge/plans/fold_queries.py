@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions import scalars, vectorised
-from flowgauge.operators import folds, intents
-from flowgauge.plans import fact_plans, lean_plans
+from flowgauge.operators import folds, intents, similar
+from flowgauge.plans import lean_plans, sample_plans
 from flowgauge.plans.catalog import Plan
 from flowgauge.sources.feeds import feed
 from flowgauge.sources.redaction import redact_table
@@ -21,7 +21,7 @@ def t5_ema_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w29_sliding_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.sliding_intents(feed(spark, sf_dir, "v"), split=0.0)
+    return folds.sliding_intents(feed(spark, sf_dir, "v"), )
 
 
 def k4_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,19 @@ def t9_policy_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d6_excessive_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = feed(spark, sf_dir, "c")
-    return folds.excessive_planning(turns.where("role <> 'user'").select("session_id", "seq", F.lit(True).alias("planning"), scalars.words("text").alias("words")), least=2, novelty=0.9)
+    return folds.excessive_planning(sample_plans.sample_steps(spark))
+
+
+def w11_context_restatement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.pairs(feed(spark, sf_dir, "v"), 0.85, first=True).select("session_id", "seq", F.col("earlier").alias("first_earlier"))
+
+
+def j14_similar_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.pairs(feed(spark, sf_dir, "v"), 0.75).select("session_id", F.col("earlier").alias("first_seq"), F.col("seq").alias("second_seq"), "similarity")
+
+
+def a10_prompt_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.redundancy(feed(spark, sf_dir, "v"), 0.75)
 
 
 def a36_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,12 +89,7 @@ def d12_intent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k3_redundancy_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = feed(spark, sf_dir, "c").select("session_id", "seq", vectorised.embedding("text").alias("vec"))
-    return intents.prune_redundant(turns, above=0.4)
-
-
-def p13_shell_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = Plan("", f"with {fact_plans.COMMANDS} select session_id, seq, command from k").run(spark, sf_dir)
-    return lines.select("session_id", "seq", vectorised.shell_intent("command").alias("intent"))
+    return intents.prune_redundant(turns)
 
 
 def p29_tool_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +98,28 @@ def p29_tool_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, a36_bootstrap, s21_redacted_documents, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p13_shell_intents, p29_tool_fingerprints)
+    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints)
     return {f.__name__: f for f in found}
+
+
+COSINE = "list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[]))"
+#: Every pair of a label's vectors, for the oracles of like pairs.
+LIKE = f"with p as (select a.label as session_id, a.vec_id as first_seq, b.vec_id as second_seq, round({COSINE}, 4) as similarity from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id)"
+#: Runs of planning steps, each step's words against those of the prompt and the run before it.
+PLANNED = f"""with recursive {sample_plans.SAID},
+p as (select session_id, idx, kind, call_key, words, (select arg_max(x.words, x.idx) from sw x where x.session_id = q.session_id and x.kind = 'prompt' and x.idx < q.idx) as prompt,
+  (select count(*) from sw x where x.session_id = q.session_id and x.idx <= q.idx and not (x.kind = 'reasoning' or coalesce(x.tool_kind = 'plan', false))) as run from (select s.*, a.call_key from sw s left join asked a on a.session_id = s.session_id and a.idx = s.idx) q where kind = 'reasoning' or (kind = 'request' and tool_kind = 'plan')),
+n as (select *, row_number() over (partition by session_id, run order by idx) as place, count(*) over (partition by session_id, run) as steps, min(idx) over (partition by session_id, run) as first_idx from p),
+k as (select n.*, coalesce((select flatten(list(b.words)) from n b where b.session_id = n.session_id and b.run = n.run and b.idx < n.idx), []) || coalesce(prompt, []) as known, exists (select 1 from n b where b.session_id = n.session_id and b.run = n.run and b.idx < n.idx and b.call_key = n.call_key) as same from n),
+e as (select *, case kind when 'reasoning' then len(list_filter(words, lambda w: not list_contains(known, w))) <= 0.25 * len(words) else same end as again from k)
+select session_id, first_idx as run, idx, round(least(0.9, 0.55 + 0.05 * steps), 4)::double as confidence from e where steps >= 4 and place > 2 and again"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """Those that SQL can state."""
+    return {
+        "w11_context_restatement": f"{LIKE} select session_id, second_seq as seq, min(first_seq) as first_earlier from p where similarity >= 0.85 group by all",
+        "j14_similar_prompts": f"{LIKE} select * from p where similarity >= 0.75",
+        "a10_prompt_redundancy": f"{LIKE}, u as (select session_id, first_seq as seq from p where similarity >= 0.75 union select session_id, second_seq from p where similarity >= 0.75) select e.label as session_id, count(*) as total, count(u.seq) as redundant, round(count(u.seq) / count(*), 4) as score from embeddings e left join u on u.session_id = e.label and u.seq = e.vec_id group by e.label",
+        "d6_excessive_planning": PLANNED,
+    }

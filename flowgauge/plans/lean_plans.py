@@ -22,12 +22,12 @@ D4 = """d4 as (select session_id, max(seq) as seq, 'unvalidated_implementation'
   from f group by session_id, segment having max(case when kind = 'edit' then seq end) > coalesce(max(case when kind = 'check' then seq end), 0))"""
 D5 = """d5 as (select session_id, min(seq) as seq, 'premature_implementation' as detector, 'defects' as waste, 'risk' as kind, case when min(reads) = 0 then 0.45 else 0.75 end as confidence, cast(0 as bigint) as tokens
   from f where kind = 'edit' and path_known = 0 and path_edits = 1 group by session_id, path)"""
-D7 = """d7 as (select session_id, max(seq) as seq, 'fragmented_edits' as detector, 'motion' as waste, 'waste' as kind, least(0.85, 0.7 + 0.05 * (count(*) - 2)) as confidence, cast(sum(tokens) - min_by(tokens, seq) as bigint) as tokens
-  from (select *, row_number() over (partition by session_id order by seq) - row_number() over (partition by session_id, path order by seq) as island from f where kind = 'edit') x group by session_id, path, island having count(*) >= 2)"""
+D7 = """d7 as (select session_id, max(seq) as seq, 'fragmented_edits' as detector, 'motion' as waste, 'waste' as kind, least(0.85, 0.7 + 0.05 * (count(*) - 3)) as confidence, cast(sum(tokens) - min_by(tokens, seq) as bigint) as tokens
+  from (select *, row_number() over (partition by session_id order by seq) - row_number() over (partition by session_id, path order by seq) as island from f where kind = 'edit') x group by session_id, path, island having count(*) >= 3)"""
 D8 = """d8 as (select session_id, seq, 'unused_context' as detector, 'inventory' as waste, 'waste' as kind, 0.55 as confidence, tokens
   from (select *, max(seq) over (partition by session_id, path) as last_touch, row_number() over (partition by session_id, path order by seq) as nth from f where kind in ('read', 'edit')) x where kind = 'read' and nth = 1 and last_touch = seq)"""
-D13 = """d13 as (select session_id, min(seq) as seq, 'excessive_context' as detector, 'inventory' as waste, 'waste' as kind, least(0.65, 0.55 + 0.02 * (max(reads) - 5)) as confidence, cast(0 as bigint) as tokens
-  from f where kind = 'read' and edits = 0 group by session_id having count(distinct path) >= 5)"""
+D13 = """d13 as (select session_id, min(seq) as seq, 'excessive_context' as detector, 'inventory' as waste, 'waste' as kind, least(0.65, 0.55 + 0.02 * (count(distinct case when kind = 'read' and edits = 0 then path end) - 3 * count(distinct case when kind = 'edit' then path end) - 3)) as confidence, cast(0 as bigint) as tokens
+  from f group by session_id having max(edits) > 0 and count(distinct case when kind = 'read' and edits = 0 then path end) >= 3 * count(distinct case when kind = 'edit' then path end) + 5)"""
 D14 = """d14 as (select session_id, seq, 'insufficient_context' as detector, 'defects' as waste, 'risk' as kind, 0.7 as confidence, cast(0 as bigint) as tokens
   from (select *, row_number() over (partition by session_id order by seq) as nth from f where kind = 'edit' and path_edits = 1) x where nth > reads)"""
 BRANCHES = {"d1": D1, "d2": D2, "d3": D3, "d4": D4, "d5": D5, "d7": D7, "d8": D8, "d13": D13, "d14": D14}
@@ -41,10 +41,6 @@ s as (select e.session_id, e.seq, e.kind, e.tokens, coalesce(a.avoidable, 0.0) a
 
 PLANS = [
     *(Plan(f"{d}_{NAMES[d]}", f"with {BASE.strip()}, {BRANCHES[d]} select {COLUMNS} from {d}") for d in BRANCHES),
-    Plan("d10_repeated_reasoning", """
-with w as (select session_id, seq, array_distinct(regexp_extract_all(lower(text), '[a-z]{4,}', 0)) as words from {c} where role = 'assistant'),
-p as (select a.session_id, a.seq, b.seq as earlier, size(array_intersect(a.words, b.words)) as shared, size(a.words) as n from w a join w b on a.session_id = b.session_id and b.seq < a.seq)
-select session_id, seq, max(shared) as shared, max(n) as n_words, round(1.0 - max(shared * 1.0 / n), 4) as novelty from p where n > 0 group by session_id, seq having max(shared) >= 3"""),
     Plan("u1_findings_union", ALL + " select *, row_number() over (partition by session_id order by case kind when 'waste' then 0 else 1 end, tokens desc, seq, detector) as rank from u"),
     Plan("o3_top_causes", ALL + " select detector, n, tokens, rank from (select detector, count(*) as n, cast(sum(tokens) as bigint) as tokens, row_number() over (order by sum(tokens) desc, detector) as rank from u group by detector) x where rank <= 6"),
     Plan("a16_allocation_once", CHARGED + " select session_id, seq, round(avoidable, 4) as avoidable, round(unsure, 4) as unsure, sure_detector, unsure_detector from s where avoidable + unsure > 0"),

@@ -8,6 +8,12 @@ from flowgauge.plans.catalog import Plan
 CONTROL = """m as (select session_id, seq, tokens * 1.0 as x, abs(tokens - lag(tokens) over (partition by session_id order by seq)) * 1.0 as mr from {t}),
 l as (select session_id, count(*) as n, avg(x) as centre, avg(mr) as mr_bar from m group by session_id having count(*) >= 8)"""
 SIGNALS = f"with {CONTROL}, z as (select m.session_id, m.seq, m.x, l.centre, l.mr_bar / 1.128 as sigma, case when l.mr_bar > 0 then (m.x - l.centre) / (l.mr_bar / 1.128) end as d from m join l on l.session_id = m.session_id)"
+#: A point beyond so many sigmas on a side, where most of the last points are; a side counts where its natural limit exists.
+ZONE = """ select session_id, seq from (select session_id, seq, d, centre, sigma, sum(case when d > {far} then 1 else 0 end) over w as above, sum(case when d < -{far} then 1 else 0 end) over w as below from z window w as (partition by session_id order by seq rows between {back} preceding and current row)) y
+where (d > {far} and above >= {least}) or (d < -{far} and below >= {least} and centre - 2.66 * 1.128 * sigma >= 0)"""
+SIDES = """with x as (select session_id, seq, tokens::double as v, row_number() over (partition by session_id order by seq) as n from {t}),
+s as (select a.session_id, avg(a.v) as centre, avg(abs(a.v - b.v)) as mr from x a left join x b on b.session_id = a.session_id and b.n = a.n - 1 group by a.session_id having count(*) >= 8),
+k as (select x.*, (x.v - s.centre) / (s.mr / 1.128) as d, x.v > s.centre or s.centre - 2.66 * s.mr >= 0 as open from x join s on s.session_id = x.session_id where s.mr > 0)"""
 #: Dated rates in dollars for a million tokens.
 PRICES = "(select * from (values ('small', date '1990-01-01', 3.0), ('small', date '1995-01-01', 2.0), ('large', date '1990-01-01', 15.0), ('large', date '1994-07-01', 12.0), ('large', date '1997-01-01', 10.0)) as v(model, effective_from, rate))"
 #: The price of a turn is that of the latest entry of its model that is in force on its day.
@@ -38,8 +44,10 @@ select session_id, round(first_half, 4) as first_half, round(second_half, 4) as
     Plan("a32_natural_limits", f"with {CONTROL} select session_id, n, round(centre, 6) as centre, round(mr_bar, 6) as mr_bar, round(centre + 2.66 * mr_bar, 6) as upper, case when centre - 2.66 * mr_bar >= 0 then round(centre - 2.66 * mr_bar, 6) end as lower, round(mr_bar / 1.128, 6) as sigma, round(3.268 * mr_bar, 6) as mr_upper from l"),
     Plan("w38_control_points", SIGNALS + " select session_id, seq, round(x, 4) as x, round(d, 6) as distance from z"),
     Plan("w39_beyond_limits", SIGNALS + " select session_id, seq, round(x, 4) as x, case when x > centre + 2.66 * 1.128 * sigma + 1e-9 then 'above' else 'below' end as side from z where x > centre + 2.66 * 1.128 * sigma + 1e-9 or (centre - 2.66 * 1.128 * sigma >= 0 and x < centre - 2.66 * 1.128 * sigma - 1e-9)"),
-    Plan("w40_two_of_three", SIGNALS + " select session_id, seq from (select session_id, seq, d, sum(case when d > 2 then 1 else 0 end) over (partition by session_id order by seq rows between 2 preceding and current row) as n from z) y where d > 2 and n >= 2"),
-    Plan("w40_four_of_five", SIGNALS + " select session_id, seq from (select session_id, seq, d, sum(case when d > 1 then 1 else 0 end) over (partition by session_id order by seq rows between 4 preceding and current row) as n from z) y where d > 1 and n >= 4"),
+    Plan("w40_two_of_three", SIGNALS + ZONE.format(far=2, back=2, least=2),
+         SIDES + " select a.session_id, a.seq from k a where abs(a.d) > 2 and a.open and (select count(*) from k b where b.session_id = a.session_id and b.n between a.n - 2 and a.n and abs(b.d) > 2 and sign(b.d) = sign(a.d)) >= 2"),
+    Plan("w40_four_of_five", SIGNALS + ZONE.format(far=1, back=4, least=4),
+         SIDES + " select a.session_id, a.seq from k a where abs(a.d) > 1 and a.open and (select count(*) from k b where b.session_id = a.session_id and b.n between a.n - 4 and a.n and abs(b.d) > 1 and sign(b.d) = sign(a.d)) >= 4"),
     Plan("w41_run_of_eight", SIGNALS + " select session_id, seq from (select session_id, seq, count(*) over w as n, min(sign(d)) over w as lo, max(sign(d)) over w as hi from z window w as (partition by session_id order by seq rows between 7 preceding and current row)) y where n = 8 and lo = hi and lo <> 0"),
     Plan("a8_input_growth", """
 with g as (select session_id, seq, tokens, tokens - 2 * lag(tokens, 1) over (partition by session_id order by seq) + lag(tokens, 2) over (partition by session_id order by seq) as second_difference from {t} where tokens > 100)

@@ -11,11 +11,10 @@ HABITS = (("Read", "^ *(cat|head|tail) "), ("Grep", "^ *(grep|rg) "), ("Glob", "
 HABIT = "case " + " ".join(f"when regexp_like(text, '{p}') then '{t}'" for t, p in HABITS) + " else 'none' end"
 
 PLANS = [
-    Plan("w14_bash_antipatterns", f"select {HABIT} as recommended, count(*) as n from {{c}} group by {HABIT}", f"select {HABIT.replace('regexp_like', 'regexp_matches')} as recommended, count(*) as n from {{c}} group by 1"),
     Plan("w18_error_retry_spiral", """
 with b as (select *, case when outcome = 'failed' and lag(outcome) over (partition by session_id, path order by seq) = 'failed' then 0 else 1 end as fresh from {e} where kind = 'check'),
 i as (select *, sum(fresh) over (partition by session_id, path order by seq) as spiral from b)
-select session_id, path, min(seq) as start_seq, count(*) as n, cast(sum(tokens) as bigint) as tokens from i where outcome = 'failed' group by session_id, path, spiral having count(*) >= 2"""),
+select session_id, path, min(seq) as start_seq, count(*) as n, cast(sum(tokens) as bigint) as tokens from i where outcome = 'failed' group by session_id, path, spiral having count(*) >= 3"""),
     Plan("w22_combined_patterns", """
 with r as (select session_id, 'repetitive_read' as pattern, min(seq) as start_seq, count(*) as n from {e} where kind = 'read' group by session_id, path having count(*) >= 2),
 c as (select session_id, 'repeated_command' as pattern, min(seq) as start_seq, count(*) as n from {e} where kind = 'check' group by session_id, path having count(*) >= 2),
@@ -70,16 +69,14 @@ select category, count(*) as n, cast(sum(tokens) as bigint) as tokens, round(sum
     Plan("b3_waste_by_type", "select outcome, kind, cast(sum(tokens) as bigint) as tokens, count(*) as n, row_number() over (order by sum(tokens) desc, kind, outcome nulls first) as place from {e} group by outcome, kind"),
     Plan("b7_prompt_hints", "select session_id, hint, priority from (select session_id, 'run the check before the next edit' as hint, 1 as priority, count(*) filter (where outcome = 'failed') * 1.0 / nullif(count(*) filter (where kind = 'check'), 0) as x from {e} group by session_id union all select session_id, 'name the files to read' as hint, 2 as priority, count(*) filter (where kind = 'read') * 1.0 / count(*) as x from {e} group by session_id) y where x >= 0.5 or priority = 2 and x >= 0.25"),
     Plan("b8_threshold_gate", "select session_id, round(passed, 4) as score, passed >= 0.5 and reads >= 0.1 as met from (select session_id, count(*) filter (where outcome = 'passed') * 1.0 / nullif(count(*) filter (where kind = 'check'), 0) as passed, count(*) filter (where kind = 'read') * 1.0 / count(*) as reads from {e} group by session_id) x where passed is not null"),
-    Plan("j8_handoff_overlap", f"""
-with {WORDS}, o as (select a.session_id, a.seq, b.seq as later, size(array_intersect(a.words, b.words)) as shared, size(a.words) as n from w a join w b on a.session_id = b.session_id and b.seq > a.seq and b.role = a.role where a.role = 'assistant')
-select session_id, seq, later, shared, round(shared * 1.0 / n, 4) as score from (select *, row_number() over (partition by session_id, seq order by shared desc, later) as r from o where shared >= 3 and shared >= 0.3 * n) x where r = 1"""),
     Plan("j13_check_contract", """
 with k as (select explode(sequence(0, 19)) as path), v as (select path, count(*) as runs, min(case outcome when 'failed' then 0 else 1 end) as ok from {e} where kind = 'check' group by path)
 select cast(k.path as bigint) as path, coalesce(v.runs, 0) as runs, case when v.path is null then 'missing' when v.ok = 0 then 'failed' else 'passed' end as status from k left join v on v.path = k.path""",
          """
 with k as (select unnest(range(0, 20)) as path), v as (select path, count(*) as runs, min(case outcome when 'failed' then 0 else 1 end) as ok from {e} where kind = 'check' group by path)
 select cast(k.path as bigint) as path, coalesce(v.runs, 0) as runs, case when v.path is null then 'missing' when v.ok = 0 then 'failed' else 'passed' end as status from k left join v on v.path = k.path"""),
-    Plan("j16_versions_across_sources", "select text_length, count(distinct source) as sources, count(distinct sha2(text, 256)) as versions from (select length(text) as text_length, text, source from {d}) x group by text_length having count(distinct sha2(text, 256)) > 1"),
+    Plan("j16_versions_across_sources", "select fragment, count(distinct source) as sources, count(distinct version) as versions from (select lower(regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1)) as fragment, source, sha2(text, 256) as version from {d} where text is not null) x where fragment <> '' group by fragment having count(distinct version) > 1",
+         "with x as (select lower(array_to_string(string_split(text, ' ')[1:4], ' ')) as fragment, source, md5(text) as version from {d} where text is not null and len(string_split(text, ' ')) >= 4 and not list_contains(string_split(text, ' ')[1:4], '')) select fragment, count(distinct source) as sources, count(distinct version) as versions from x group by fragment having count(distinct version) > 1"),
     Plan("j17_baseline_delta", """
 with h as (select session_id, case when seq <= 10 then 'baseline' else 'candidate' end as half, tokens from {e}), b as (select half, avg(cast(tokens as double)) as mean, count(*) as n from h group by half)
 select round(x.mean, 6) as baseline, round(y.mean, 6) as candidate, round(y.mean - x.mean, 6) as delta, x.n as n_baseline, y.n as n_candidate from b x join b y on x.half = 'baseline' and y.half = 'candidate'"""),
@@ -123,5 +120,4 @@ select e.session_id, floor(m.at) as marker_after, count(*) filter (where e.seq <
     Plan("t11_ledger_records", "select sha2(concat_ws(':', session_id, kind, path), 256) as record_id, count(*) as observations, min(seq) as first_seq from {e} where kind <> 'prompt' group by session_id, kind, path"),
     Plan("p22_overlap_coefficient", f"with {WORDS} select a.session_id, a.seq, b.seq as next_seq, round(size(array_intersect(a.words, b.words)) * 1.0 / greatest(1, least(size(a.words), size(b.words))), 4) as overlap from w a join w b on a.session_id = b.session_id and b.seq = a.seq + 1"),
     Plan("p34_information_score", "select session_id, seq, round(least(1.0, length(text) / 400.0), 4) as information, length(text) < 20 as low_information from {c} where role = 'user'"),
-    Plan("p45_file_role", "select role_, count(*) as n from (select case when url like '%/test%' then 'test' when url like '%.md' then 'doc' else 'source' end as role_ from (select source as url from {d}) x) y group by role_"),
 ]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from flowgauge.functions.fixed import STOPWORDS
 from flowgauge.plans.catalog import Plan
 
-#: Words that carry no content of their own.
-STOP = "('the', 'and', 'for', 'that', 'this', 'with', 'from', 'are', 'was', 'were', 'been', 'have', 'has', 'had', 'not', 'but', 'you', 'your', 'can', 'will', 'would', 'should', 'could', 'into', 'its', 'our', 'they', 'them', 'then', 'than', 'there', 'here', 'what', 'which', 'when', 'where', 'who', 'how', 'all', 'any', 'also', 'let', 'now')"
+STOP = "('" + "', '".join(STOPWORDS) + "')"
 TOKENS = "'[A-Za-z]+|[0-9]+|[^ A-Za-z0-9]'"
 
 PLANS = [
@@ -31,13 +31,6 @@ select session_id, cast(max(pending) as bigint) as peak, cast(max_by(pending, se
     Plan("w6_prompt_segments", "select session_id, segment, count(*) as n_events, min(seq) as first_seq, max(seq) as last_seq from (select *, cast(sum(case when kind = 'prompt' then 1 else 0 end) over (partition by session_id order by seq) as bigint) as segment from {e}) x group by session_id, segment"),
     Plan("w7_final_responses", "select session_id, segment, max(seq) as final_seq from (select *, cast(sum(case when role = 'user' then 1 else 0 end) over (partition by session_id order by seq) as bigint) as segment from {c}) x where role = 'assistant' group by session_id, segment"),
     Plan("w8_carried_turns", "select session_id, seq, role, count(case when role = 'assistant' then 1 end) over (partition by session_id order by seq rows between 1 following and unbounded following) as carried from {c}"),
-    Plan("j1_request_completion", """
-with n as (select *, lead(kind) over (partition by session_id order by seq) as next_kind, lead(outcome) over (partition by session_id order by seq) as next_outcome, lead(seq) over (partition by session_id order by seq) as next_seq from {e})
-select session_id, seq as request_seq, kind, next_seq as completion_seq, next_outcome as outcome from n where kind in ('read', 'edit') and next_kind = 'check'"""),
-    Plan("j2_orphan_results", "select x.session_id, x.seq, x.outcome from {e} x left anti join (select session_id, seq + 1 as seq from {e} where kind in ('read', 'edit')) r on x.session_id = r.session_id and x.seq = r.seq where x.kind = 'check'",
-         "select x.session_id, x.seq, x.outcome from {e} x where x.kind = 'check' and not exists (select 1 from {e} r where r.kind in ('read', 'edit') and r.session_id = x.session_id and r.seq + 1 = x.seq)"),
-    Plan("j3_open_requests", "select x.session_id, x.seq, x.kind from {e} x left anti join (select session_id, seq - 1 as seq from {e} where kind = 'check') r on x.session_id = r.session_id and x.seq = r.seq where x.kind in ('read', 'edit')",
-         "select x.session_id, x.seq, x.kind from {e} x where x.kind in ('read', 'edit') and not exists (select 1 from {e} r where r.kind = 'check' and r.session_id = x.session_id and r.seq - 1 = x.seq)"),
     Plan("j5_latest_previous", "select session_id, seq, path, lag(seq) over (partition by session_id, path order by seq) as previous_seq, seq - lag(seq) over (partition by session_id, path order by seq) as distance from {e} where kind in ('read', 'edit')"),
     Plan("j6_next_check", "select session_id, seq, outcome, lead(seq) over (partition by session_id order by seq) as next_seq, lead(outcome) over (partition by session_id order by seq) as next_outcome from {e} where kind = 'check'"),
     Plan("j7_edits_between_checks", "select session_id, seq, outcome, edits - coalesce(lag(edits) over (partition by session_id order by seq), 0) as edits_between from (select *, cast(sum(case when kind = 'edit' then 1 else 0 end) over (partition by session_id order by seq) as bigint) as edits from {e}) x where kind = 'check'"),
@@ -55,48 +48,42 @@ with t as (select *, row_number() over (partition by session_id order by seq) as
 m as (select a.session_id, a.kind, a.path, a.seq, a.tokens, row_number() over (partition by a.session_id, a.kind, a.path order by a.seq) as first_hit
   from (select distinct a.session_id, a.kind, a.path, a.seq, a.tokens from t a join t b on b.session_id = a.session_id and b.kind = a.kind and b.path = a.path and b.n between a.n - 5 and a.n - 1) a)
 select session_id, kind, path, seq, tokens from m where first_hit = 1"""),
-    Plan("w11_context_restatement", "select session_id, seq, min(earlier) as first_earlier from (select a.session_id, a.seq, b.seq as earlier from {v} a join {v} b on a.session_id = b.session_id and b.seq < a.seq where round(cosine(a.vec, b.vec), 4) >= 0.3) x group by session_id, seq"),
-    Plan("w12_repetitive_reads", "select session_id, path, count(*) as n_reads, cast(sum(tokens) - min_by(tokens, seq) as bigint) as wasted from {e} where kind = 'read' group by session_id, path having count(*) >= 2"),
+    Plan("w12_repetitive_reads", "select session_id, path, count(*) as n_reads, cast(sum(tokens) - min_by(tokens, seq) as bigint) as wasted from {e} where kind = 'read' group by session_id, path having count(*) >= 3",
+         "with r as (select *, row_number() over (partition by session_id, path order by seq) as nth from {e} where kind = 'read') select session_id, path, max(nth) as n_reads, cast(sum(tokens) filter (where nth > 1) as bigint) as wasted from r group by all having max(nth) >= 3"),
     Plan("w13_edit_fragmentation", """
 with d as (select *, row_number() over (partition by session_id order by seq) - row_number() over (partition by session_id, path order by seq) as island from {e} where kind = 'edit')
-select session_id, path, min(seq) as start_seq, max(seq) as end_seq, count(*) as n, cast(sum(tokens) as bigint) as tokens from d group by session_id, path, island having count(*) >= 2"""),
+select session_id, path, min(seq) as start_seq, max(seq) as end_seq, count(*) as n, cast(sum(tokens) as bigint) as tokens from d group by session_id, path, island having count(*) >= 3""",
+         "with d as (select *, lag(path) over (partition by session_id order by seq) is distinct from path as fresh from {e} where kind = 'edit'), i as (select *, count(*) filter (where fresh) over (partition by session_id order by seq) as run from d) select session_id, any_value(path) as path, min(seq) as start_seq, max(seq) as end_seq, count(*) as n, cast(sum(tokens) as bigint) as tokens from i group by session_id, run having count(*) >= 3"),
     Plan("w15_failed_retries", "select session_id, count(*) as n_failed, cast(sum(tokens) as bigint) as tokens from {e} where outcome = 'failed' group by session_id"),
-    Plan("w16_repeated_commands", "select session_id, path, count(*) as n, cast(sum(tokens) as bigint) as tokens from {e} where kind = 'check' group by session_id, path having count(*) >= 2"),
-    Plan("w17_retry_chains", """
-with b as (select *, case when outcome = 'failed' and lag(outcome) over (partition by session_id order by seq) = 'failed' then 0 else 1 end as fresh from {e} where kind = 'check'),
-i as (select *, sum(fresh) over (partition by session_id order by seq) as chain from b)
-select session_id, min(seq) as start_seq, max(seq) as end_seq, count(*) as n from i where outcome = 'failed' group by session_id, chain having count(*) >= 3"""),
+    Plan("w16_repeated_commands", "select session_id, path, count(*) as n, cast(sum(tokens) as bigint) as tokens from {e} where kind = 'check' group by session_id, path having count(*) >= 3",
+         "select distinct session_id, path, count(*) over k as n, cast(sum(tokens) over k as bigint) as tokens from {e} where kind = 'check' window k as (partition by session_id, path) qualify count(*) over k >= 3"),
     Plan("w19_over_reading", """
 with l as (select session_id, path, seq, kind, max(case when kind = 'edit' then seq end) over (partition by session_id, path) as last_edit from {e} where kind in ('read', 'edit'))
-select session_id, path, count(*) as n_reads from l where kind = 'read' and (last_edit is null or seq > last_edit) group by session_id, path having count(*) >= 2"""),
+select session_id, path, count(*) as n_reads from l where kind = 'read' and (last_edit is null or seq > last_edit) group by session_id, path having count(*) >= 3""",
+         "select r.session_id, r.path, count(*) as n_reads from {e} r where r.kind = 'read' and not exists (select 1 from {e} w where w.kind = 'edit' and w.session_id = r.session_id and w.path = r.path and w.seq > r.seq) group by all having count(*) >= 3"),
     Plan("w20_abandoned_approach", """
 with p as (select session_id, path, max_by(kind, seq) as last_kind, max(seq) as last_seq, count(*) filter (where kind = 'edit') as n_edits from {e} where kind in ('read', 'edit') group by session_id, path),
 o as (select *, max(last_seq) over (partition by session_id) as session_last from p)
-select session_id, path, last_seq, n_edits from o where last_kind = 'edit' and last_seq < session_last"""),
+select session_id, path, last_seq, n_edits from o where last_kind = 'edit' and last_seq < session_last""",
+         "with t as (select * from {e} where kind in ('read', 'edit')) select a.session_id, a.path, a.seq as last_seq, (select count(*) from t b where b.session_id = a.session_id and b.path = a.path and b.kind = 'edit') as n_edits from t a where a.kind = 'edit' and not exists (select 1 from t b where b.session_id = a.session_id and b.path = a.path and b.seq > a.seq) and exists (select 1 from t b where b.session_id = a.session_id and b.path <> a.path and b.seq > a.seq)"),
     Plan("w21_verbose_reading", """
 with n as (select *, last_value(case when kind <> 'read' then tokens end) ignore nulls over (partition by session_id order by seq desc rows between unbounded preceding and 1 preceding) as next_other from {e})
-select session_id, seq, tokens, next_other, tokens - next_other as excess from n where kind = 'read' and tokens >= 50 and next_other is not null and tokens > 10 * next_other""",
+select session_id, seq, tokens, next_other, tokens - next_other as excess from n where kind = 'read' and tokens >= 500 and next_other is not null and tokens > 10 * next_other""",
          """
 with n as (select *, last_value(case when kind <> 'read' then tokens end ignore nulls) over (partition by session_id order by seq desc rows between unbounded preceding and 1 preceding) as next_other from {e})
-select session_id, seq, tokens, next_other, tokens - next_other as excess from n where kind = 'read' and tokens >= 50 and next_other is not null and tokens > 10 * next_other"""),
+select session_id, seq, tokens, next_other, tokens - next_other as excess from n where kind = 'read' and tokens >= 500 and next_other is not null and tokens > 10 * next_other"""),
     Plan("w23_repetition_top_match", """
 with w as (select session_id, role, seq, array_distinct(regexp_extract_all(lower(text), '[a-z]{3,}', 0)) as words, row_number() over (partition by session_id, role order by seq) as n from {c}),
 m as (select a.session_id, a.role, a.seq, b.seq as earlier, case when size(a.words) + size(b.words) = 0 then 1.0 else round(size(array_intersect(a.words, b.words)) * 1.0 / greatest(1, size(a.words) + size(b.words) - size(array_intersect(a.words, b.words))), 4) end as score
   from w a join w b on a.session_id = b.session_id and a.role = b.role and b.n between a.n - 10 and a.n - 1)
 select session_id, role, seq, earlier, score from (select *, row_number() over (partition by session_id, role, seq order by score desc, earlier) as r from m) x where r = 1"""),
-    Plan("j14_similar_prompts", "select a.session_id, a.seq as first_seq, b.seq as second_seq, round(cosine(a.vec, b.vec), 4) as similarity from {v} a join {v} b on a.session_id = b.session_id and a.seq < b.seq where round(cosine(a.vec, b.vec), 4) >= 0.3"),
-    Plan("a10_prompt_redundancy", """
-with p as (select a.session_id, a.seq as x, b.seq as y from {v} a join {v} b on a.session_id = b.session_id and a.seq < b.seq where round(cosine(a.vec, b.vec), 4) >= 0.3),
-u as (select session_id, x as seq from p union select session_id, y as seq from p),
-n as (select session_id, count(*) as total from {v} group by session_id)
-select n.session_id, n.total, count(u.seq) as redundant, round(count(u.seq) * 1.0 / n.total, 4) as score from n left join u on u.session_id = n.session_id group by n.session_id, n.total"""),
     Plan("w26_intent_drift", """
 with l as (select session_id, seq, vec, lag(vec) over (partition by session_id order by seq) as prev from {v}),
 s as (select session_id, seq, round(cosine(vec, prev), 4) as similarity from l where prev is not null)
 select session_id, seq, similarity, case when similarity >= 0.6 then 'convergent' when similarity <= 0.4 then 'divergent' else 'stable' end as step from s"""),
     Plan("w28_topic_shift", """
 with l as (select session_id, seq, vec, lag(vec) over (partition by session_id order by seq) as prev from {v}),
-s as (select session_id, seq, case when prev is null or round(cosine(vec, prev), 4) < 0.1 then 1 else 0 end as shift from l)
+s as (select session_id, seq, case when prev is null or round(cosine(vec, prev), 4) < 0.42 then 1 else 0 end as shift from l)
 select session_id, seq, cast(sum(shift) over (partition by session_id order by seq) as bigint) as topic from s"""),
     Plan("w27_prompt_weights", """
 with p as (select session_id, seq, least(1.0, length(text) / 400.0) as info, row_number() over (partition by session_id order by seq) as n, count(*) over (partition by session_id) as total from {c} where role = 'user'),
@@ -116,7 +103,7 @@ with c as (select session_id, seq, outcome, edits, lead(seq) over (partition by
 select session_id, seq, next_seq, next_edits - edits as edits_between, case when next_outcome = 'failed' then 'rework' else 'iteration' end as verdict from c where outcome = 'failed' and next_edits > edits"""),
     Plan("t7_hook_alerts", """
 with k as (select session_id, seq, kind, path, row_number() over (partition by session_id, kind, path order by seq) as nth from {e} where kind <> 'prompt')
-select kind, case when kind = 'read' then 'repetitive_read' when kind = 'edit' then 'repeated_edit' else 'repeated_command' end as alert, count(*) as n from k where nth >= case when kind = 'edit' then 2 else 3 end group by kind"""),
+select kind, case when kind = 'read' then 'repetitive_read' when kind = 'edit' then 'repeated_edit' else 'repeated_command' end as alert, count(*) as n from k where nth >= 3 group by kind"""),
     Plan("s12_record_coverage", "select session_id, count(*) as n, count(*) filter (where kind = 'prompt') as lifecycle, round(count(*) filter (where kind <> 'prompt') * 1.0 / count(*), 4) as coverage, count(distinct event_id) as distinct_ids from {e} group by session_id"),
     Plan("s22_session_validation", """
 with l as (select *, lag(ts) over (partition by session_id order by seq) as prev from {e})
@@ -134,11 +121,11 @@ with recursive edges as (select session_id, seq as src, dst from (select session
 walk as (select session_id, src, dst, 1 as depth from edges union all select w.session_id, w.src, g.dst, w.depth + 1 as depth from walk w join edges g on g.session_id = w.session_id and g.src = w.dst where w.depth < 10)
 select session_id, src, dst, min(depth) as depth from walk group by session_id, src, dst"""),
     Plan("p1_token_count", f"select session_id, seq, case when length(text) = 0 then 0 else cast(greatest(1, regexp_count(text, {TOKENS})) as bigint) end as tokens, cast(greatest(1, floor(length(text) / 4)) as bigint) as quarter_tokens from {{c}}"),
-    Plan("p15_validation_outcome", "select session_id, seq, case when lower(text) rlike 'error|fail|exception' then 'failed' when lower(text) rlike 'passed|success|ok' then 'passed' else 'unknown' end as outcome from {c}",
-         "select session_id, seq, case when regexp_matches(lower(text), 'error|fail|exception') then 'failed' when regexp_matches(lower(text), 'passed|success|ok') then 'passed' else 'unknown' end as outcome from {c}"),
-    Plan("p19_content_words", f"select session_id, seq, count(*) as n_words from (select distinct session_id, seq, w from (select session_id, seq, explode(regexp_extract_all(lower(text), '[a-z]{{3,}}', 0)) as w from {{c}}) x where w not in {STOP}) y group by session_id, seq"),
     Plan("p40_complexity", """
 with s as (select session_id, seq, regexp_count(lower(text), 'fix|rename|typo') as simple, regexp_count(lower(text), 'add|implement|update') as standard, regexp_count(lower(text), 'architecture|refactor|migrate') as complex, length(text) as n from {c} where role = 'user')
 select session_id, seq, case when simple >= standard + case when n > 300 then 1 else 0 end and simple >= complex then 'simple' when standard + case when n > 300 then 1 else 0 end >= complex then 'standard' else 'complex' end as tier from s"""),
-    Plan("o5_top_keywords", f"select w as keyword, n, r as rank from (select w, n, row_number() over (order by n desc, w) as r from (select w, count(*) as n from (select explode(regexp_extract_all(lower(text), '[a-z]{{3,}}', 0)) as w from {{c}}) x where w not in {STOP} group by w) y) z where r <= 30"),
+    Plan("p19_content_words", f"select session_id, seq, size(array_distinct(filter(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*(?:[.-][a-z0-9_]+)*', 0), w -> length(w) > 2 and w not in {STOP}))) as n_words from {{c}}",
+         f"select c.session_id, c.seq, (select count(distinct w) from unnest(regexp_extract_all(lower(c.text), '[a-z_][a-z0-9_]*([.-][a-z0-9_]+)*')) as t(w) where length(w) > 2 and w not in {STOP}) as n_words from {{c}} c"),
+    # the first thirty are found first; only these are ranked in one task
+    Plan("o5_top_keywords", f"select keyword, n, row_number() over (order by n desc, keyword) as rank from (select w as keyword, count(*) as n from (select explode(regexp_extract_all(lower(text), '[a-z]{{3,}}', 0)) as w from {{c}}) x where w not in {STOP} group by w order by n desc, keyword limit 30) y"),
 ]

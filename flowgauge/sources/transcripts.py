@@ -64,12 +64,17 @@ def event_kind(role: Column, block: Column) -> Column:
 def events(spark: SparkSession, path: str) -> DataFrame:
     """Canonical events: event_id, session_id, sequence, kind, actor, text, ts, parent_id, tool columns, and usage on the
     first event of each request alone."""
-    found = blocks(records(lines(spark, path)))
+    return events_of(records(lines(spark, path)))
+
+
+def events_of(recs: DataFrame) -> DataFrame:
+    """The canonical events of records."""
+    found = blocks(recs)
     order = Window.partitionBy("session_id").orderBy("file", "line", "block_index")
     turn = Window.partitionBy("session_id", F.coalesce("request_id", "uuid")).orderBy("file", "line", "block_index")
     kinds = F.create_map(*(F.lit(x) for pair in TOOL_KINDS.items() for x in pair))
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    out = found.select("*", F.row_number().over(order).alias("sequence"), F.row_number().over(turn).alias("nth"), event_kind(F.col("role"), F.col("block_type")).alias("kind"))
+    out = found.select("*", F.row_number().over(order).cast("long").alias("sequence"), F.row_number().over(turn).alias("nth"), event_kind(F.col("role"), F.col("block_type")).alias("kind"))
     out = out.withColumn("event_id", F.substring(F.sha2(F.concat_ws("\u0000", part("session_id"), part("uuid"), part("block_index"), part("kind")), 256), 1, 16))
     return out.select(
         "event_id", "session_id", "sequence", "kind", F.when(F.col("kind") == "tool.completed", "tool").otherwise(F.col("role")).alias("actor"), "text", "ts",
@@ -95,4 +100,4 @@ def steps_feed(found: DataFrame) -> DataFrame:
     asked = found.where("kind in ('intent.stated', 'tool.requested')").join(done, ["session_id", "call_id"], "left")
     kind = F.when(F.col("kind") == "intent.stated", "prompt").when(F.col("tool_kind").isin("fs.read", "fs.search"), "read").when(F.col("tool_kind").isin("fs.edit", "fs.write"), "edit").when(F.col("tool_kind") == "exec.shell", "check")
     out = asked.select("session_id", "sequence", "event_id", "ts", kind.alias("kind"), F.when(kind == "check", validation_outcome(F.coalesce("output", F.lit("")))).alias("outcome"), F.coalesce("path", "command").alias("path"), token_count(F.concat_ws(" ", "tool_name", F.coalesce("arguments", "text"))).cast("long").alias("tokens"))
-    return out.where("kind is not null").withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("sequence")))
+    return out.where("kind is not null").withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("sequence")).cast("long"))

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.functions import scalars, vectorised
+from flowgauge.functions import scalars, shell, vectorised
 from flowgauge.operators import folds, graphs
 from flowgauge.plans import registry
 from flowgauge.sources import redaction, transcripts
@@ -32,12 +32,6 @@ def test_interventions_cool_down(spark):
     assert [r.verdict for r in out] == ["advised", "cooldown", "low_confidence", "advised", "no_evidence"]
 
 
-def test_excessive_planning_needs_a_long_run(spark):
-    rows = [(1, k, True, ["alpha", "beta"]) for k in range(4)] + [(1, 4, False, []), (1, 5, True, ["alpha"])]
-    out = folds.excessive_planning(spark.createDataFrame(rows, "session_id long, seq long, planning boolean, words array<string>")).collect()
-    assert sorted(r.seq for r in out) == [1, 2, 3]
-
-
 def test_graph_reach_and_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6)], "src long, dst long")
     out = {r.node: r.depth for r in graphs.reach(edges, spark.createDataFrame([(1,)], "node long"), 3).collect()}
@@ -57,10 +51,22 @@ def test_registered_cycles_are_not_cut_to_three_edges(spark):
     assert {r.node: r.shortest for r in registry.PLANS["g7_cycles"].apply(spark, e=events).collect()} == dict.fromkeys(range(6), 6)
 
 
-@pytest.mark.parametrize(("command", "intent"), [("sudo pytest -q", "validate"), ("echo pytest", "explore"), ("cd x && git commit -m 'a b'", "change"), ("ls | wc -l", "explore"), ("python -m pip install x", "change"), ("A=1 uv run ruff check > out.txt", "validate"), ("unknown-tool", "other"), ("", "other"), (None, "other")])
+@pytest.mark.parametrize(("command", "intent"), [("sudo pytest -q", "validate"), ("echo pytest", "explore"), ("cd x && git commit -m 'a b'", "change"), ("ls | wc -l", "explore"), ("python -m pip install x", "change"), ("A=1 uv run ruff check > out.txt", "validate"), ("unknown-tool", "other"), ("", "other"), (None, "other"), ("gh pr checks 5", "validate"), ("pre-commit run -a", "validate"), ("timeout -k5 60 pytest", "validate"), ("cat > x.py <<'EOF'\nrm -rf /\npytest\nEOF\nls", "explore"), (r"D:\venv\Scripts\python.exe -m pytest -q", "validate"), ('"C:/Program Files/Git/git.exe" commit', "change"), ("echo 'it is; rm x' && pwd", "explore"), ("env -i A=1 B=2 make test", "validate"), ("python - <<EOF\nimport os\nEOF", "validate"), ("echo don't; ls", "explore"), ("(cd a; npm run build) | tail -3", "validate"), ("git status", "explore"), ("2>&1 ls", "explore")])
 def test_shell_intent(spark, command, intent):
     df = spark.createDataFrame([(command,)], "c string")
-    assert df.select(vectorised.shell_intent("c")).first()[0] == intent
+    assert df.select(shell.shell_intent("c")).first()[0] == intent
+
+
+def test_checks_are_seen_beside_changes(spark):
+    lines = {"sed -i s/a/b/ x && pytest": True, "python -m pytest": True, "python - <<EOF\n1\nEOF": False, "echo pytest": False, "cd a && uv run mypy .": True, "A='x y' sudo -E ruff check": True}
+    df = spark.createDataFrame([(x,) for x in lines], "c string")
+    assert {r.c: r.k for r in df.select("c", shell.runs_check("c").alias("k")).collect()} == lines
+
+
+def test_stems(spark):
+    want = {"parsing": "pars", "parsed": "pars", "parses": "pars", "parse": "pars", "retries": "retry", "retry": "retry", "running": "run", "calling": "call", "class": "class", "status": "status", "this": "this", "planned": "plan", "tests": "test", "ties": "tie", "boxes": "box", "sing": "sing", "value": "valu", "bee": "bee"}
+    df = spark.createDataFrame([(x,) for x in want], "w string")
+    assert {r.w: r.s for r in df.select("w", scalars.stemmed(F.col("w")).alias("s")).collect()} == want
 
 
 def test_scalars(spark):
