@@ -7,18 +7,6 @@ from flowgauge.plans import lean_plans
 from flowgauge.plans.catalog import Plan
 
 SEGMENTED = "f as (select *, sum(case when kind = 'prompt' then 1 else 0 end) over (partition by session_id order by seq) as segment from {e})"
-#: Module m imports module 3 m + 1 (by 100); a session's surface is what it read before its first edit, with neighbours.
-SURFACE = """
-f as (select session_id, seq, kind, path, tokens, min(case when kind = 'edit' then seq end) over (partition by session_id) as first_edit, count(*) over (partition by session_id) as n from {e} where kind <> 'prompt' and path is not null),
-seeds as (select distinct session_id, path from f where kind = 'read' and seq < first_edit),
-links as (select cast(path as bigint) as src, cast((path * 3 + 1) % 100 as bigint) as dst from (select distinct path from {e} where path is not null) x),
-both_ways as (select src, dst from links union select dst as src, src as dst from links),
-near as (select distinct s.session_id, b.dst as path from seeds s join both_ways b on b.src = s.path),
-area as (select session_id, path, min(place) as place from (select session_id, path, 0 as place from seeds union all select session_id, path, 1 as place from near) x group by session_id, path),
-rim as (select distinct n.session_id, b.dst as path from near n join both_ways b on b.src = n.path),
-placed as (select f.session_id, f.seq, f.kind, f.path, f.tokens, case when a.place = 0 then 'seed' when a.place = 1 then 'neighbour' when r.path is not null then 'expansion' else 'unrelated' end as place
-  from f left join area a on a.session_id = f.session_id and a.path = f.path left join rim r on r.session_id = f.session_id and r.path = f.path where f.first_edit is not null)"""
-CHECKS = "c as (select *, row_number() over (partition by session_id order by seq) as nth, lead(outcome) over w as next_outcome, lead(path) over w as next_path, lead(seq) over w as next_seq, lead(tokens) over w as next_tokens, max(case when outcome = 'passed' then seq end) over (partition by session_id) as last_pass from {e} where kind = 'check' window w as (partition by session_id order by seq))"
 ALL = lean_plans.ALL
 #: From each edited path to the one that its session edits next.
 EDIT_EDGES = "select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path"
@@ -28,21 +16,6 @@ PLANS = [
 with {SEGMENTED}, r as (select session_id, segment, path, min(seq) as seq, max(tokens) as tokens from f where kind = 'read' group by session_id, segment, path),
 u as (select session_id, segment, path, max(seq) as used from f where kind in ('edit', 'check') group by session_id, segment, path)
 select r.session_id, r.segment, min(r.seq) as seq, 'unused_traversal' as detector, count(*) as files, cast(sum(r.tokens) as bigint) as tokens, 0.55 as confidence from r left join u on u.session_id = r.session_id and u.segment = r.segment and u.path = r.path where u.used is null or u.used < r.seq group by r.session_id, r.segment having count(*) >= 2"""),
-    Plan("d16_failed_route", f"with {CHECKS} select session_id, next_seq as seq, 'failed_route' as detector, case when last_pass > next_seq then 0.8 else 0.55 end as confidence, tokens from c where outcome = 'failed' and next_path <> path"),
-    Plan("d17_unearned_escalation", f"""
-with {CHECKS}, between_them as (select c.session_id, c.nth, count(e.seq) as news from c left join {{e}} e on e.session_id = c.session_id and e.seq > c.seq and e.seq < c.next_seq and e.kind in ('read', 'edit') where c.outcome = 'failed' and c.next_seq is not null group by c.session_id, c.nth)
-select c.session_id, c.next_seq as seq, 'unearned_escalation' as detector, c.next_tokens as tokens, case when c.next_outcome = 'failed' then 0.8 when c.next_path = c.path then 0.6 else 0.5 end as confidence from c join between_them b on b.session_id = c.session_id and b.nth = c.nth where b.news = 0"""),
-    Plan("d18_unrelated_modification", f"with {SURFACE} select session_id, path, min(seq) as seq, 'unrelated_modification' as detector, case when path % 10 = 0 then 0.55 else 0.60 end as confidence from placed where kind = 'edit' and place = 'unrelated' group by session_id, path"),
-    Plan("d19_surface_expansion", f"with {SURFACE} select session_id, path, min(seq) as seq, 'surface_expansion' as detector, case when path % 10 = 0 then 0.50 else 0.60 end as confidence from placed where kind = 'edit' and place = 'expansion' group by session_id, path"),
-    Plan("d20_boundary_violation", """
-with l as (select session_id, seq, path as src, (path * 3 + 1) % 100 as dst, max(seq) over (partition by session_id, path) as last_edit from {e} where kind = 'edit' and path is not null)
-select session_id, seq, src, dst, 'boundary_violation' as detector, case when last_edit > seq then 0.55 else 0.90 end as confidence from l where src < 20 and dst >= 50"""),
-    Plan("d21_exploration_drift", f"with {SURFACE}, k as (select session_id, count(*) as reads from placed where kind = 'read' group by session_id) select p.session_id, p.seq, p.path, 'exploration_drift' as detector, p.tokens, case when p.path % 10 = 0 then 0.60 else 0.75 end as confidence from placed p join k on k.session_id = p.session_id where p.kind = 'read' and p.place = 'unrelated' and k.reads >= 3"),
-    Plan("u1_grounded_union", f"with {SURFACE} select place, kind, count(*) as n, cast(sum(tokens) as bigint) as tokens from placed group by place, kind"),
-    Plan("j4_call_results", """
-with u as (select session_id, path, seq, tokens, row_number() over (partition by session_id, path order by seq) as nth from {e} where kind = 'edit'),
-r as (select session_id, path, seq, tokens, outcome, row_number() over (partition by session_id, path order by seq) as nth from {e} where kind = 'check')
-select u.session_id, u.path, u.seq as call_seq, r.seq as result_seq, r.outcome, r.tokens as result_tokens from u join r on r.session_id = u.session_id and r.path = u.path and r.nth = u.nth"""),
     Plan("w5_opens_attempt", "select session_id, seq, kind from (select session_id, seq, kind, lag(kind) over (partition by session_id order by seq) as prev from {e}) x where kind <> 'prompt' and prev = 'prompt'"),
     Plan("w42_session_control", """
 with s as (select session_id, cast(session_id as bigint) as place, sum(case when outcome = 'failed' then tokens else 0 end) * 1.0 / sum(tokens) as x from {e} group by session_id),

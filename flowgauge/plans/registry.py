@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.plans import drift_plans, fact_plans, fold_queries, lean_plans, measure_plans, report_plans, sample_plans, session_plans
+from flowgauge.plans import drift_plans, fact_plans, fold_queries, harness_plans, lean_plans, measure_plans, report_plans, sample_plans, session_plans
 
 PLANS = {p.name: p for p in (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS, *report_plans.PLANS, *fact_plans.PLANS, *drift_plans.PLANS)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan.run for name, plan in PLANS.items()} | fold_queries.queries() | sample_plans.queries()
+    return {name: plan.run for name, plan in PLANS.items()} | fold_queries.queries() | sample_plans.queries() | harness_plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan.oracle for name, plan in PLANS.items()} | fold_queries.oracle_sql() | sample_plans.oracle_sql()
+    return {name: plan.oracle for name, plan in PLANS.items()} | fold_queries.oracle_sql() | sample_plans.oracle_sql() | harness_plans.oracle_sql()

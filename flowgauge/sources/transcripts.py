@@ -39,21 +39,35 @@ def records(raw: DataFrame) -> DataFrame:
     ).where("type is not null")
 
 
-def blocks(recs: DataFrame) -> DataFrame:
-    """Content blocks of user and assistant records, repeats within a request dropped, the first kept."""
+def parsed(recs: DataFrame) -> DataFrame:
+    """All content blocks of user and assistant records."""
     text = F.trim("content").startswith("[")
     each = F.when(text, F.from_json("content", "array<string>")).otherwise(F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))))
     out = recs.where(F.col("role").isin("user", "assistant") & F.col("content").isNotNull()).select("*", F.posexplode(each).alias("block_index", "raw")).drop("content")
     get = lambda p: F.get_json_object("raw", f"$.{p}")
     inner = get("content")
     body = F.coalesce(get("text"), get("thinking"), F.when(F.trim(inner).startswith("["), F.array_join(F.transform(F.from_json(inner, "array<struct<text:string>>"), lambda x: x["text"]), " ")).otherwise(inner), F.lit(""))
-    out = out.select("*", get("type").alias("block_type"), body.alias("text"), get("name").alias("tool_name"), F.coalesce(get("id"), get("tool_use_id")).alias("call_id"), get("input").alias("arguments"))
+    return out.select("*", get("type").alias("block_type"), body.alias("text"), get("name").alias("tool_name"), F.coalesce(get("id"), get("tool_use_id")).alias("call_id"), get("input").alias("arguments"))
+
+
+def blocks(recs: DataFrame) -> DataFrame:
+    """Content blocks, repeats within a request dropped, the first kept."""
+    out = parsed(recs)
     same = F.sha2(F.concat_ws("\u0001", F.coalesce("block_type", F.lit("")), F.trim(F.regexp_replace("text", r"\s+", " ")), F.coalesce("tool_name", F.lit("")), F.coalesce("call_id", F.lit("")), F.coalesce("arguments", F.lit(""))), 256)
     request = F.coalesce("request_id", "uuid")
     first = Window.partitionBy("file", "session_id", request, "role", same).orderBy("line", "block_index")
     return out.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy", "raw")
 
 
+def row_events(recs: DataFrame) -> DataFrame:
+    """What events say that can be told from one record: for streams."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    out = parsed(recs).withColumn("kind", event_kind(F.col("role"), F.col("block_type")))
+    event_id = F.substring(F.sha2(F.concat_ws("\u0000", part("session_id"), part("uuid"), part("block_index"), part("kind")), 256), 1, 16)
+    path = F.coalesce(F.get_json_object("arguments", "$.file_path"), F.get_json_object("arguments", "$.notebook_path"), F.get_json_object("arguments", "$.path"))
+    return out.select("session_id", event_id.alias("event_id"), "kind", "tool_name", path.alias("path"), "ts", "text")
+
+
 def event_kind(role: Column, block: Column) -> Column:
     return (
         F.when(block == "tool_result", "tool.completed").when(block == "tool_use", "tool.requested").when(block == "thinking", "reasoning")
