@@ -19,20 +19,22 @@ def fold(df: DataFrame, by: str, order: list[str], run: Callable[[pd.DataFrame],
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for b in batches:
-            key = b[by].to_numpy()
+            key, out = b[by].to_numpy(), []
             fresh = np.nonzero([x != y and not (x is y or pd.isna(x) and pd.isna(y)) for x, y in zip(key[1:], key[:-1])])[0] + 1
             if held and len(b):
                 x, y = held[-1][by].iloc[-1], key[0]
                 if x != y and not (pd.isna(x) and pd.isna(y)):
-                    yield run(pd.concat(held, ignore_index=True))
+                    out.append(run(pd.concat(held, ignore_index=True)))
                     held = []
             begins = [0, *fresh.tolist()]
             for k, begin in enumerate(begins[:-1]):
-                held.append(b.iloc[begin : begins[k + 1]])
-                yield run(pd.concat(held, ignore_index=True))
+                part = b.iloc[begin : begins[k + 1]].reset_index(drop=True)
+                out.append(run(pd.concat([*held, part], ignore_index=True) if held else part))
                 held = []
             if len(b):
                 held.append(b.iloc[begins[-1] :])
+            if out:
+                yield pd.concat(out, ignore_index=True)
         if held:
             yield run(pd.concat(held, ignore_index=True))
 

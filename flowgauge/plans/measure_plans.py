@@ -63,8 +63,14 @@ select session_id, count(*) as n, round(max_by(tokens, seq) * 1.0 / min_by(token
     Plan("k6_version_skew", "select source, count(distinct sha2(text, 256)) as versions, count(*) as docs, case when count(distinct sha2(text, 256)) > 10 then 'high' when count(distinct sha2(text, 256)) > 1 then 'low' else 'none' end as severity from {d} group by source"),
     Plan("k5_delta_prompt", "with f as (select source, doc_id, length(text) as n, row_number() over (partition by source, sha2(text, 256) order by doc_id) as nth from {d}) select source, count(*) filter (where nth > 1) as hits, count(*) filter (where nth = 1) as misses, round(1.0 - sum(case when nth = 1 then n else 0 end) * 1.0 / nullif(sum(n), 0), 4) as saved from f group by source"),
     Plan("s21_redaction_counts", "select lang, " + ", ".join(f"cast(sum(regexp_count(text, '{p}')) as bigint) as {n}" for n, p in REDACT.items()) + " from {d} group by lang"),
+    # a text's words are sorted, and counted by where each kind of them begins: nothing is shuffled
     Plan("p39_semantic_density", """
-with w as (select doc_id, explode(regexp_extract_all(lower(text), '[a-z]+', 0)) as w from {d}),
+with w as (select doc_id, sort_array(regexp_extract_all(lower(text), '[a-z]+', 0)) as w from {d}),
+b as (select doc_id, size(w) as total, filter(transform(w, (x, i) -> case when i = 0 or x <> w[i - 1] then i else -1 end), i -> i >= 0) as starts from w where size(w) > 0),
+t as (select doc_id, total, size(starts) as kinds, aggregate(transform(starts, (s, k) -> coalesce(get(starts, k + 1), total) - s), cast(0 as double), (a, n) -> a + n * ln(n)) as nlogn from b)
+select doc_id, cast(total as bigint) as words, round(kinds * 1.0 / total, 4) as type_ratio, case when kinds > 1 then round((ln(total) - nlogn / total) / ln(kinds), 4) else 0.0 end as entropy from t""",
+         """
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+', 0)) as w from {d}),
 c as (select doc_id, w, count(*) as n from w group by doc_id, w),
 t as (select doc_id, sum(n) as total, count(*) as kinds, sum(n * ln(n)) as nlogn from c group by doc_id)
 select doc_id, cast(total as bigint) as words, round(kinds * 1.0 / total, 4) as type_ratio, case when kinds > 1 then round((ln(total) - nlogn / total) / ln(kinds), 4) else 0.0 end as entropy from t"""),
