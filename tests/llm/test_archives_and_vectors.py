@@ -259,6 +259,24 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert toxicity.THRESHOLD == 0.3
 
 
+def test_stages_take_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some ordinary words of a benchmark"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, spans string, root int, `a b` string"
+    rows = [(i, t, g, None, None, 1.0, "f", "s", 1, "x") for i, t, g in [(1, None, None), (1, None, None), (2, "", "en"), (3, "password = hunter2hunter2", "xx"), (3, "another text under the same id", "en"), (None, "no id", "en"), (4, "word " * 200_000, "de"), (5, "x" * 300_000, "fr")]]
+    for given, n in ((rows, [8, 6, 6]), ([], [0, 0, 0])):
+        docs = now = spark.createDataFrame(given, shape)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            if k < 3:
+                assert now.columns == docs.columns and now.count() == n[k], name
+        found = now.collect()
+        assert sum(r.length for r in found if r.start == 0) <= sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in found}.values())
+        assert {r.doc_id for r in found} == ({1, 3, 4, 5, None} if given else set())
+
+
 def test_queries_have_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
