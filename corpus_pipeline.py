@@ -12,18 +12,26 @@ from flowgauge.llm.common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents below their language's threshold (0.3 without one). A null text is scored as no words; of rows with one
+    id each is judged by its own text; no rows: no rows, no labels: a model that tells nothing apart."""
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the smallest doc_id, then the smallest SHA-256 of the text, then the
+    other columns as JSON. Null and blank texts are one group; rows without a doc_id stay; no rows: no rows."""
     return simhash.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and n_chars, where there is one, brought up to date. A null text stays null;
+    repeated rows are masked alike; no rows: no rows."""
     return secret_scan.mask(docs, secret_scan.fit(spark, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens. A null text is its end id alone; repeated rows are
+    packed each; no rows: no rows."""
     return packing.pack(docs)
 
 
