@@ -59,6 +59,13 @@ def s21_redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.to_json("redacted").alias("redacted"))
 
 
+def p5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    count = vectorised.bpe_count(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return feed(spark, sf_dir, "c").select("session_id", "seq", count("text").alias("tokens"))
+
+
 def p43_hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = feed(spark, sf_dir, "c").where("role = 'user'").select("session_id", "seq", vectorised.embedding("text").alias("vec"))
     return Plan("", "select session_id, seq, round(cosine(vec, prev), 4) as similarity from (select *, lag(vec) over (partition by session_id order by seq) as prev from {v}) x where prev is not null").apply(spark, v=turns)
@@ -98,7 +105,7 @@ def p29_tool_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints)
+    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p5_bpe_tokens, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints)
     return {f.__name__: f for f in found}
 
 
@@ -115,9 +122,18 @@ e as (select *, case kind when 'reasoning' then len(list_filter(words, lambda w:
 select session_id, first_idx as run, idx, round(least(0.9, 0.55 + 0.05 * steps), 4)::double as confidence from e where steps >= 4 and place > 2 and again"""
 
 
+#: One step a row of a session: a new segment where the row is unlike the one before it, or five are in the segment.
+SLID = """with recursive v as (select label as session_id, vec_id as seq, cast(embedding as double[]) as e, row_number() over (partition by label order by vec_id) as n from embeddings),
+near as (select a.session_id, a.seq, a.n, list_cosine_similarity(a.e, b.e) as near from v a left join v b on b.session_id = a.session_id and b.n = a.n - 1),
+walk as (select session_id, seq, n, 0 as segment, 1 as size from near where n = 1 union all
+  select x.session_id, x.seq, x.n, w.segment + case when x.near < 0.45 or w.size >= 5 then 1 else 0 end, case when x.near < 0.45 or w.size >= 5 then 1 else w.size + 1 end from walk w join near x on x.session_id = w.session_id and x.n = w.n + 1)
+select session_id, seq, segment from walk"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can state."""
     return {
+        "w29_sliding_intents": SLID,
         "w11_context_restatement": f"{LIKE} select session_id, second_seq as seq, min(first_seq) as first_earlier from p where similarity >= 0.85 group by all",
         "j14_similar_prompts": f"{LIKE} select * from p where similarity >= 0.75",
         "a10_prompt_redundancy": f"{LIKE}, u as (select session_id, first_seq as seq from p where similarity >= 0.75 union select session_id, second_seq from p where similarity >= 0.75) select e.label as session_id, count(*) as total, count(u.seq) as redundant, round(count(u.seq) / count(*), 4) as score from embeddings e left join u on u.session_id = e.label and u.seq = e.vec_id group by e.label",

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from flowgauge.plans import drift_plans, fact_plans, fold_queries, harness_plans, lean_plans, measure_plans, report_plans, sample_plans, session_plans
+from flowgauge.plans.catalog import Plan
 
-PLANS = {p.name: p for p in (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS, *report_plans.PLANS, *fact_plans.PLANS, *drift_plans.PLANS)}
+def extended(plans: dict[str, Plan], more: Iterable[Plan]) -> dict[str, Plan]:
+    """A registry of plans with more of them; a name that is there already is refused."""
+    out = dict(plans)
+    for plan in more:
+        if plan.name in out:
+            raise ValueError(f"a plan {plan.name} is registered already")
+        out[plan.name] = plan
+    return out
+
+
+PLANS = extended({}, (*session_plans.PLANS, *lean_plans.PLANS, *measure_plans.PLANS, *report_plans.PLANS, *fact_plans.PLANS, *drift_plans.PLANS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from flowgauge.plans import harness_plans, sample_plans
+from flowgauge.functions import vectorised
+from flowgauge.plans import harness_plans, registry, sample_plans
+from flowgauge.plans.catalog import Plan
 from flowgauge.sources import contracts, redaction, reports, samples
 from flowgauge.sources.records import append_log
 from flowgauge.streaming import live
@@ -125,3 +127,25 @@ def test_replay_takes_each_event_once(spark, tmp_path):
         append_log(events, f"{tmp_path}/log")
     counted = live.replay(spark, f"{tmp_path}/log", lambda e: e.groupBy("session_id").count())
     assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in events.groupBy("session_id").count().collect()}
+
+
+def test_registries_refuse_names_that_are_there(spark):
+    plan = registry.PLANS["w2_repeated_reads"]
+    more = registry.extended(registry.PLANS, [Plan("own_plan", "select 1 as x")])
+    assert set(more) - set(registry.PLANS) == {"own_plan"} and "own_plan" not in registry.PLANS
+    with pytest.raises(ValueError, match="w2_repeated_reads"):
+        registry.extended(registry.PLANS, [plan])
+    names = [*registry.PLANS, *sample_plans.queries(), *harness_plans.queries()]
+    assert len(names) == len(set(names))
+
+
+def test_bpe_counts(spark):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    texts = ["Some words, and 12 more.", "", None, "日本語 é"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", vectorised.bpe_count(path, public_tokenizers.PATTERN)("t").alias("n")).collect()
+    assert [r.n for r in got] == [len(plain.encode_ordinary(t or "")) for t in texts]
