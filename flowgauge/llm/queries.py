@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgauge.llm import ann, byte_bpe, licenses, packing, secret_scan, simhash, token_counts, topk, toxicity, warc
+from flowgauge.llm import ann, byte_bpe, chunk_bpe, fill_middle, licenses, packing, runs, secret_scan, simhash, token_counts, topk, toxicity, warc
 from flowgauge.llm.common import table
 
 
@@ -51,10 +51,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_token_counts, op4_toxicity, op5_topk, op6_licenses, op7_nearest, op8_secrets, op9_byte_bpe, op10_packing)
+    found = (op1_simhash, op2_warc, op3_token_counts, op4_toxicity, op5_topk, op6_licenses, op7_nearest, op8_secrets, op9_byte_bpe, op10_packing, op11_runs, op12_chunk_bpe, op13_fill_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op13_fill_middle": fill_middle.ORACLE_SQL}
