@@ -4,9 +4,10 @@ A block that agrees with a template holds two thirds of its words or more, so th
 third of the template one must be in the block: the longest of them are its cues, and a text without a cue has no notice.
 Candidate blocks begin at the sentence that holds a cue, at the word that would be the template's first if the cue is
 where the template has it, and where a template's opening words occur; they are as long as the template they are compared
-with, line ends and comment marks aside. At a sentence each is compressed by itself and with every template as Zstandard
-raw-content dictionary; the templates are ranked by how much smaller the block gets, and confirmed in this order by their
-exact differences in wording, but for those that share too few words. Elsewhere the templates that led there are confirmed.
+with, line ends and comment marks aside. Each block is compressed by itself and with each template that may agree (two
+thirds of its words follow there) as Zstandard raw-content dictionary. The templates are ranked by how much smaller the
+block gets, and confirmed in this order by their exact differences in wording: the first that agrees is the block's
+license, and none after it is looked at. A template that takes less than LEAST_CUT off a block isn't confirmed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,6 +35,7 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -44,6 +47,8 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": [
@@ -51,11 +56,16 @@ TEMPLATES = {
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 #: Least share of the wording that must agree (twice the words in common, by the words of both).
 AGREE = 0.8
 LEVEL = 3
+#: Least part of a block's compressed size that the template must take off.
+LEAST_CUT = 0.1
 #: Words that are cues only where a template has no others.
 COMMON = frozenset("a all also and any are as at be been but by can do for from had has have he if in is it its may more must no not of on one or other our out shall she that the their there these they this to under use used was we were which will with work would you".split())
 #: What parts words, also across the lines of a comment.
@@ -76,6 +86,8 @@ class Scanner:
         named = [(name, text) for name, all_ in TEMPLATES.items() for text in all_]
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.templates = [(name, text, words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in named]
+        #: All cues, to tell in one pass whether a text has any.
+        self.finder = ahocorasick.Automaton()
         #: Each template's opening and closing words, and the places that its cues have in it.
         self.opening, self.closing, self.places = {}, [], {}
         for at, (_, _, wanted, _) in enumerate(self.templates):
@@ -83,6 +95,8 @@ class Scanner:
             self.closing.append(_phrase(wanted[-2:]))
             for cue in self.cues(wanted):
                 self.places.setdefault(cue, []).extend((k, at) for k, w in enumerate(wanted) if w == cue)
+                self.finder.add_word(cue, cue)
+        self.finder.make_automaton()
 
     @staticmethod
     def cues(wanted: list[str]) -> set[str]:
@@ -134,42 +148,41 @@ class Scanner:
         end = min(ends, key=lambda e: (away(e), e)) if ends else begin + size
         return text[begin:end].rstrip()
 
-    def judge(self, text: str, begin: int, only: set[int] | None) -> tuple | None:
-        """The confirmed license of the blocks at begin: end, name, size reduction, agreement, words missing, words added, differences."""
-        ranked, sizes = [], {}
-
-        def reduction(block: str, at: int) -> float:
-            data = block.encode("utf-8", "surrogatepass")
-            alone = sizes.get(block) or sizes.setdefault(block, len(self.plain.compress(data)))
-            return 1 - len(self.templates[at][3].compress(data)) / alone
-
+    def judge(self, text: str, begin: int, only: set[int] | None, spots: tuple[list[int], list[str]]) -> tuple | None:
+        """The confirmed license of the blocks at begin: end, name, size reduction, agreement, words missing, words added,
+        differences. spots: where the text's words begin, and the words."""
+        ranked, alone = [], {}
+        first = bisect.bisect_left(spots[0], begin)
         for at in range(len(self.templates)) if only is None else sorted(only):
-            block = self.block(text, begin, at)
-            if block:
-                ranked.append((reduction(block, at) if only is None else 0.0, -at, block))
-        best = None
+            wanted, size = self.templates[at][2], len(self.templates[at][1])
+            near = set(spots[1][first : bisect.bisect_left(spots[0], begin + size + size // 2 + 40, first)])
+            if 3 * sum(w in near for w in wanted) < 2 * len(wanted):
+                continue
+            if block := self.block(text, begin, at):
+                data = block.encode("utf-8", "surrogatepass")
+                whole = alone.get(block) or alone.setdefault(block, len(self.plain.compress(data)))
+                ranked.append((1 - len(self.templates[at][3].compress(data)) / whole, -at, block))
         for cut, at, block in sorted(ranked, reverse=True):
+            if cut < LEAST_CUT:
+                break
             name, _, wanted, _ = self.templates[-at]
             have = words(block)
             matcher = SequenceMatcher(None, wanted, have, autojunk=False)
-            if matcher.real_quick_ratio() < AGREE or matcher.quick_ratio() < AGREE:
-                continue
-            agree = matcher.ratio()
-            if agree < AGREE or best and (best[3], best[0]) >= (agree, begin + len(block)):
+            if matcher.real_quick_ratio() < AGREE or matcher.quick_ratio() < AGREE or (agree := matcher.ratio()) < AGREE:
                 continue
-            cut = cut if only is None else reduction(block, -at)
             changes = [(wanted[a:b], have[c:d]) for op, a, b, c, d in matcher.get_opcodes() if op != "equal"]
-            best = (begin + len(block), name, cut, agree, sum(len(x) for x, _ in changes), sum(len(y) for _, y in changes), "; ".join(f"{' '.join(x)} -> {' '.join(y)}" for x, y in changes))
-        return best
+            return begin + len(block), name, cut, agree, sum(len(x) for x, _ in changes), sum(len(y) for _, y in changes), "; ".join(f"{' '.join(x)} -> {' '.join(y)}" for x, y in changes)
+        return None
 
     def scan(self, text: str) -> Iterator[tuple]:
-        low = text.lower()
-        if not any(c in low for c in self.places):
+        if next(self.finder.iter(text.lower()), None) is None:
             return
         # of notices that overlap, the one with the most words in agreement, and then the closest
         found = []
+        spots = [(m.start(), m.group().lower()) for m in _WORD.finditer(text)]
+        both = [a for a, _ in spots], [w for _, w in spots]
         for begin, only in self.begins(text).items():
-            if hit := self.judge(text, begin, only):
+            if hit := self.judge(text, begin, only, both):
                 have = len(words(text[begin : hit[0]]))
                 found.append((-(have - hit[5]), -hit[3], begin, hit))
         kept: list[tuple] = []

@@ -296,6 +296,30 @@ def test_licenses_equal_a_scan_at_every_word_with_every_template():
     assert hits > 60
 
 
+def test_compression_decides_the_license():
+    class Flat:
+        def compress(self, data):
+            return b"x"
+
+    class First(Flat):
+        """Every template takes as much off as any other."""
+
+        def compress(self, data):
+            return b"x" * 9
+
+    notices = [(name, text) for name, all_ in licenses.TEMPLATES.items() for text in all_]
+    true, flat, even = licenses.Scanner(), licenses.Scanner(), licenses.Scanner()
+    flat.plain, even.plain = Flat(), type("Long", (), {"compress": lambda self, data: b"x" * 99})()
+    flat.templates = [(a, b, c, Flat()) for a, b, c, _ in flat.templates]
+    even.templates = [(a, b, c, First()) for a, b, c, _ in even.templates]
+    for name, text in notices:
+        hits = list(true.scan(text))
+        assert [h[2] for h in hits] == [name] and hits[0][3] > 0.4, text
+        assert not list(flat.scan(text))
+    # those that are worded much like another are only told apart by their reduction
+    assert sum([h[2] for h in even.scan(text)] != [name] for name, text in notices) >= 3
+
+
 def test_a_notice_late_in_a_long_line_is_found_whole():
     text = "word and word, " * 60_000 + "Released under the MIT License."
     (hit,) = licenses.Scanner().scan(text)
