@@ -2,10 +2,10 @@
 
 Every vector is lifted to the length of the longest (one more component), so that the largest inner product is the
 nearest point. HASHES random directions project the points of a block; each direction's points are sorted by their
-projections, once for all queries that meet the block. A query's window around its own projection grows on all
-directions at once, by virtual rehashing: no bucket is built anew, only the window's two ends in the sorted array move,
-and the points between the old ends and the new ones are counted. A point counted in SHARE of the directions is a
-collision, and is verified by its true inner product; the search ends once enough points are verified, or the windows
+projections, once for all queries that meet the block. A query's window around its own projection starts small and grows on
+all directions at once, by virtual rehashing: no bucket is built anew, only the window's two ends move outward in the
+sorted array, and the points that they pass are counted, each once a direction. A point counted in SHARE of the directions
+is a collision, and is verified by its true inner product; the search ends once enough points are verified, or the windows
 hold all.
 """
 
@@ -23,8 +23,8 @@ EVERY, K = 20, 20
 HASHES, SHARE, SEED = 96, 0.65, 11
 #: Points verified before a search may end: so many, and so great a part of the block's distinct points.
 VERIFY, PART = 500, 0.11
-#: Half the first window, in standard deviations of the projections; each window is GROWTH times the last.
-FIRST, GROWTH, ROUNDS = 0.65, 1.12, 22
+#: Half the first window, in standard deviations of the projections; each window is GROWTH times the last, and the last holds all.
+FIRST, GROWTH, ROUNDS = 0.2, 1.2, 18
 
 
 class Index:
@@ -46,12 +46,9 @@ class Index:
         lifted = np.concatenate([unit, np.sqrt(np.maximum(0, sizes.max(initial=0) - sizes))[:, None]], axis=1)
         self.directions = np.random.default_rng(SEED).normal(size=(lifted.shape[1], HASHES))
         projected = np.ascontiguousarray((lifted @ self.directions).T)
-        self.order = np.argsort(projected, axis=1, kind="stable")
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
-        self.place = np.empty(self.order.shape, np.uint16 if len(self.rows) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.place, self.order, np.arange(len(self.rows), dtype=self.place.dtype)[None, :], axis=1)
         self.spread = float(projected.std()) or 1.0
-        self.last = 0
         self.need = int(np.ceil(SHARE * HASHES))
         self.enough = min(len(self.rows), max(VERIFY, 4 * k, int(PART * len(self.rows))))
 
@@ -59,57 +56,29 @@ class Index:
         return Windows(self, q)
 
     def search(self, q: np.ndarray, own: int, windows: "Windows", n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best found, without the query's own id; n is the query's place in windows.
-
-        The search ends at the first round with enough collisions. It begins at the round where the last query ended, whose
-        windows hold about half of the points: these are counted by their places. From there on the windows grow, or shrink,
-        a round at a time, and only the points between old and new ends are counted. The outcome is the same from any round.
-        """
+        """Ids and inner products of the k best found, without the query's own id; n is the query's place in windows."""
         mine = np.searchsorted(self.begin, np.nonzero(self.ids == own)[0], "right") - 1
-        r, at = self.last, [x[n] for x in windows.ends(self.last)]
-        counts = self.counted(*at)
-
-        def enough() -> np.ndarray | None:
+        counts = np.zeros(len(self.rows), np.uint8)
+        left = right = windows.middle(n)
+        for r in range(ROUNDS + 1):
+            more_left, more_right = windows.ends(r, n)
+            self.passed(counts, more_left, left, right, more_right)
+            left, right = more_left, more_right
             g = np.nonzero(counts >= self.need)[0]
             others = int((self.begin[g + 1] - self.begin[g]).sum()) - int((counts[mine] >= self.need).sum())
-            return g if len(g) >= self.enough and others >= self.k or r == ROUNDS else None
-
-        g = enough()
-        if g is None:
-            while g is None:
-                r, at = r + 1, self.moved(counts, at, [x[n] for x in windows.ends(r + 1)], 1)
-                g = enough()
-        else:
-            while r:
-                r, at = r - 1, self.moved(counts, at, [x[n] for x in windows.ends(r - 1)], -1)
-                if (fewer := enough()) is None:
-                    r += 1
-                    break
-                g = fewer
-        self.last = r
+            if len(g) >= self.enough and others >= self.k:
+                break
         score, ids = np.repeat(self.rows[g] @ q, self.begin[g + 1] - self.begin[g]), self.ids[blocks.expand(self.begin, g)]
         score, ids = score[ids != own], ids[ids != own]
         best = blocks.order(score, ids, self.k)
         return ids[best], score[best]
 
-    def counted(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """In how many directions each point lies in the window."""
-        n, size = len(self.rows), (right - left).astype(self.place.dtype)
-        counts, gap, inside = np.zeros(n, np.uint8), np.empty(n, self.place.dtype), np.empty(n, bool)
-        for h in range(HASHES):
-            np.subtract(self.place[h], self.place.dtype.type(left[h]), out=gap)  # below the window it wraps round to a great number
-            np.less(gap, size[h], out=inside)
-            np.add(counts, inside.view(np.uint8), out=counts)
-        return counts
-
-    def moved(self, counts: np.ndarray, old: list, new: list, by: int) -> list:
-        """Counts the points that come in (by 1) or go out (by -1) as the windows' ends move; a point is once in a direction."""
-        inner, outer = (old, new) if by > 0 else (new, old)
+    def passed(self, counts: np.ndarray, low: np.ndarray, left: np.ndarray, right: np.ndarray, high: np.ndarray) -> None:
+        """Counts the points between the windows' old ends (left, right) and their new ones (low, high)."""
         row = np.arange(HASHES) * len(self.rows)
-        begin, size = np.concatenate([row + outer[0], row + inner[1]]), np.concatenate([inner[0] - outer[0], outer[1] - inner[1]])
+        begin, size = np.concatenate([row + low, row + right]), np.concatenate([left - low, high - right])
         places = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        counts += (by * np.bincount(self.order.ravel()[places], minlength=len(self.rows))).astype(np.uint8)
-        return new
+        counts += np.bincount(self.order.ravel()[places], minlength=len(self.rows)).astype(np.uint8)
 
     def ask(self, ask: np.ndarray, q: np.ndarray) -> blocks.Found:
         windows = self.windows(q)
@@ -126,15 +95,25 @@ class Windows:
         self.at = unit / np.sqrt((unit * unit).sum(1, keepdims=True)) * index.longest @ index.directions[:-1]
         self.index, self.known = index, {}
 
-    def ends(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """First places, and those behind the last: query x direction. The last round's windows hold all points."""
+    def middle(self, n: int) -> np.ndarray:
+        """The places of a query's own projections in each direction's sorted array."""
+        return self.places(-1, 0.0)[0][n]
+
+    def ends(self, r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A query's first places, and those behind the last, in each direction. The last round's windows hold all points."""
+        if r == ROUNDS:
+            return np.zeros(HASHES, np.int64), np.full(HASHES, len(self.index.rows), np.int64)
+        low, high = self.places(r, self.index.spread * FIRST * GROWTH**r)
+        return low[n], high[n]
+
+    def places(self, r: int, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of half this size for all queries; worked out when one first asks."""
         if r not in self.known:
-            lo, hi = np.zeros(self.at.shape, np.int64), np.full(self.at.shape, len(self.index.rows), np.int64)
-            half = self.index.spread * FIRST * GROWTH**r
-            for h in range(HASHES if r < ROUNDS else 0):
-                lo[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] - half)
-                hi[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] + half, "right")
-            self.known[r] = lo, hi
+            low, high = np.zeros(self.at.shape, np.int64), np.zeros(self.at.shape, np.int64)
+            for h in range(HASHES):
+                low[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] - half)
+                high[:, h] = np.searchsorted(self.index.sorted[h], self.at[:, h] + half, "right") if r >= 0 else low[:, h]
+            self.known[r] = low, high
         return self.known[r]
 
 

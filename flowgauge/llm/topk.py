@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from flowgauge.llm import blocks
 
 EVERY, K, PIVOTS, STEP = 50, 5, 48, 512
-#: Below this sum of products doubles hold integers exactly; beyond it Python's integers do, cut to 64 bits.
+#: Below this sum doubles hold integers exactly.
 EXACT = float(1 << 53)
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -55,65 +55,85 @@ class Table:
         self.begin = np.searchsorted((np.cumsum(new) - 1)[asked], np.arange(new.sum() + 1))
         self.vectors = vectors[order[new]]
         self.rows = c[order[new]]
-        self.most = float(np.abs(self.rows).max(initial=1))
-        self.scaled: dict[int | None, tuple] = {}
-
-    def bounds(self, scale: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows (by a power of two, if any), their squared lengths, the pivots and the distances to these; the last are kept."""
-        if scale not in self.scaled:
-            rows = self.rows if scale is None else np.ldexp(self.vectors, -scale)
+        self.most, self.largest = float(np.abs(self.rows).max(initial=1)), float(np.abs(self.vectors).max(initial=1))
+        self.tables: dict[bool, tuple] = {}
+        self.last: tuple[int | None, tuple] | None = None
+
+    def scale(self, q: np.ndarray, vector: np.ndarray) -> int | None:
+        """None where doubles hold the squared lengths of the query and of all candidates, and the products, exactly; else
+        the power of two that brings all components below 1, for bounds with a slack."""
+        if max(1, len(q)) * (self.most**2 + float(np.abs(q).max(initial=1)) ** 2) * 4 < EXACT:
+            return None
+        return math.frexp(max(self.largest, float(np.abs(vector).max(initial=1))))[1]
+
+    def table(self, exact: bool) -> tuple:
+        """Rows, squared lengths, pivots and the distances to these; not exact: of rows whose largest component is below 1."""
+        if exact not in self.tables:
+            rows = self.rows if exact else np.ldexp(self.vectors, -math.frexp(self.largest)[1])
             sizes, p = (rows * rows).sum(1), pivots(rows)
-            self.scaled = {scale: (rows, sizes, p, np.sqrt(np.maximum(0, sizes[None, :] + sizes[p][:, None] - 2 * rows[p] @ rows.T)))}
-        return self.scaled[scale]
+            self.tables[exact] = (rows, sizes, p, np.sqrt(np.maximum(0, sizes[None, :] + sizes[p][:, None] - 2 * rows[p] @ rows.T)))
+        return self.tables[exact]
+
+    def scaled(self, scale: int | None) -> tuple:
+        """table() brought to a scale; the last one is kept."""
+        if scale is None:
+            return self.table(True)
+        if self.last is None or self.last[0] != scale:
+            (rows, sizes, p, table), by = self.table(False), math.frexp(self.largest)[1] - scale
+            self.last = scale, (np.ldexp(rows, by), np.ldexp(sizes, 2 * by), p, np.ldexp(table, by))
+        return self.last[1]
 
     def ask(self, ask: np.ndarray, vectors: np.ndarray) -> blocks.Found:
         q = whole(vectors)
-        exact = self.most * float(np.abs(q).max(initial=1)) * max(1, q.shape[1]) * 4 < EXACT
-        # larger numbers are bounded by the powers of two that bring all below 1, and scored as Python's integers
-        scale = None if exact else math.frexp(max(float(np.abs(self.vectors).max(initial=1)), float(np.abs(vectors).max(initial=1))))[1]
-        rows, sizes, p, table = self.bounds(scale)
-        q = q if exact else np.ldexp(vectors, -scale)
-        near, over = (1e-6, 1e-3) if exact else (1e-4, 1e-4 * max(1, q.shape[1]))
-        at_pivots = q @ rows[p].T
-        for n in range(len(q)):
-            own = q[n] @ q[n]
-            away = np.sqrt(np.maximum(0, own + sizes[p] - 2 * at_pivots[n]))
+        scales = [self.scale(a, b) for a, b in zip(q, vectors)]
+        for n in sorted(range(len(q)), key=lambda n: -1 if scales[n] is None else scales[n]):
+            scale = scales[n]
+            rows, sizes, p, table = self.scaled(scale)
+            # doubles round squared lengths of many rows below 1 by less than the slack squared
+            mine, near, over = (q[n], 1e-6, 1e-3) if scale is None else (np.ldexp(vectors[n], -scale), 1e-4 + 1e-6 * q.shape[1], 1e-4 * max(1, q.shape[1]))
+            own, at_pivots = mine @ mine, rows[p] @ mine
+            away = np.sqrt(np.maximum(0, own + sizes[p] - 2 * at_pivots))
             low, gap = np.zeros(len(rows)), np.empty(len(rows))
             for j in range(len(p)):
                 np.maximum(low, np.abs(np.subtract(table[j], away[j], out=gap), out=gap), out=low)
             bound = (own + sizes - np.maximum(0, low - near) ** 2) / 2 + over
             live = np.arange(len(rows))
-            if exact:
+            if scale is None:
                 # the k-th best of the pivots' own scores (other rows than the query's) is passed by the k-th best of all
-                seed = [s for j, s in zip(p, at_pivots[n]) for i in self.ids[self.begin[j] : self.begin[j + 1]] if i != ask[n]]
+                seed = [s for j, s in zip(p, at_pivots) for i in self.ids[self.begin[j] : self.begin[j + 1]] if i != ask[n]]
                 if len(seed) >= self.k:
                     live = np.nonzero(bound >= sorted(seed, reverse=True)[self.k - 1])[0]
             live = live[np.argsort(-bound[live], kind="stable")]
-            yield n, *(self._plain(live, bound, q[n], ask[n]) if exact else self._large(live, bound, scale, vectors[n], ask[n]))
-
-    def _plain(self, live: np.ndarray, bound: np.ndarray, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, found, at, step = np.zeros(0, np.int64), np.zeros(0), 0, STEP
-        while at < len(live) and not (len(found) == self.k and bound[live[at]] < found[-1]):
+            yield n, *self._evaluated(live, bound, scale, q[n], vectors[n], ask[n])
+
+    def _scores(self, part: np.ndarray, q: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        """Integer inner products, cut to the range of a long: as doubles, as longs or as Python's integers, whichever hold them."""
+        most = self.most * float(np.abs(q).max(initial=1)) * max(1, len(q)) * 4
+        if most < EXACT:
+            return (self.rows[part] @ q).astype(np.int64)
+        if most < 2.0**62 and max(self.most, float(np.abs(q).max(initial=1))) < 2.0**62:
+            return self.rows[part].astype(np.int64) @ q.astype(np.int64)
+        mine = _integers(vector)
+        return np.array([max(LEAST, min(MOST, sum(a * b for a, b in zip(mine, _integers(self.vectors[g]))))) for g in part], np.int64)
+
+    def _evaluated(self, live: np.ndarray, bound: np.ndarray, scale: int | None, q: np.ndarray, vector: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates in the order of their bounds until the k-th best found passes the next bound. A score cut to a long ties
+        with all that are cut and passes no bound beyond a long, so that these are looked at too."""
+        ids, found, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, STEP
+        while at < len(live):
+            if len(found) == self.k:
+                worst = float(found[-1]) if scale is None else math.ldexp(float(found[-1]) / 65536, -2 * scale)
+                if bound[live[at]] < worst:
+                    break
             part = live[at : at + step]
             at, step = at + step, min(2 * step, 8 * STEP)
             members = blocks.expand(self.begin, part)
-            score = np.repeat(self.rows[part] @ q, self.begin[part + 1] - self.begin[part])
+            score = np.repeat(self._scores(part, q, vector), self.begin[part + 1] - self.begin[part])
             other = self.ids[members] != own
             ids, found = np.concatenate([ids, self.ids[members][other]]), np.concatenate([found, score[other]])
-            best = blocks.order(found, ids, self.k)
+            best = np.lexsort((ids, ~found))[: self.k]
             ids, found = ids[best], found[best]
-        return ids, found.astype(np.int64)
-
-    def _large(self, live: np.ndarray, bound: np.ndarray, scale: int, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores as integers, one by one. A score cut to a long ties with all that are cut, so that these are looked at too."""
-        mine, found = _integers(q), []
-        for g in live:
-            if len(found) == self.k and math.ldexp(-found[-1][0] / 65536, -2 * scale) > bound[g]:
-                break
-            score = max(LEAST, min(MOST, sum(a * b for a, b in zip(mine, _integers(self.vectors[g])))))
-            found += [(-score, int(i)) for i in self.ids[self.begin[g] : self.begin[g + 1]] if i != own]
-            found = sorted(found)[: self.k]
-        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
+        return ids, found
 
 
 def prepare(k: int) -> Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], blocks.Found]]:

@@ -150,24 +150,64 @@ def test_tables_of_a_block_are_made_once():
         assert made == [1]
 
 
-def test_windows_grow_to_the_same_collisions_from_any_round():
+@pytest.mark.parametrize("dim", [1, 2, 8, 64])
+def test_topk_with_one_vector_that_dwarfs_many_blocks(spark, dim):
+    rng = np.random.default_rng(dim)
+    numbers = rng.integers(-1, 2, (20_000, dim))
+    numbers[50 * int(rng.integers(400))] = rng.integers(-256 * 10**9, 256 * 10**9, dim)
+    rows = [(k, (n / 256).tolist()) for k, n in enumerate(numbers)]
+    got = grouped(topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)))
+    for q in range(0, 20_000, 50):
+        score = numbers @ numbers[q]
+        score[q] = np.iinfo(np.int64).min
+        best = np.lexsort((np.arange(20_000), ~score))[:5]
+        assert got[q] == list(zip(best.tolist(), score[best].tolist()))
+
+
+def test_bounds_of_a_block_hold_where_a_query_dwarfs_it():
+    rng = np.random.default_rng(5)
+    c = rng.integers(-1, 2, (3000, 2))
+    table = topk.prepare(5)(np.arange(3000), c / 256)
+    for size in (1e6, 1e8, 1e9, 1e10, 3e10, 1e14):
+        q = np.floor(rng.normal(size=(40, 2)) * size * 256)
+        for n, found, scores in table(np.arange(5000, 5040), q / 256):
+            score = [sum(int(a) * int(b) for a, b in zip(q[n], row)) for row in c.tolist()]
+            best = sorted(range(3000), key=lambda k: (-score[k], k))[:5]
+            assert found.tolist() == best and scores.tolist() == [score[k] for k in best]
+
+
+def test_windows_expand_until_enough_collide():
     rng = np.random.default_rng(6)
     index, q = ann.Index(rng.normal(size=(3000, 12)), np.arange(3000), 10), rng.normal(size=(20, 12))
-    windows, want = index.windows(q), []
-    ends = [windows.ends(r) for r in range(ann.ROUNDS + 1)]
-    assert all((a[0] >= b[0]).all() and (a[1] <= b[1]).all() for a, b in zip(ends, ends[1:])) and (ends[-1][0] == 0).all() and (ends[-1][1] == 3000).all()
+    windows = index.windows(q)
     for n in range(20):
+        ends = [windows.ends(r, n) for r in range(ann.ROUNDS + 1)]
+        assert all((a[0] >= b[0]).all() and (a[1] <= b[1]).all() for a, b in zip(ends, ends[1:])) and (ends[-1][0] == 0).all() and (ends[-1][1] == 3000).all()
+        # the first windows are small, and no point is counted before a window passes it
+        assert (ends[0][1] - ends[0][0]).mean() < 600 and (windows.middle(n) >= ends[0][0]).all() and (windows.middle(n) <= ends[0][1]).all()
         for lo, hi in ends:
-            counts = sum(np.isin(np.arange(3000), index.order[h, lo[n, h] : hi[n, h]]).astype(int) for h in range(ann.HASHES))
+            counts = sum(np.isin(np.arange(3000), index.order[h, lo[h] : hi[h]]).astype(int) for h in range(ann.HASHES))
             near = np.nonzero(counts >= index.need)[0]
             if len(near) >= index.enough:
                 break
         score = index.rows[near] @ q[n]
-        want.append([int(index.ids[near[k]]) for k in np.lexsort((index.ids[near], -score))[:10]])
-    for begin in (0, 5, ann.ROUNDS):
-        for n in range(20):
-            index.last = begin
-            assert index.search(q[n], -1, windows, n)[0].tolist() == want[n]
+        assert index.search(q[n], -1, windows, n)[0].tolist() == [int(index.ids[near[k]]) for k in np.lexsort((index.ids[near], -score))[:10]]
+
+
+def test_recall_over_several_blocks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(blocks, "CANDIDATES", 2048)
+    given = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()], float)
+    rng = np.random.default_rng(8)
+    rows = given[rng.integers(len(given), size=8000)] + rng.normal(size=(8000, given.shape[1])) * given.std() * 0.5
+    table = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>").repartition(3)
+    got, hit, all_ = grouped(ann.nearest(table)), 0, 0
+    for q in range(0, 8000, 20):
+        score = rows @ rows[q]
+        score[q] = -np.inf
+        edge = np.sort(score)[-20]
+        hit += sum(s >= edge - 1e-9 for _, s in got[q])
+        all_ += 20
+    assert hit >= 0.9 * all_
 
 
 @pytest.mark.parametrize(("run", "k"), [(topk.top, 5), (ann.nearest, 20)])
