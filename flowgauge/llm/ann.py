@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from flowgauge.llm import blocks
 
 EVERY, K = 20, 20
-HASHES, SHARE, SEED = 96, 0.65, 11
+HASHES, SHARE, SEED = 64, 0.65, 11
 #: Points verified before a search may end: so many, and so great a part of the block's distinct points.
 VERIFY, PART = 500, 0.11
 #: Half the first window, in standard deviations of the projections; each window is GROWTH times the last, and the last holds all.
-FIRST, GROWTH, ROUNDS = 0.2, 1.2, 18
+FIRST, GROWTH, ROUNDS = 0.3, 1.2, 16
 
 
 class Index:
@@ -46,7 +46,7 @@ class Index:
         lifted = np.concatenate([unit, np.sqrt(np.maximum(0, sizes.max(initial=0) - sizes))[:, None]], axis=1)
         self.directions = np.random.default_rng(SEED).normal(size=(lifted.shape[1], HASHES))
         projected = np.ascontiguousarray((lifted @ self.directions).T)
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
         self.spread = float(projected.std()) or 1.0
         self.need = int(np.ceil(SHARE * HASHES))
@@ -75,10 +75,9 @@ class Index:
 
     def passed(self, counts: np.ndarray, low: np.ndarray, left: np.ndarray, right: np.ndarray, high: np.ndarray) -> None:
         """Counts the points between the windows' old ends (left, right) and their new ones (low, high)."""
-        row = np.arange(HASHES) * len(self.rows)
-        begin, size = np.concatenate([row + low, row + right]), np.concatenate([left - low, high - right])
-        places = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        counts += np.bincount(self.order.ravel()[places], minlength=len(self.rows)).astype(np.uint8)
+        ends = zip(self.order, low.tolist(), left.tolist(), right.tolist(), high.tolist())
+        places = np.concatenate([part for row, a, b, c, d in ends for part in (row[a:b], row[c:d])])
+        counts += np.bincount(places, minlength=len(self.rows)).astype(np.uint8)
 
     def ask(self, ask: np.ndarray, q: np.ndarray) -> blocks.Found:
         windows = self.windows(q)
