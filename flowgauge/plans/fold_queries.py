@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions import scalars, vectorised
 from flowgauge.operators import folds, intents, similar
+from flowgauge.operators.steps import steps
 from flowgauge.plans import lean_plans, sample_plans
 from flowgauge.plans.catalog import Plan
 from flowgauge.sources.feeds import feed
@@ -35,7 +36,7 @@ def t9_policy_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d6_excessive_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.excessive_planning(sample_plans.sample_steps(spark))
+    return folds.excessive_planning(steps(sample_plans.given_events(spark, sf_dir)))
 
 
 def w11_context_restatement(spark: SparkSession, sf_dir: str) -> DataFrame:

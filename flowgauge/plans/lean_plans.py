@@ -54,18 +54,6 @@ PLANS = [
     Plan("a20_waste_by_detector", CHARGED + " select sure_detector as detector, count(*) as n, round(sum(tokens * avoidable), 4) as tokens from s where sure_detector is not null group by sure_detector"),
     Plan("a21_pareto", ALL + """, g as (select waste, cast(sum(tokens) as bigint) as tokens from u where kind = 'waste' group by waste)
  select waste, tokens, round(sum(tokens) over (order by tokens desc, waste rows between unbounded preceding and current row) * 1.0 / nullif(sum(tokens) over (), 0), 4) as running_share from g"""),
-    Plan("a1_ratio_by_phase", """
-with p as (select session_id, case kind when 'read' then 'reasoning' when 'edit' then 'tool_use' when 'check' then 'generation' end as phase, tokens, case when outcome = 'failed' or tokens < 5 then 0 else tokens end as aligned from {e} where kind <> 'prompt')
-select session_id, phase, cast(sum(tokens) as bigint) as tokens, cast(sum(aligned) as bigint) as aligned, round(sum(aligned) * 1.0 / nullif(sum(tokens), 0), 4) as score from p group by session_id, phase"""),
-    Plan("a1_ratio_aggregate", """
-with p as (select session_id, case kind when 'read' then 'reasoning' when 'edit' then 'tool_use' when 'check' then 'generation' end as phase, tokens, case when outcome = 'failed' or tokens < 5 then 0 else tokens end as aligned from {e} where kind <> 'prompt'),
-s as (select session_id, phase, sum(tokens) as tokens, sum(aligned) as aligned, round(coalesce(sum(aligned) * 1.0 / nullif(sum(tokens), 0), 1.0), 4) as score from p group by session_id, phase)
-select session_id, round(0.3 * coalesce(max(case when phase = 'reasoning' then score end), 1.0) + 0.4 * coalesce(max(case when phase = 'tool_use' then score end), 1.0) + 0.3 * coalesce(max(case when phase = 'generation' then score end), 1.0), 4) as aggregate_ratio,
-  round(sum(aligned) * 1.0 / nullif(sum(tokens), 0), 4) as raw_ratio from s group by session_id"""),
-    Plan("a3_uncertainty", """
-with u as (select session_id, tokens, case when outcome = 'failed' then 0.9 when tokens < 5 then 0.6 else 0.75 end as confidence from {e} where kind <> 'prompt')
-select session_id, round(avg(confidence), 4) as mean_confidence, round(sum(tokens * confidence) / nullif(sum(tokens), 0), 4) as weighted_confidence, round(avg(case when confidence < 0.65 then 1.0 else 0.0 end), 4) as low_share,
-  case when count(*) < 10 then 'low' when count(*) < 50 then 'moderate' else 'high' end as reliability from u group by session_id"""),
     Plan("a7_positional_thirds", """
 with n as (select session_id, tokens, outcome, row_number() over (partition by session_id order by seq) - 1 as i, greatest(1, cast(floor(count(*) over (partition by session_id) / 3) as bigint)) as third from {e}),
 t as (select session_id, tokens, outcome, case when i < third then 'early' when i < 2 * third then 'middle' else 'late' end as part from n)

@@ -21,10 +21,6 @@ c as (select session_id, 'repeated_command' as pattern, min(seq) as start_seq, c
 d as (select session_id, 'edit_fragmentation' as pattern, min(seq) as start_seq, count(*) as n from (select *, row_number() over (partition by session_id order by seq) - row_number() over (partition by session_id, path order by seq) as island from {e} where kind = 'edit') x group by session_id, path, island having count(*) >= 2),
 u as (select * from r union all select * from c union all select * from d)
 select session_id, pattern, start_seq, n, row_number() over (partition by session_id order by start_seq, pattern) as place from u"""),
-    Plan("w24_label_cascade", f"""
-with {WORDS}, f as (select session_id, words as first_words from (select *, row_number() over (partition by session_id order by seq) as n from w where role = 'user') x where n = 1),
-l as (select w.session_id, w.seq, w.role, size(w.words) as n_words, round(size(array_intersect(w.words, f.first_words)) * 1.0 / greatest(1, least(size(w.words), size(f.first_words))), 4) as similarity from w join f on f.session_id = w.session_id where w.role = 'assistant')
-select session_id, seq, similarity, case when similarity < 0.112 and n_words < 15 then 'low_information' when similarity < 0.088 and n_words > 50 then 'over_explanation' when similarity < 0.35 and n_words < 25 then 'low_relevance' else 'aligned' end as label from l"""),
     Plan("w31_overthinking_novelty", f"""
 with {WORDS}, n as (select session_id, role, seq, words, row_number() over (partition by session_id, role order by seq) as i from w),
 x as (select session_id, role, seq, i, explode(words) as word from n),
@@ -119,5 +115,4 @@ select e.session_id, floor(m.at) as marker_after, count(*) filter (where e.seq <
     Plan("t6_usage_once", "select session_id, cast(sum(case when nth = 1 then tokens else 0 end) as bigint) as tokens_once, cast(sum(tokens) as bigint) as tokens_all from (select session_id, tokens, row_number() over (partition by session_id, path order by seq) as nth from {e}) x group by session_id"),
     Plan("t11_ledger_records", "select sha2(concat_ws(':', session_id, kind, path), 256) as record_id, count(*) as observations, min(seq) as first_seq from {e} where kind <> 'prompt' group by session_id, kind, path"),
     Plan("p22_overlap_coefficient", f"with {WORDS} select a.session_id, a.seq, b.seq as next_seq, round(size(array_intersect(a.words, b.words)) * 1.0 / greatest(1, least(size(a.words), size(b.words))), 4) as overlap from w a join w b on a.session_id = b.session_id and b.seq = a.seq + 1"),
-    Plan("p34_information_score", "select session_id, seq, round(least(1.0, length(text) / 400.0), 4) as information, length(text) < 20 as low_information from {c} where role = 'user'"),
 ]

@@ -1,6 +1,7 @@
-"""Queries over the hand-written transcripts: sources, pairings of requests and results, windows and detectors, each with
-its reference thresholds. An oracle reads the same lines with another engine's JSON functions and states the rule again, in
-other words than the plan's."""
+"""Queries over transcripts that Spark derives from events and conversations: sources, pairings of requests and results,
+windows and detectors, each with its full rule and thresholds. An oracle derives the same lines, reads them with another
+engine's JSON functions and states the rule again, in other words than the plan's. Tests run the same plans over the
+hand-written transcripts of flowgauge.sources.samples."""
 
 from __future__ import annotations
 
@@ -12,17 +13,19 @@ from pyspark.sql import functions as F
 
 from flowgauge.functions import scalars, shell
 from flowgauge.operators.steps import steps
-from flowgauge.sources import samples, transcripts
+from flowgauge.sources import derived, samples, transcripts
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-LINES = "lines(file, line, value) as (values " + ", ".join(f"({_quoted(f)}, {n}, {_quoted(v)})" for f, n, v in samples.rows()) + ")"
+#: The lines that the names below stand on: those derived from the given tables, or in tests the hand-written ones.
+GIVEN = f"lines as ({derived.ORACLE})"
+HAND = "lines(file, line, value) as (values " + ", ".join(f"({_quoted(f)}, {n}, {_quoted(v)})" for f, n, v in samples.rows()) + ")"
 STOP = "('" + "', '".join(scalars.fixed.STOPWORDS) + "')"
 #: Records, blocks and events, in another engine's words. A block that repeats one of its request is left out.
-EVENTS = f"""{LINES},
+EVENTS = f"""{GIVEN},
 rec as (select file, line, json(value) as v, json_extract_string(value, '$.type') as type, coalesce(json_extract_string(value, '$.uuid'), 'line-' || line) as uuid, json_extract_string(value, '$.sessionId') as session_id,
   json_extract_string(value, '$.requestId') as request_id, json_extract_string(value, '$.timestamp') as ts, coalesce(json_extract_string(value, '$.message.role'), json_extract_string(value, '$.type')) as role, json_extract(value, '$.message.content') as content from lines where trim(value) <> ''),
 one as (select *, unnest(case when json_type(content) = 'ARRAY' then from_json(content, '["json"]') else [json_object('type', 'text', 'text', content)] end) as b,
@@ -62,7 +65,13 @@ SAID = rf"""{STEPS},
 sw as (select *, case when kind = 'completion' and coalesce(tool_kind, '') in ('fs.read', 'fs.edit', 'fs.write') then [] when kind = 'request' then {WORDS.format("(select coalesce(string_agg(json_extract_string(input, '$.\"' || k || '\"'), ' '), '') from unnest(json_keys(input)) as t(k))")} else {WORDS.format("text")} end as words from st)"""
 
 
+def given_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical events of the transcripts derived from the given tables."""
+    return transcripts.events_of(transcripts.records(derived.lines(spark, sf_dir)))
+
+
 def sample_events(spark: SparkSession) -> DataFrame:
+    """Those of the hand-written ones, for tests."""
     return transcripts.events_of(transcripts.records(samples.raw(spark)))
 
 
@@ -72,7 +81,7 @@ def sample_steps(spark: SparkSession) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sample:
-    """A query over the steps {s} or events {e} of the sample sessions, and the oracle's SELECT over the names above."""
+    """A query over the steps {s} or events {e} of transcripts, and the oracle's SELECT over the names above."""
 
     name: str
     sql: str
@@ -83,7 +92,7 @@ class Sample:
         return spark.sql(self.sql, **frames)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = sample_events(spark)
+        events = given_events(spark, sf_dir)
         return self.apply(spark, **({"s": steps(events)} if "{s}" in self.sql else {}) | ({"e": events} if "{e}" in self.sql else {}))
 
     @property
@@ -92,6 +101,11 @@ class Sample:
         word = "with recursive " if body.startswith("with recursive ") else "with "
         return word + self.base + (", " + body.removeprefix(word) if body.startswith(word) else " " + body)
 
+    @property
+    def hand_oracle(self) -> str:
+        """The oracle over the hand-written lines."""
+        return self.oracle.replace(GIVEN, HAND)
+
 
 REQUESTS = """with f as (select *, coalesce(sum(case when is_edit then 1 else 0 end) over w, 0) as edits_before, coalesce(sum(case when kind = 'request' and command rlike '(?:^|[;&|(] *)git +(?:stash|checkout|restore|reset)(?: |$)' then 1 else 0 end) over w, 0) as reverts_before,
   coalesce(sum(case when is_edit then 1 else 0 end) over (partition by session_id, path order by idx rows between unbounded preceding and 1 preceding), 0) as path_edits_before
@@ -151,7 +165,7 @@ select session_id, idx, tokens, following, tokens - coalesce(following, 0) as ex
 select session_id, idx, next_idx, cast(next_edits - edits_before as bigint) as fixes, case when next_outcome = 'failed' and next_signature = signature then 'rework' else 'iteration' end as verdict from c where outcome = 'failed' and next_edits > edits_before and next_outcome in ('failed', 'passed')""", STEPS,
            "with c as (select a.*, (select min(b.idx) from rq b where b.session_id = a.session_id and b.is_check and b.command = a.command and b.idx > a.idx) as next_idx from rq a where a.is_check and a.outcome = 'failed'), d as (select c.*, n.outcome as o, n.signature as g, (select count(*) from rq e where e.session_id = c.session_id and e.is_edit and e.idx between c.idx and c.next_idx) as fixes from c join rq n on n.session_id = c.session_id and n.idx = c.next_idx) select session_id, idx, next_idx, fixes, if(o = 'failed' and g = signature, 'rework', 'iteration') as verdict from d where fixes > 0 and o <> 'unknown'"),
     Sample("d1_same_call_again", REQUESTS + r""", p as (select *, lag(idx) over k as was, lag(done) over k as was_done, lag(out) over k as was_out, lag(segment) over k as was_segment, edits_before - lag(edits_before + cast(is_edit as int)) over k as edited,
-  reverts_before - lag(reverts_before) over k as reverted from f where kind = 'request' and coalesce(tool_kind, '') not in ('fs.read', 'fs.search') and not coalesce(lower(command) rlike '^(?:sleep|timeout\\s+/t)\\s+\\S+\\s*$', false) window k as (partition by session_id, call_key order by idx))
+  reverts_before - lag(reverts_before + cast(coalesce(command rlike '(?:^|[;&|(] *)git +(?:stash|checkout|restore|reset)(?: |$)', false) as int)) over k as reverted from f where kind = 'request' and coalesce(tool_kind, '') not in ('fs.read', 'fs.search') and not coalesce(lower(command) rlike '^(?:sleep|timeout\\s+/t)\\s+\\S+\\s*$', false) window k as (partition by session_id, call_key order by idx))
 select session_id, idx, was, case when done is null or was_done is null then 0.5D when is_check then 0.85D when edited > 0 then 0.75D else 0.9D end as confidence from p
 where was is not null and segment = was_segment and reverted = 0 and not (is_check and edited > 0) and (done is null or was_done is null or out = was_out)""", STEPS,
            r"with a as (select * from rq where tool_kind not in ('fs.read', 'fs.search') and not coalesce(regexp_matches(command, '^sleep \S+$'), false)), p as (select b.*, (select max(x.idx) from a x where x.session_id = b.session_id and x.call_key = b.call_key and x.idx < b.idx) as was from a b), q as (select p.*, o.done as was_done, o.out as was_out, o.segment as was_segment, exists (select 1 from rq e where e.session_id = p.session_id and e.is_edit and e.idx > p.was and e.idx < p.idx) as edited, exists (select 1 from rq e where e.session_id = p.session_id and regexp_matches(e.command, '(^|[;&|(] *)git (stash|checkout|restore|reset)( |$)') and e.idx > p.was and e.idx < p.idx) as reverted from p join a o on o.session_id = p.session_id and o.idx = p.was) select session_id, idx, was, case when out is null or was_out is null then 0.5::double when is_check then 0.85::double when edited then 0.75::double else 0.9::double end as confidence from q where segment = was_segment and not reverted and not (is_check and edited) and coalesce(out = was_out, true)"),
@@ -202,7 +216,7 @@ o as (select session_id, idx, explode(words) as word from {s} where kind = 'comp
 seen as (select distinct q.session_id, q.idx, q.earlier from (select *, explode(fresh) as word from q) q join o on o.session_id = q.session_id and o.word = q.word and o.idx > q.earlier and o.idx < q.idx),
 g as (select q.*, row_number() over (partition by q.session_id, q.idx order by q.novelty, q.earlier) as r from q left anti join seen on seen.session_id = q.session_id and seen.idx = q.idx and seen.earlier = q.earlier where q.novelty <= 0.2)
 select session_id, idx, earlier, round(0.85D - novelty - case when n < 6 then 0.1D else 0.0D end, 4) as confidence from g where r = 1""", SAID,
-           "with t as (select s.*, (select arg_max(p.words, p.idx) from sw p where p.session_id = s.session_id and p.kind = 'prompt' and p.idx < s.idx) as prompt from sw s where s.kind = 'reasoning' and len(s.words) >= 4), p as (select b.session_id, b.idx, a.idx as earlier, len(b.words) as n, list_filter(b.words, lambda w: not list_contains(a.words, w) and not list_contains(b.prompt, w)) as fresh from t b join t a on a.session_id = b.session_id and a.segment = b.segment and a.idx < b.idx where len(list_intersect(a.words, b.words)) >= 3 and not exists (select 1 from sw e where e.session_id = a.session_id and e.is_edit and e.idx between a.idx and b.idx)), q as (select p.*, len(fresh) / n as novelty from p where len(fresh) * 5 <= n and not exists (select 1 from sw c where c.session_id = p.session_id and c.kind = 'completion' and coalesce(c.tool_kind, '') <> 'plan' and c.idx > p.earlier and c.idx < p.idx and list_has_any(c.words, p.fresh))) select session_id, idx, arg_min(earlier, novelty * 1000000 + earlier) as earlier, round(0.85 - min(novelty) - if(any_value(n) < 6, 0.1, 0), 4)::double as confidence from q group by session_id, idx"),
+           "with t as (select s.*, (select arg_max(p.words, p.idx) from sw p where p.session_id = s.session_id and p.kind = 'prompt' and p.idx < s.idx) as prompt from sw s where s.kind = 'reasoning' and len(s.words) >= 4), p as (select b.session_id, b.idx, a.idx as earlier, len(b.words) as n, list_filter(b.words, lambda w: not list_contains(a.words, w) and not list_contains(coalesce(b.prompt, []), w)) as fresh from t b join t a on a.session_id = b.session_id and a.segment = b.segment and a.idx < b.idx where len(list_intersect(a.words, b.words)) >= 3 and not exists (select 1 from sw e where e.session_id = a.session_id and e.is_edit and e.idx between a.idx and b.idx)), q as (select p.*, len(fresh) / n as novelty from p where len(fresh) * 5 <= n and not exists (select 1 from sw c where c.session_id = p.session_id and c.kind = 'completion' and coalesce(c.tool_kind, '') <> 'plan' and c.idx > p.earlier and c.idx < p.idx and list_has_any(c.words, p.fresh))) select session_id, idx, arg_min(earlier, novelty * 1000000 + earlier) as earlier, round(0.85 - min(novelty) - if(any_value(n) < 6, 0.1, 0), 4)::double as confidence from q group by session_id, idx"),
     Sample("d11_rewrites", """with w as (select *, case when kind = 'request' then lag(lines) over (partition by session_id, path, kind = 'request' and tool_kind = 'fs.write' order by idx) end as old, last_value(case when kind = 'completion' and tool_kind = 'fs.read' then lines end) ignore nulls over (partition by session_id, path order by idx) as seen from {s} where path is not null and (tool_kind = 'fs.write' or tool_kind = 'fs.read')),
 x as (select *, size(array_intersect(old, lines)) * 1.0D / size(old) as kept_own, size(array_intersect(old, lines)) * 1.0D / size(lines) as share_own, size(array_intersect(seen, lines)) * 1.0D / size(seen) as kept_seen, size(array_intersect(seen, lines)) * 1.0D / size(lines) as share_seen from w where kind = 'request' and tool_kind = 'fs.write' and size(lines) > 0)
 select session_id, idx, path, case when old is not null and size(old) > 0 then case when share_own >= 0.7 then 0.8D else 0.6D end else 0.6D end as confidence, round(case when old is not null and size(old) > 0 then share_own else share_seen end, 4) as share from x
@@ -245,9 +259,9 @@ select session_id, sequence, case when old.tool_name <> tool_name then 1.0D when
            "with u as (select *, role = 'assistant' and row_number() over (partition by session_id, coalesce(request_id, uuid) order by file, line, place) = 1 and json_type(v, '$.message.usage') = 'OBJECT' as used from ev) select session_id, count(*) as events, count(*) - 1 as parents, count(*) filter (where kind = 'completion') as results, count(*) filter (where used) as with_usage from u group by session_id"),
     Sample("s25_session_markdown", "select session_id, concat('## ', session_id, chr(10), '| steps | requests | edits | checks |', chr(10), '|---:|---:|---:|---:|', chr(10), '| ', count(*), ' | ', count(case when kind = 'request' then 1 end), ' | ', count(case when is_edit then 1 end), ' | ', count(case when checks then 1 end), ' |') as markdown from {s} group by session_id", STEPS,
            "select session_id, format('## {}\n| steps | requests | edits | checks |\n|---:|---:|---:|---:|\n| {} | {} | {} | {} |', session_id, count(*), count(*) filter (where kind = 'request'), count(*) filter (where is_edit), count(*) filter (where checks)) as markdown from st group by session_id"),
-    Sample("b1_group_ratio", """with m as (select case when session_id in ('habits', 'handoff', 'planning') then 'group a' else 'group b' end as parent, session_id, sum(tokens) as tokens, round(sum(case when kind = 'request' and coalesce(outcome, '') <> 'failed' or kind = 'response' then tokens else 0 end) / sum(tokens), 4) as ratio from {s} where kind in ('request', 'response', 'reasoning') group by session_id)
+    Sample("b1_group_ratio", """with m as (select case when session_id in ('habits', 'handoff', 'planning') or session_id rlike '[0-4]$' then 'group a' else 'group b' end as parent, session_id, sum(tokens) as tokens, round(sum(case when kind = 'request' and coalesce(outcome, '') <> 'failed' or kind = 'response' then tokens else 0 end) / sum(tokens), 4) as ratio from {s} where kind in ('request', 'response', 'reasoning') group by session_id)
 select parent, count(*) as members, round(coalesce(sum(ratio * tokens) / sum(tokens), 0), 4) as ratio, round(100 * (1 - coalesce(sum(ratio * tokens) / sum(tokens), 0)), 1) as waste_percent from m group by parent""", STEPS,
-           r"with t as (select s.session_id, s.kind, r.outcome, len(regexp_extract_all(case when s.kind = 'request' then s.name || ' ' || cast(s.input as varchar) else s.text end, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]')) as tokens from st s left join res r on r.session_id = s.session_id and r.idx = s.idx where s.kind in ('request', 'response', 'reasoning')), m as (select session_id, sum(tokens) as tokens, round(sum(tokens) filter (where kind = 'response' or (kind = 'request' and outcome is distinct from 'failed')) / sum(tokens), 4) as ratio from t group by session_id) select if(list_contains(['habits', 'handoff', 'planning'], session_id), 'group a', 'group b') as parent, count(*) as members, round(sum(ratio * tokens) / sum(tokens), 4) as ratio, round(100 - 100 * sum(ratio * tokens) / sum(tokens), 1) as waste_percent from m group by all"),
+           r"with t as (select s.session_id, s.kind, r.outcome, len(regexp_extract_all(case when s.kind = 'request' then s.name || ' ' || cast(s.input as varchar) else s.text end, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]')) as tokens from st s left join res r on r.session_id = s.session_id and r.idx = s.idx where s.kind in ('request', 'response', 'reasoning')), m as (select session_id, sum(tokens) as tokens, round(sum(tokens) filter (where kind = 'response' or (kind = 'request' and outcome is distinct from 'failed')) / sum(tokens), 4) as ratio from t group by session_id) select if(list_contains(['habits', 'handoff', 'planning', '0', '1', '2', '3', '4'], if(session_id like 'u%', session_id[-1], session_id)), 'group a', 'group b') as parent, count(*) as members, round(sum(ratio * tokens) / sum(tokens), 4) as ratio, round(100 - 100 * sum(ratio * tokens) / sum(tokens), 1) as waste_percent from m group by all"),
     Sample("b5_metric_records", """with m as (select session_id, max(sequence) as last, map('events', count(*), 'requests', count(case when kind = 'tool.requested' then 1 end), 'events ', count(*)) as metrics from {e} group by session_id),
 r as (select session_id, last, explode(metrics) as (name, value) from m), q as (select session_id, trim(name) as name, value, last + row_number() over (partition by session_id order by name) as sequence from r)
 select session_id, name, max_by(value, sequence) as value, max(sequence) as sequence, max_by(substr(sha2(concat_ws(chr(0), session_id, name, cast(value as string)), 256), 1, 16), sequence) as event_id from q group by session_id, name""", EVENTS,
@@ -258,10 +272,10 @@ a as (select x.session_id, count(*) as events, count(distinct x.path) as paths,
 b as (select session_id, count(*) as events, count(distinct path) as paths, count(case when tool_kind = 'fs.read' then 1 end) as reads from {e} group by session_id)
 select a.session_id, a.events, a.paths, a.reads, a.events = b.events and a.paths = b.paths and a.reads = b.reads as same from a join b on a.session_id = b.session_id""", EVENTS,
            "select session_id, count(*) as events, count(distinct path) as paths, count(*) filter (where tool_kind = 'fs.read') as reads, true as same from ev group by session_id"),
-    Sample("s6_discovered_sessions", """with f as (select * from (values ('p/a.jsonl', 30), ('p/b.jsonl', 50), ('p/a/subagents/x.jsonl', 60), ('p/a/subagents/y.jsonl', 40), ('q/c.jsonl', 10), ('q/notes.txt', 90)) as v(path, modified)),
+    Sample("s6_discovered_sessions", """with f as (select case when n % 5 = 1 then concat('p', n % 7, '/u', n - 1, '/subagents/', session_id, '.jsonl') else concat('p', n % 7, '/', session_id, if(n % 11 = 3, '.txt', '.jsonl')) end as path, modified from (select session_id, coalesce(try_cast(substr(session_id, 2) as bigint), 0) as n, max(sequence) as modified from {e} group by session_id) x),
 s as (select *, regexp_extract(path, '([^/]+)[.]jsonl$', 1) as session, nullif(regexp_extract(path, '([^/]+)/subagents/[^/]+$', 1), '') as parent, split(path, '/')[0] as project from f where path like '%.jsonl')
 select project, session, parent, cast(modified as bigint) as modified, parent is null and row_number() over (partition by project, parent is null order by modified desc, path) = 1 as latest from s""", EVENTS,
-           "with f(path, modified) as (values ('p/a.jsonl', 30), ('p/b.jsonl', 50), ('p/a/subagents/x.jsonl', 60), ('p/a/subagents/y.jsonl', 40), ('q/c.jsonl', 10), ('q/notes.txt', 90)), s as (select *, string_split(path, '/') as parts from f where ends_with(path, '.jsonl')), t as (select parts[1] as project, replace(parts[-1], '.jsonl', '') as session, if(parts[-2] = 'subagents', parts[-3], null) as parent, modified from s) select project, session, parent, cast(modified as bigint) as modified, parent is null and modified = (select max(o.modified) from t o where o.project = t.project and o.parent is null) as latest from t"),
+           "with n as (select session_id, coalesce(try_cast(substr(session_id, 2) as bigint), 0) as n, count(*) as modified from ev group by session_id), t as (select 'p' || (n % 7) as project, session_id as session, if(n % 5 = 1, 'u' || (n - 1), null) as parent, modified from n where n % 5 = 1 or n % 11 <> 3) select project, session, parent, modified, parent is null and session = (select arg_min(o.session, struct_pack(m := -o.modified, s := o.project || '/' || o.session || '.jsonl')) from t o where o.project = t.project and o.parent is null) as latest from t"),
 ]
 
 
@@ -282,7 +296,12 @@ PLANS.append(Sample("u1_all_findings", _union(lambda p: p.sql).replace("confiden
 
 
 def p12_simple_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sample_steps(spark).where("kind = 'request' and command is not null")
+    return commands(steps(given_events(spark, sf_dir)))
+
+
+def commands(found: DataFrame) -> DataFrame:
+    """The simple commands of the shell lines among steps."""
+    found = found.where("kind = 'request' and command is not null")
     return found.select("session_id", "idx", F.posexplode(shell.simple_commands("command")).alias("place", "command"))
 
 

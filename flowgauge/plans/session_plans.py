@@ -72,23 +72,10 @@ select session_id, seq, tokens, next_other, tokens - next_other as excess from n
          """
 with n as (select *, last_value(case when kind <> 'read' then tokens end ignore nulls) over (partition by session_id order by seq desc rows between unbounded preceding and 1 preceding) as next_other from {e})
 select session_id, seq, tokens, next_other, tokens - next_other as excess from n where kind = 'read' and tokens >= 500 and next_other is not null and tokens > 10 * next_other"""),
-    Plan("w23_repetition_top_match", """
-with w as (select session_id, role, seq, array_distinct(regexp_extract_all(lower(text), '[a-z]{3,}', 0)) as words, row_number() over (partition by session_id, role order by seq) as n from {c}),
-m as (select a.session_id, a.role, a.seq, b.seq as earlier, case when size(a.words) + size(b.words) = 0 then 1.0 else round(size(array_intersect(a.words, b.words)) * 1.0 / greatest(1, size(a.words) + size(b.words) - size(array_intersect(a.words, b.words))), 4) end as score
-  from w a join w b on a.session_id = b.session_id and a.role = b.role and b.n between a.n - 10 and a.n - 1)
-select session_id, role, seq, earlier, score from (select *, row_number() over (partition by session_id, role, seq order by score desc, earlier) as r from m) x where r = 1"""),
     Plan("w26_intent_drift", """
 with l as (select session_id, seq, vec, lag(vec) over (partition by session_id order by seq) as prev from {v}),
 s as (select session_id, seq, round(cosine(vec, prev), 4) as similarity from l where prev is not null)
 select session_id, seq, similarity, case when similarity >= 0.6 then 'convergent' when similarity <= 0.4 then 'divergent' else 'stable' end as step from s"""),
-    Plan("w28_topic_shift", """
-with l as (select session_id, seq, vec, lag(vec) over (partition by session_id order by seq) as prev from {v}),
-s as (select session_id, seq, case when prev is null or round(cosine(vec, prev), 4) < 0.42 then 1 else 0 end as shift from l)
-select session_id, seq, cast(sum(shift) over (partition by session_id order by seq) as bigint) as topic from s"""),
-    Plan("w27_prompt_weights", """
-with p as (select session_id, seq, least(1.0, length(text) / 400.0) as info, row_number() over (partition by session_id order by seq) as n, count(*) over (partition by session_id) as total from {c} where role = 'user'),
-w as (select *, greatest(info, 0.1) * (0.75 + 0.25 * n / total) as weight from p)
-select session_id, seq, round(weight / sum(weight) over (partition by session_id), 6) as weight from w"""),
     Plan("w33_wip", """
 with r as (select session_id, seq, sum(case when kind = 'check' then 1 else 0 end) over (partition by session_id order by seq) as island, kind, outcome from {e}),
 s as (select session_id, seq, cast(sum(case when kind = 'edit' then 1 else 0 end) over (partition by session_id, island order by seq) as bigint) as open_edits,
