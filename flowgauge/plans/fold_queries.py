@@ -13,8 +13,10 @@ from flowgauge.operators import folds, intents, similar
 from flowgauge.operators.steps import steps
 from flowgauge.plans import lean_plans, sample_plans
 from flowgauge.plans.catalog import Plan
+from flowgauge.sources import derived, transcripts
 from flowgauge.sources.feeds import feed
 from flowgauge.sources.redaction import redact_table
+from flowgauge.streaming import engine
 
 
 def t5_ema_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +107,13 @@ def p29_tool_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("session_id", "seq", vectorised.tool_fingerprint("kind", F.to_json(F.struct("path"))).alias("fingerprint"))
 
 
+def t1_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incremental engine over all events, shuffled and in part delivered twice; equal to the batch report."""
+    return engine.replayed(spark, transcripts.records(derived.lines(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p5_bpe_tokens, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints)
+    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p5_bpe_tokens, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints, t1_event_fold)
     return {f.__name__: f for f in found}
 
 
@@ -123,6 +130,14 @@ e as (select *, case kind when 'reasoning' then len(list_filter(words, lambda w:
 select session_id, first_idx as run, idx, round(least(0.9, 0.55 + 0.05 * steps), 4)::double as confidence from e where steps >= 4 and place > 2 and again"""
 
 
+#: The batch report that the incremental engine must equal: each event, request and call once.
+FOLDED = rf"""with {sample_plans.EVENTS},
+x as (select *, tool_kind in ('fs.edit', 'fs.write') as edit, coalesce(regexp_matches(raw_command, '^\s*(pytest|ruff|mypy|tox|make\s+(test|check|lint|ci))(\s|$)'), false) as chk from ev),
+r as (select session_id, request_id, max(coalesce(cast(json_extract(v, '$.message.usage.input_tokens') as bigint), 0) + coalesce(cast(json_extract(v, '$.message.usage.output_tokens') as bigint), 0)) as used from ev where request_id is not null group by all),
+k as (select session_id, count(*) - count(distinct tool_name || ' ' || cast(input as varchar)) as again from ev where kind = 'request' group by all),
+m as (select session_id, idx, edit, count(*) filter (where chk) over (partition by session_id order by idx) as island from x where edit or chk),
+p as (select session_id, max(n) as peak from (select session_id, island, count(*) filter (where edit) as n from m group by all) y group by all)
+select e.session_id, count(*) as n_events, (select count(*) from r where r.session_id = e.session_id) as requests, cast((select sum(used) from r where r.session_id = e.session_id) as bigint) as tokens_used, (select any_value(again) from k where k.session_id = e.session_id) as duplicate_calls, coalesce((select any_value(peak) from p where p.session_id = e.session_id), 0) as peak_unvalidated_edits from ev e group by e.session_id"""
 #: One step a row of a session: a new segment where the row is unlike the one before it, or five are in the segment.
 SLID = """with recursive v as (select label as session_id, vec_id as seq, cast(embedding as double[]) as e, row_number() over (partition by label order by vec_id) as n from embeddings),
 near as (select a.session_id, a.seq, a.n, list_cosine_similarity(a.e, b.e) as near from v a left join v b on b.session_id = a.session_id and b.n = a.n - 1),
@@ -139,4 +154,5 @@ def oracle_sql() -> dict[str, str]:
         "j14_similar_prompts": f"{LIKE} select * from p where similarity >= 0.75",
         "a10_prompt_redundancy": f"{LIKE}, u as (select session_id, first_seq as seq from p where similarity >= 0.75 union select session_id, second_seq from p where similarity >= 0.75) select e.label as session_id, count(*) as total, count(u.seq) as redundant, round(count(u.seq) / count(*), 4) as score from embeddings e left join u on u.session_id = e.label and u.seq = e.vec_id group by e.label",
         "d6_excessive_planning": PLANNED,
+        "t1_event_fold": FOLDED,
     }

@@ -1,5 +1,6 @@
 """Queries over a small repository and over routing runs, both written by hand: import graphs, change surfaces, contracts,
-drift, routes. Oracles have the facts as literals and state the rules in SQL."""
+drift, routes. Oracles have the facts as literals and state the rules in SQL. Those that read no given table are for tests
+(hand()); flowgauge.plans.repository_plans runs the same operators over repositories derived from events."""
 
 from __future__ import annotations
 
@@ -143,11 +144,20 @@ select session_id, string_agg(substr('▁▂▃▄▅▆▇█', k, 1), '' order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p48_sparklines": p48_sparklines}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p48_sparklines": BARS}
+
+
+def hand() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All of this module, by name."""
     found = (s23_symbols, g9_import_edges, g9_change_surface, d18_unrelated_modification, d19_surface_expansion, s24_contracts, d20_boundary_violation, d21_exploration_drift, p47_manifest_facts, s13_routing_run, d16_failed_route, d17_unearned_escalation, p48_sparklines)
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
+def hand_oracle_sql() -> dict[str, str]:
     return {
         "s23_symbols": "with " + _values("f", "path, fact, name, kind", [("shop/cart.py", "symbol", "Cart", "class"), ("shop/tax.py", "symbol", "rate", "function"), ("tools/broken.py", "unparsed", None, None)]) + " select * from f",
         "g9_import_edges": f"with {_values('edges', 'src, dst', EDGES)} select * from edges",

@@ -3,7 +3,8 @@
 A user is a session, and an event a prompt, a thought, a reply, or a call with its result. Which of them it is depends on
 the event's type and on the cents of its value; its key says which file, test or pattern is meant; what is said is a
 rule's own or comes from the conversation whose number is the user's. The text is one SELECT that any SQL engine can run, so that an oracle reads the
-same lines. Repeated, open, failed and denied calls, orphan results and repeated blocks come about as the events fall.
+same lines. Repeated, open, failed and denied calls, orphan results and repeated blocks come about as the events fall; some prompts are
+followed by a look at twelve files, and some thoughts are thought five times.
 """
 
 from __future__ import annotations
@@ -83,8 +84,12 @@ one as (select u, ts, event_id, 1 as part, case kind
     case kind when 'call' then '{{"type":"tool_use","id":"c' || cast(event_id as string) || '","name":"' || tool || '","input":' || input || '}}' when 'think' then '{{"type":"thinking","thinking":"' || words || '"}}' else '{{"type":"text","text":"' || words || '"}}' end
     || '],"usage":{{"input_tokens":' || cast(100 + k as string) || ',"output_tokens":' || cast(10 + cents as string) || ',"cache_read_input_tokens":' || cast(50 * k as string) || '}}}}}}' end as value from act),
 two as (select u, ts, event_id, 2 as part, '{{"type":"user","uuid":"b' || cast(event_id as string) || {_BODY} || '"message":{{"role":"user","content":[{{"type":"tool_result","tool_use_id":"c' || cast(event_id as string) || '","content":"' || result || '"}}]}}}}' as value from act where kind = 'call' and result is not null),
-three as (select u, ts, event_id, 3 as part, value from one where event_id % 29 = 0)
-select 'u' || u || '.jsonl' as file, cast(row_number() over (partition by u order by ts, event_id, part) as int) as line, value from (select * from one union all select * from two union all select * from three) x"""
+three as (select u, ts, event_id, 3 as part, value from one where event_id % 29 = 0),
+look as (select u, ts, event_id, moment, cast(event_id as string) || 'x' || cast(i as string) as id, i from act join (values (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) as b(i) on i <= 12 where kind = 'prompt' and k % 4 = 0),
+four as (select u, ts, event_id, 10 + 2 * i as part, '{{"type":"assistant","uuid":"r' || id || {_BODY} || '"requestId":"r' || id || '","message":{{"role":"assistant","model":"m-large","content":[{{"type":"tool_use","id":"r' || id || '","name":"Read","input":{{"file_path":"src/w' || cast(i as string) || '.py"}}}}],"usage":{{"input_tokens":90,"output_tokens":' || cast(i as string) || ',"cache_read_input_tokens":0}}}}}}' as value from look),
+five as (select u, ts, event_id, 11 + 2 * i as part, '{{"type":"user","uuid":"s' || id || {_BODY} || '"message":{{"role":"user","content":[{{"type":"tool_result","tool_use_id":"r' || id || '","content":"def w' || cast(i as string) || '(): pass"}}]}}}}' as value from look),
+six as (select u, ts, event_id, 40 + i as part, '{{"type":"assistant","uuid":"t' || cast(event_id as string) || 'x' || cast(i as string) || {_BODY} || '"requestId":"t' || cast(event_id as string) || 'x' || cast(i as string) || '","message":{{"role":"assistant","model":"m-large","content":[{{"type":"thinking","thinking":"' || words || '"}}],"usage":{{"input_tokens":80,"output_tokens":8,"cache_read_input_tokens":0}}}}}}' as value from act join (values (1), (2), (3), (4)) as b(i) on i <= 4 where kind = 'think' and k % 4 = 1)
+select 'u' || u || '.jsonl' as file, cast(row_number() over (partition by u order by ts, event_id, part) as int) as line, value from (select * from one union all select * from two union all select * from three union all select * from four union all select * from five union all select * from six) x"""
 ORACLE = LINES.replace("get_json_object(", "json_extract_string(").replace("{events}", "events").replace("{conversations}", "conversations")
 
 

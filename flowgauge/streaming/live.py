@@ -34,30 +34,35 @@ def control_loop(events: DataFrame, state: str, checkpoint: str, decide: Callabl
     decides, and intervenes.
 
     Observed events are appended to state/events, each id once however often it comes. decide gets all events of the
-    sessions touched and gives advice (session_id, signal_id, ...); advice given before, by signal, is dropped, and what is
-    left appended to state/ledger and then delivered. A batch that is run again adds nothing.
+    sessions touched and gives advice (session_id, signal_id, ...); advice given before, by signal, is dropped, what is left is
+    written to state/advice/<batch>, delivered, and then appended to state/ledger. A batch that is run again delivers what
+    it had written and adds nothing, so that advice is delivered once, and again only where the driver died before it could
+    note that; none is lost.
     """
 
     def known(spark: SparkSession, name: str) -> DataFrame | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{name}")
+        # a folder counts once its write has ended
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{name}/_SUCCESS")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         return spark.read.parquet(f"{state}/{name}") if fs.exists(path) else None
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen, fresh = known(spark, "events"), batch.dropDuplicates(["session_id", "event_id"])
-        if seen is not None:
-            fresh = fresh.join(seen.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti")
-        fresh.write.mode("append").parquet(f"{state}/events")
-        touched = batch.select("session_id").distinct()
-        advice = decide(known(spark, "events").join(touched, "session_id", "left_semi"))
-        given = known(spark, "ledger")
-        if given is not None:
-            advice = advice.join(given.select("session_id", "signal_id"), ["session_id", "signal_id"], "left_anti")
-        new = f"{state}/advice/{number}"
-        advice.write.mode("overwrite").parquet(new)
-        told = spark.read.parquet(new)
-        told.write.mode("append").parquet(f"{state}/ledger")
+        told = known(spark, f"advice/{number}")
+        if told is None:
+            seen, fresh = known(spark, "events"), batch.dropDuplicates(["session_id", "event_id"])
+            if seen is not None:
+                fresh = fresh.join(seen.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti")
+            fresh.write.mode("append").parquet(f"{state}/events")
+            touched = batch.select("session_id").distinct()
+            advice = without_told(spark, decide(known(spark, "events").join(touched, "session_id", "left_semi")))
+            advice.write.mode("overwrite").parquet(f"{state}/advice/{number}")
+            told = known(spark, f"advice/{number}")
         deliver(told)
+        without_told(spark, told).write.mode("append").parquet(f"{state}/ledger")
+
+    def without_told(spark: SparkSession, advice: DataFrame) -> DataFrame:
+        given = known(spark, "ledger")
+        return advice if given is None else advice.join(given.select("session_id", "signal_id"), ["session_id", "signal_id"], "left_anti")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
