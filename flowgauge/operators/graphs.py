@@ -22,6 +22,50 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     return met
 
 
+def closure(edges: DataFrame, by: str = "session_id") -> DataFrame:
+    """by, src, dst, depth: every node that can be reached from another within one graph of by, and the fewest edges to it.
+
+    Walks double in length each round: those known are joined with themselves, so that the rounds are the logarithm of the
+    longest, whatever it is. A node on a cycle reaches itself. Rows with nulls are no edges.
+    """
+    met = _cut(edges.select(by, "src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)))
+    known = met.count()
+    while True:
+        on = met.select(by, F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
+        longer = met.join(on, [by, "dst"]).select(by, "src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
+        met = _cut(met.unionByName(longer).groupBy(by, "src", "dst").agg(F.min("depth").alias("depth")))
+        if (now := met.count()) == known:
+            return met
+        known = now
+
+
+def reconstruction(edges: DataFrame, by: str = "session_id") -> DataFrame:
+    """For each node that rests on others: how many parts it is made up of with itself, its depth, and a sum of their numbers."""
+    found = closure(edges, by).where("src <> dst")
+    return found.groupBy(by, "src").agg((F.count(F.lit(1)) + 1).alias("parts"), F.max("depth").alias("depth"), (F.sum("dst") + F.col("src")).alias("checksum")).withColumnRenamed("src", "start")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """node, level: the longest walk to each node from one that nothing leads to; null for nodes on a cycle or behind one.
+
+    Nodes that no edge leads to are peeled off a round at a time, with their edges: as many rounds as levels, and never
+    more rows than edges. What can't be peeled is on a cycle or behind one.
+    """
+    edges = _cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    left = _cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    out, level = None, 0
+    while True:
+        free = _cut(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        if free.isEmpty():
+            rest = left.withColumn("level", F.lit(None).cast("int"))
+            return rest if out is None else out.unionByName(rest)
+        part = free.withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+        left = _cut(left.join(free, "node", "left_anti"))
+        edges = _cut(edges.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        level += 1
+
+
 def neighbours(edges: DataFrame, both_ways: bool = False) -> DataFrame:
     """Each node's neighbours: node, neighbour."""
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))

@@ -11,6 +11,13 @@ ALL = lean_plans.ALL
 #: From each edited path to the one that its session edits next.
 EDIT_EDGES = "select distinct path as src, next_path as dst from (select path, lead(path) over (partition by session_id order by seq) as next_path from {e} where kind = 'edit') x where next_path is not null and next_path <> path"
 
+#: A fragment rests on the one edited just before it in a session, where that is of a lower ten.
+DEPENDS = "select distinct src, dst from (select lag(path) over (partition by session_id order by seq) as src, path as dst from {e} where kind = 'edit') x where floor(src / 10) < floor(dst / 10)"
+#: An edit rests on the last prompt, a check on the last edit and the last check before it, a read on the last read of its path.
+EVIDENCE = """select session_id, seq as src, p as dst from (select session_id, seq, kind, max(case when kind = 'prompt' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as p from {e}) x where kind = 'edit' and p is not null
+union select session_id, seq, e from (select session_id, seq, kind, max(case when kind = 'edit' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as e from {e}) x where kind = 'check' and e is not null
+union select session_id, seq, c from (select session_id, seq, kind, max(case when kind = 'check' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as c from {e}) x where kind = 'check' and c is not null
+union select session_id, seq, r from (select session_id, seq, kind, max(case when kind = 'read' then seq end) over (partition by session_id, path order by seq rows between unbounded preceding and 1 preceding) as r from {e}) x where kind = 'read' and r is not null"""
 PLANS = [
     Plan("d15_unused_traversal", f"""
 with {SEGMENTED}, r as (select session_id, segment, path, min(seq) as seq, max(tokens) as tokens from f where kind = 'read' group by session_id, segment, path),
@@ -31,14 +38,17 @@ select *, rank <= 5 as top from (select *, row_number() over (order by tokens de
     Plan("o6_comparison", "select lang, round(accuracy, 4) as accuracy, n, row_number() over (order by accuracy desc, lang) as place from (select lang, avg(case when gold = pred then 1.0 else 0.0 end) as accuracy, count(*) as n from {j} group by lang) x"),
     Plan("o7_countermeasures", ALL + """, g as (select waste, count(*) filter (where confidence < 0.7) * 1.0 / count(*) as unsure, cast(sum(tokens) as bigint) as cost, count(distinct session_id) as sessions from u group by waste)
 select waste, round(unsure, 4) as unsure, cost, sessions, row_number() over (order by case when unsure >= 0.5 then 1 else 0 end, cost desc, waste) as place from g"""),
-    Plan("o8_topological_levels", """
-with recursive links as (select distinct cast(path as bigint) as dst, cast(floor(path / 2.0) as bigint) as src from {e} where path > 0 and kind = 'edit'),
-walk as (select cast(0 as bigint) as node, 0 as depth union all select l.dst as node, w.depth + 1 as depth from walk w join links l on l.src = w.node where w.depth < 12)
-select node, max(depth) as depth from walk group by node"""),
-    Plan("g4_reconstruct", """
-with recursive links as (select distinct cast(path as bigint) as node, cast(floor(path / 2.0) as bigint) as parent from {e} where path > 0),
-walk as (select node as start, node, 0 as depth from links union all select w.start, l.parent as node, w.depth + 1 as depth from walk w join links l on l.node = w.node where w.depth < 12)
-select start, count(*) as parts, max(depth) as depth, cast(sum(node) as bigint) as checksum from walk group by start"""),
+    Plan("g2_evidence_ancestors", EVIDENCE, then=graphs.closure, duck=f"""
+with recursive x as ({EVIDENCE}), walk as (select session_id, src, dst, 1 as depth from x union select w.session_id, w.src, x.dst, w.depth + 1 from walk w join x on x.session_id = w.session_id and x.src = w.dst)
+select session_id, src, dst, min(depth) as depth from walk group by all"""),
+    Plan("o8_topological_levels", DEPENDS, then=graphs.levels, duck=f"""
+with recursive x as ({DEPENDS}), nodes as (select src as node from x union select dst from x),
+walk as (select node, 0 as level from nodes where node not in (select dst from x) union select x.dst, w.level + 1 from walk w join x on x.src = w.node)
+select n.node, max(w.level) as level from nodes n left join walk w on w.node = n.node group by n.node"""),
+    Plan("g4_reconstruct", EVIDENCE, then=graphs.reconstruction, duck=f"""
+with recursive x as ({EVIDENCE}), walk as (select session_id, src, dst, 1 as depth from x union select w.session_id, w.src, x.dst, w.depth + 1 from walk w join x on x.session_id = w.session_id and x.src = w.dst),
+near as (select session_id, src, dst, min(depth) as depth from walk group by all)
+select session_id, src as start, count(*) + 1 as parts, max(depth) as depth, cast(sum(dst) as bigint) + src as checksum from near group by session_id, src"""),
     Plan("g7_cycles", EDIT_EDGES, then=graphs.shortest_cycles, duck=f"""
 with recursive edges as ({EDIT_EDGES}), most as (select count(distinct src) as n from edges),
 walk as (select src as start, dst as node, 1 as length from edges union select w.start, g.dst as node, w.length + 1 as length from walk w join edges g on g.src = w.node cross join most where w.node <> w.start and w.length < most.n)

@@ -102,11 +102,6 @@ with p as (select session_id, seq, kind, path, max(case when kind = 'prompt' the
 select session_id, seq as src, prompt_seq as dst, 'motivated_by' as edge from p where prompt_seq is not null and kind = 'edit'
 union all select session_id, seq as src, read_seq as dst, 'repeats' as edge from p where read_seq is not null and kind = 'read'
 union all select session_id, seq as src, edit_seq as dst, 'validates' as edge from p where edit_seq is not null and kind = 'check'"""),
-    Plan("g2_evidence_ancestors", """
-with recursive edges as (select session_id, seq as src, dst from (select session_id, seq, kind, case when kind = 'check' then max(case when kind = 'edit' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding)
-    else max(case when kind = 'prompt' then seq end) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) end as dst from {e}) x where kind in ('edit', 'check') and dst is not null),
-walk as (select session_id, src, dst, 1 as depth from edges union all select w.session_id, w.src, g.dst, w.depth + 1 as depth from walk w join edges g on g.session_id = w.session_id and g.src = w.dst where w.depth < 10)
-select session_id, src, dst, min(depth) as depth from walk group by session_id, src, dst"""),
     Plan("p1_token_count", f"select session_id, seq, case when length(text) = 0 then 0 else cast(greatest(1, regexp_count(text, {TOKENS})) as bigint) end as tokens, cast(greatest(1, floor(length(text) / 4)) as bigint) as quarter_tokens from {{c}}"),
     Plan("p40_complexity", """
 with s as (select session_id, seq, regexp_count(lower(text), 'fix|rename|typo') as simple, regexp_count(lower(text), 'add|implement|update') as standard, regexp_count(lower(text), 'architecture|refactor|migrate') as complex, length(text) as n from {c} where role = 'user')

@@ -40,6 +40,19 @@ def test_graph_reach_and_cycles(spark):
     assert {r.node for r in graphs.cycles(edges).collect()} == {1, 2, 3}
 
 
+def test_closure_and_levels_have_no_greatest_depth(spark):
+    chain = [(1, k, k + 1) for k in range(40)] + [(1, 0, 5), (2, 7, 8), (2, 8, 9), (2, 7, 9), (2, None, 3)]
+    got = {(r.session_id, r.src, r.dst): r.depth for r in graphs.closure(spark.createDataFrame(chain, "session_id long, src long, dst long")).collect()}
+    want = {(1, a, b): b - a - 4 if a == 0 and b >= 5 else b - a for a in range(41) for b in range(a + 1, 41)} | {(2, 7, 8): 1, (2, 8, 9): 1, (2, 7, 9): 1}
+    assert got == want
+    loop = [(1, 2), (2, 3), (1, 3), (3, 4), (10, 11), (11, 12), (12, 11), (12, 13), (4, 13), (20, 20)]
+    frame = spark.createDataFrame(loop, "src long, dst long")
+    assert {r.node: r.level for r in graphs.levels(frame).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 10: 0, 11: None, 12: None, 13: None, 20: None}
+    assert graphs.levels(frame.limit(0)).collect() == []
+    whole = graphs.reconstruction(spark.createDataFrame([(1, 3, 2), (1, 3, 1), (1, 2, 1)], "session_id long, src long, dst long")).collect()
+    assert sorted(map(tuple, whole)) == [(1, 2, 2, 1, 3), (1, 3, 3, 1, 6)]
+
+
 def test_shortest_cycles_of_any_length(spark):
     ring = [(k, (k + 1) % 14) for k in range(14)]
     more = [(20, 21), (21, 22), (22, 20), (21, 20), (22, 23), (23, 24), (13, 20), (30, 30), (24, None)]
