@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,6 +33,9 @@ LEVEL = 3
 HOT = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: The record types of the format, and the forms of header values that become results.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+DIGITS, WHOLE, SHA256 = re.compile("[0-9]{1,18}"), re.compile("-?[0-9]{1,19}"), re.compile("sha256:[0-9a-f]{64}")
 COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -57,9 +61,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and payload of one record; raises Damaged."""
+    """Header fields (names in lower case) and payload of one record; raises Damaged. A header may stand once (but for
+    WARC-Concurrent-To, whose last is kept); lengths are ASCII digits, digests of payloads are in hex."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as error:
+        raise Damaged("headers are not UTF-8") from error
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise Damaged("no WARC version line")
     fields: dict[str, str] = {}
@@ -67,11 +75,18 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise Damaged(f"bad header line {line[:80]!r}")
+        if name.lower() in fields and name.lower() != "warc-concurrent-to":
+            raise Damaged(f"{name} stands twice")
         fields[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise Damaged(f"no {name}")
-    if not fields["content-length"].isdigit() or len(rest) != (n := int(fields["content-length"])) + 4 or rest[n:] != b"\r\n\r\n":
+    if fields["warc-type"] not in TYPES:
+        raise Damaged(f"no type {fields['warc-type'][:80]!r}")
+    for name, form in (("content-length", DIGITS), ("warc-payload-length", DIGITS), ("warc-page-id", WHOLE), ("warc-refers-to-page-id", WHOLE), ("warc-payload-digest", SHA256)):
+        if name in fields and not form.fullmatch(fields[name]):
+            raise Damaged(f"{name} has not its form")
+    if len(rest) != (n := int(fields["content-length"])) + 4 or rest[n:] != b"\r\n\r\n":
         raise Damaged("the block's length is not its Content-Length")
     block = rest[:n]
     if (said := fields.get("warc-block-digest")) and said != f"sha256:{hashlib.sha256(block).hexdigest()}":
@@ -161,7 +176,7 @@ def assigned(pages: DataFrame) -> DataFrame:
     hot = again.where(F.col("n") >= least).select(F.col("digest").alias("hot"), F.col("first").alias("hot_first"))
     later = lambda first: F.coalesce(F.col(first).isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col(first))), F.lit(False))
     known = base.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left").withColumn("html", F.when(~later("hot_first"), F.col("html")))
-    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat_ws(":", F.lit("page"), F.col("page_id").cast("string")))
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))))
     rest = again.where(F.col("n") < least).select(F.col("digest").alias("again"), F.col("first"))
     met = known.withColumn("key", key).join(rest.hint("shuffle_hash"), F.col("key") == F.col("again"), "left").withColumn("first", F.coalesce("hot_first", "first"))
     return met.withColumn("revisit", later("first")).withColumn("refers_to", F.when(F.col("revisit"), F.col("first"))).drop("again", "first", "hot", "hot_first", "key")
