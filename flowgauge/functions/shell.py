@@ -26,7 +26,7 @@ _DRIVE = re.compile(r"(?<!\w)([A-Za-z]:)((?:\\[^\s'\"\\]*)+)")
 _NAMED = r"[A-Za-z_]\w*=\S*"
 _FOLDER = r"(?:\S*/)?"
 _RUNS = "|".join(map(re.escape, fixed.PREFIXES))
-_PAIRS = "|".join(x.replace(" ", " ") for x in fixed.RUNNERS)
+_PAIRS = "|".join(fixed.RUNNERS)
 _LEAD = re.compile(rf"(?:{_NAMED} +)*(?:{_FOLDER}(?:(?:{_RUNS})(?: +(?:-\S*|{_NAMED}))*|timeout(?: +-\S+)* +\S+|{_PAIRS})(?: +|$))*")
 _PROGRAM = re.compile(r"^(?:\S*[/\\])?(?P<name>\S+?)(?:\.(?i:exe))?(?= |$)")
 _MODULE = re.compile(r"^python3? +-m +(?=\S)")
