@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgauge.functions import scalars, vectorised
-from flowgauge.operators import folds, intents, similar
+from flowgauge.operators import folds, intents, resampling, similar
 from flowgauge.operators.steps import steps
 from flowgauge.plans import lean_plans, sample_plans
 from flowgauge.plans.catalog import Plan
@@ -57,6 +57,11 @@ def a36_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.bootstrap(feed(spark, sf_dir, "j").select("lang", F.col("doc_id").alias("id"), (F.col("gold") == F.col("pred")).cast("double").alias("score")), "lang")
 
 
+def a36_bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = feed(spark, sf_dir, "j").where("gold is not null")
+    return resampling.intervals(judged.select("lang", F.col("doc_id").alias("id"), (F.col("gold") == 1).alias("gold"), (F.col("pred") == 1).alias("pred")), "lang")
+
+
 def s21_redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = redact_table(feed(spark, sf_dir, "d"), ["text"])
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.to_json("redacted").alias("redacted"))
@@ -113,7 +118,7 @@ def t1_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, s21_redacted_documents, p5_bpe_tokens, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints, t1_event_fold)
+    found = (t5_ema_intent, w29_sliding_intents, k4_knapsack, t9_policy_cooldown, d6_excessive_planning, w11_context_restatement, j14_similar_prompts, a10_prompt_redundancy, a36_bootstrap, a36_bootstrap_intervals, s21_redacted_documents, p5_bpe_tokens, p43_hashed_embeddings, p28_segments, p25_key_terms, w34_intent_timeline, d12_intent_drift, k3_redundancy_prune, p29_tool_fingerprints, t1_event_fold)
     return {f.__name__: f for f in found}
 
 
