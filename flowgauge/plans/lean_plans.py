@@ -39,6 +39,13 @@ CHARGED = ALL + """, r as (select *, row_number() over (partition by session_id,
 a as (select session_id, seq, max(case when confidence >= 0.7 then 0.8 end) as avoidable, max(case when confidence < 0.7 then 0.5 end) as unsure, max(case when confidence >= 0.7 then detector end) as sure_detector, max(case when confidence < 0.7 then detector end) as unsure_detector from r where place = 1 group by session_id, seq),
 s as (select e.session_id, e.seq, e.kind, e.tokens, coalesce(a.avoidable, 0.0) as avoidable, least(coalesce(a.unsure, 0.0), 1.0 - coalesce(a.avoidable, 0.0)) as unsure, a.sure_detector, a.unsure_detector from {e} e left join a on a.session_id = e.session_id and a.seq = e.seq)"""
 
+#: Largest remainders, in another engine's words; Spark's sums are decimal, as a session's total may be a half exactly, and sums of doubles then
+#: fall to either side of it by the order in which partitions come.
+APPORTIONED_ORACLE = CHARGED + """, g as (select session_id, kind, sum(tokens * (1.0 - avoidable - unsure)) as amount from s group by session_id, kind),
+ n as (select *, cast(floor(amount + 1e-9) as bigint) as whole, round(amount - floor(amount + 1e-9), 6) as frac, cast(round(sum(amount) over (partition by session_id)) as bigint) as total from g),
+ k as (select *, row_number() over (partition by session_id order by frac desc, kind) as place, total - sum(whole) over (partition by session_id) as missing from n)
+ select session_id, kind, whole + case when place <= missing then 1 else 0 end as tokens from k"""
+
 PLANS = [
     *(Plan(f"{d}_{NAMES[d]}", f"with {BASE.strip()}, {BRANCHES[d]} select {COLUMNS} from {d}") for d in BRANCHES),
     Plan("u1_findings_union", ALL + " select *, row_number() over (partition by session_id order by case kind when 'waste' then 0 else 1 end, tokens desc, seq, detector) as rank from u"),
@@ -46,10 +53,10 @@ PLANS = [
     Plan("a16_allocation_once", CHARGED + " select session_id, seq, round(avoidable, 4) as avoidable, round(unsure, 4) as unsure, sure_detector, unsure_detector from s where avoidable + unsure > 0"),
     Plan("a17_scorecard", CHARGED + """ select session_id, cast(sum(tokens) as bigint) as tokens, round(sum(tokens * avoidable), 4) as avoidable_tokens, round(sum(tokens * unsure), 4) as uncertain_tokens,
  round(1.0 - sum(tokens * (avoidable + unsure)) / nullif(sum(tokens), 0), 4) as flow_efficiency, count(*) filter (where avoidable > 0) as wasteful_steps from s group by session_id"""),
-    Plan("a18_apportion", CHARGED + """, g as (select session_id, kind, sum(tokens * (1.0 - avoidable - unsure)) as amount from s group by session_id, kind),
- n as (select *, cast(floor(amount + 1e-9) as bigint) as whole, round(amount - floor(amount + 1e-9), 6) as frac, cast(round(sum(amount) over (partition by session_id)) as bigint) as total from g),
+    Plan("a18_apportion", CHARGED + """, g as (select session_id, kind, sum(cast(round(tokens * (1.0 - avoidable - unsure), 4) as decimal(24, 4))) as amount from s group by session_id, kind),
+ n as (select *, cast(floor(amount) as bigint) as whole, amount - floor(amount) as frac, cast(round(sum(amount) over (partition by session_id)) as bigint) as total from g),
  k as (select *, row_number() over (partition by session_id order by frac desc, kind) as place, total - sum(whole) over (partition by session_id) as missing from n)
- select session_id, kind, whole + case when place <= missing then 1 else 0 end as tokens from k"""),
+ select session_id, kind, whole + case when place <= missing then 1 else 0 end as tokens from k""", duck=APPORTIONED_ORACLE),
     Plan("a19_value_stream", CHARGED + " select case kind when 'prompt' then 'intent' when 'read' then 'explore' when 'edit' then 'implement' else 'validate' end as stage, count(*) as steps, cast(sum(tokens) as bigint) as tokens, round(sum(tokens * avoidable), 4) as avoidable_tokens from s group by kind"),
     Plan("a20_waste_by_detector", CHARGED + " select sure_detector as detector, count(*) as n, round(sum(tokens * avoidable), 4) as tokens from s where sure_detector is not null group by sure_detector"),
     Plan("a21_pareto", ALL + """, g as (select waste, cast(sum(tokens) as bigint) as tokens from u where kind = 'waste' group by waste)

@@ -99,3 +99,15 @@ def test_reach_goes_three_steps_from_every_node(spark):
             level = {m for n in level for m in after[n]}
     assert want[1, 4] == 3 and (1, 5) not in want
     assert {(r.start, r.node): r.depth for r in registry.PLANS["g6_reach_depth3"].apply(spark, e=events).collect()} == want
+
+
+def test_shares_do_not_depend_on_the_order_of_sums(spark):
+    # 0.2 of 2 and of 4 tokens, 0.5 of 1 and whole ones: totals of a half exactly, which sums of doubles miss on either side
+    rows = [(s, k, kind, path, None, tokens) for s in range(200) for k, (kind, path, tokens) in enumerate([("prompt", 0, s % 7), *(("read", k % 3, 1 + (s * k) % 11) for k in range(30)), ("edit", 1, 2 + s % 5), ("read", 7, 1 + s % 2)], 1)]
+    events = spark.createDataFrame(rows, "session_id long, seq long, kind string, path long, outcome string, tokens long")
+    charged = registry.PLANS["a17_scorecard"].apply(spark, e=events).collect()
+    want = {r.session_id: math.floor(round(r.tokens - r.avoidable_tokens - r.uncertain_tokens, 4) + 0.5) for r in charged}
+    assert any(abs((r.tokens - r.avoidable_tokens - r.uncertain_tokens) % 1 - 0.5) < 1e-6 for r in charged)
+    for parts in (1, 3, 8):
+        got = registry.PLANS["a18_apportion"].apply(spark, e=events.repartition(parts)).groupBy("session_id").sum("tokens").collect()
+        assert {r[0]: r[1] for r in got} == want
