@@ -93,8 +93,40 @@ select 'u' || u || '.jsonl' as file, cast(row_number() over (partition by u orde
 ORACLE = LINES.replace("get_json_object(", "json_extract_string(").replace("{events}", "events").replace("{conversations}", "conversations")
 
 
+#: An event's rule, a row for each cent, with the words that are a rule's own beside the input of a call.
+_RULED = ", ".join(
+    "(" + ", ".join([f"'{kind}'", str(cents), *("cast(null as string)" if x is None else "'" + x.replace("'", "''") + "'" for x in (does, tool, given if does == "call" else None, result, given if does != "call" else None))]) + ")"
+    for kind, first, last, does, tool, given, result in RULES for cents in range(first, last + 1)
+)
+
+
+def _filled(template: str) -> str:
+    """A template's places filled by a row's key; one that needs a key is null without it."""
+    out = template
+    for name, column in PARTS.items():
+        out = f"replace({out}, '{{{name}}}', {f"coalesce({column}, '')" if name in 'abc' else column})"
+    return f"case when k is null and {template} rlike '[{{][abc][}}]' then null else {out} end"
+
+
+def _one_pass() -> str:
+    """LINES with each event read and judged once: its rule is a row, and its lines are an array."""
+    steps = {"one": "one as (select u, ts, event_id, 1 as part, ", "two": "two as (select u, ts, event_id, 2 as part, ", "four": "four as (select u, ts, event_id, 10 + 2 * i as part, ", "five": "five as (select u, ts, event_id, 11 + 2 * i as part, ", "six": "six as (select u, ts, event_id, 40 + i as part, "}
+    value = {n: re.search(rf"^{re.escape(begin)}(.*?) as value from ", LINES, re.DOTALL | re.MULTILINE)[1] for n, begin in steps.items()}  # type: ignore[index]
+    looks = {n: value[n].replace("|| id ||", "|| cast(event_id as string) || 'x' || cast(i as string) ||") for n in ("four", "five")}
+    read = LINES.split("\nact as")[0]
+    return f"""{read}
+act as (select e.*, r.does as kind, r.tool, {_filled("r.input")} as input, {_filled("r.result")} as result, coalesce({_filled("r.own")}, replace(s.text, chr(10), chr(92) || 'n'), 'Part ' || cast(k as string) || ' of m' || cast(k % 5 as string) || '.py comes next.') as words
+  from ev e left join (values {_RULED}) as r(kind_of, cents_of, does, tool, input, result, own) on r.kind_of = e.event_type and r.cents_of = e.cents left join said s on s.conv_id = e.user_id and s.turn = e.k % 8),
+told as (select u, ts, event_id, moment, kind, k, words, {value["one"]} as value, case when kind = 'call' and result is not null then array(named_struct('part', 2, 'value', {value["two"]})) else array() end as back from act),
+many as (select u, ts, event_id, concat(array(named_struct('part', 1, 'value', value)), back, case when event_id % 29 = 0 then array(named_struct('part', 3, 'value', value)) else array() end,
+  case when kind = 'prompt' and k % 4 = 0 then flatten(transform(sequence(1, 12), i -> array(named_struct('part', 10 + 2 * i, 'value', {looks["four"]}), named_struct('part', 11 + 2 * i, 'value', {looks["five"]})))) else array() end,
+  case when kind = 'think' and k % 4 = 1 then transform(sequence(1, 4), i -> named_struct('part', 40 + i, 'value', {value["six"]})) else array() end) as each from told),
+x as (select u, ts, event_id, inline(each) from many)
+select 'u' || u || '.jsonl' as file, cast(row_number() over (partition by u order by ts, event_id, part) as int) as line, value from x"""
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, line, value: transcripts as flowgauge.sources.transcripts.records takes them."""
     # only the tables' own braces are places to fill
-    text = re.sub(r"\{(?!events\}|conversations\})", "{{", re.sub(r"(?<!\{events)(?<!\{conversations)\}", "}}", LINES))
+    text = re.sub(r"\{(?!events\}|conversations\})", "{{", re.sub(r"(?<!\{events)(?<!\{conversations)\}", "}}", _one_pass()))
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "conversations")})

@@ -31,12 +31,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def records(raw: DataFrame) -> DataFrame:
     """One row for each well-formed record of raw (file, line, value); a missing uuid is made from the line number."""
-    get = lambda p: F.get_json_object("value", f"$.{p}")
-    return raw.select(
-        "file", "line", get("type").alias("type"), F.coalesce(get("uuid"), F.concat(F.lit("line-"), F.col("line").cast("string"))).alias("uuid"),
-        get("sessionId").alias("session_id"), get("requestId").alias("request_id"), F.try_to_timestamp(get("timestamp")).alias("ts"),
-        F.coalesce(get("message.role"), get("type")).alias("role"), get("message.model").alias("model"), get("message.content").alias("content"), F.from_json(get("message.usage"), USAGE).alias("usage"),
-    ).where("type is not null")
+    # a line is read once for all its fields, and its message once
+    outer = raw.select("file", "line", F.json_tuple("value", "type", "uuid", "sessionId", "requestId", "timestamp", "message").alias("type", "uuid", "session_id", "request_id", "at", "message")).where("type is not null")
+    inner = outer.select("*", F.json_tuple("message", "role", "model", "content", "usage").alias("says", "model", "content", "used"))
+    return inner.select(
+        "file", "line", "type", F.coalesce("uuid", F.concat(F.lit("line-"), F.col("line").cast("string"))).alias("uuid"), "session_id", "request_id", F.try_to_timestamp("at").alias("ts"),
+        F.coalesce("says", "type").alias("role"), "model", "content", F.from_json("used", USAGE).alias("usage"),
+    )
 
 
 def parsed(recs: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def parsed(recs: DataFrame) -> DataFrame:
     text = F.trim("content").startswith("[")
     each = F.when(text, F.from_json("content", "array<string>")).otherwise(F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))))
     out = recs.where(F.col("role").isin("user", "assistant") & F.col("content").isNotNull()).select("*", F.posexplode(each).alias("block_index", "raw")).drop("content")
-    get = lambda p: F.get_json_object("raw", f"$.{p}")
-    inner = get("content")
-    body = F.coalesce(get("text"), get("thinking"), F.when(F.trim(inner).startswith("["), F.array_join(F.transform(F.from_json(inner, "array<struct<text:string>>"), lambda x: x["text"]), " ")).otherwise(inner), F.lit(""))
-    return out.select("*", get("type").alias("block_type"), body.alias("text"), get("name").alias("tool_name"), F.coalesce(get("id"), get("tool_use_id")).alias("call_id"), get("input").alias("arguments"))
+    out = out.select("*", F.json_tuple("raw", "type", "text", "thinking", "id", "name", "tool_use_id", "input", "content").alias("block_type", "said", "thought", "own_id", "tool_name", "used_id", "arguments", "inner"))
+    inner = F.col("inner")
+    body = F.coalesce("said", "thought", F.when(F.trim(inner).startswith("["), F.array_join(F.transform(F.from_json(inner, "array<struct<text:string>>"), lambda x: x["text"]), " ")).otherwise(inner), F.lit(""))
+    return out.select("*", body.alias("text"), F.coalesce("own_id", "used_id").alias("call_id")).drop("said", "thought", "own_id", "used_id", "inner")
 
 
 def blocks(recs: DataFrame) -> DataFrame:
@@ -83,19 +84,20 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 def events_of(recs: DataFrame) -> DataFrame:
     """The canonical events of records."""
-    found = blocks(recs)
+    # all windows are within a session, those of blocks too
+    found = blocks(recs.repartition("session_id"))
     order = Window.partitionBy("session_id").orderBy("file", "line", "block_index")
     turn = Window.partitionBy("session_id", F.coalesce("request_id", "uuid")).orderBy("file", "line", "block_index")
     kinds = F.create_map(*(F.lit(x) for pair in TOOL_KINDS.items() for x in pair))
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     out = found.select("*", F.row_number().over(order).cast("long").alias("sequence"), F.row_number().over(turn).alias("nth"), event_kind(F.col("role"), F.col("block_type")).alias("kind"))
     out = out.withColumn("event_id", F.substring(F.sha2(F.concat_ws("\u0000", part("session_id"), part("uuid"), part("block_index"), part("kind")), 256), 1, 16))
+    out = out.select("*", F.json_tuple("arguments", "file_path", "notebook_path", "path", "command").alias("file_path", "notebook_path", "any_path", "command"))
     return out.select(
         "event_id", "session_id", "sequence", "kind", F.when(F.col("kind") == "tool.completed", "tool").otherwise(F.col("role")).alias("actor"), "text", "ts",
         F.lag("event_id").over(Window.partitionBy("session_id").orderBy("sequence")).alias("parent_id"),
         "tool_name", F.when(F.col("kind") == "tool.requested", F.coalesce(kinds[F.col("tool_name")], F.lit("other"))).alias("tool_kind"), "call_id", "arguments",
-        F.coalesce(F.get_json_object("arguments", "$.file_path"), F.get_json_object("arguments", "$.notebook_path"), F.get_json_object("arguments", "$.path")).alias("path"),
-        F.get_json_object("arguments", "$.command").alias("command"),
+        F.coalesce("file_path", "notebook_path", "any_path").alias("path"), "command",
         F.when((F.col("nth") == 1) & (F.col("role") == "assistant"), F.col("usage")).alias("usage"), "model", "line",
     )
 
