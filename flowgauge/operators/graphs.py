@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from flowgauge import shared
 
+#: Rows of a batch that a walk gives back, or those of one start where they are more.
+ROWS = 100_000
+
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """start, node and depth of every node within `depth` steps of each start (column node), nearest depth first. A pair of
@@ -22,27 +31,77 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     return met
 
 
+def _walks(edges: DataFrame, by: str, found: Callable[[np.ndarray, int, np.ndarray, np.ndarray], tuple], schema: T.StructType) -> DataFrame:
+    """found(nodes, start, reached, depths) of every node of every graph of by, from the nearest on: places in nodes, and the
+    fewest edges to each. A task takes many graphs, one after the other, and holds the edges of one; from each of its nodes
+    it walks to every other once, so that a pair of nodes is met as often as edges lead to its end, and never shuffled."""
+    known = edges.select(by, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    key = T.StructType([schema.fields[0]])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ends in _graphs(batches):
+            nodes, at = np.unique(ends, return_inverse=True)
+            after: list[list[int]] = [[] for _ in nodes]
+            for s, d in set(map(tuple, at.reshape(ends.shape).tolist())):
+                after[s].append(d)
+            out, size = [], 0
+            for start in range(len(nodes)):
+                met: dict[int, int] = {}
+                rim, depth = [start], 0
+                while rim:
+                    depth += 1
+                    ahead = {n for r in rim for n in after[r]} - met.keys()
+                    met.update(dict.fromkeys(ahead, depth))
+                    rim = list(ahead)
+                if met:
+                    columns = found(nodes, start, np.fromiter(met.keys(), np.int64, len(met)), np.fromiter(met.values(), np.int64, len(met)))
+                    out.append(columns)
+                    size += len(columns[0])
+                if size >= ROWS or out and start == len(nodes) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([keys] * size, to_arrow_type(key.fields[0].dataType)), *(pa.array(np.concatenate(c)).cast(to_arrow_type(f.dataType)) for c, f in zip(zip(*out), schema.fields[1:]))], schema.names)
+                    out, size = [], 0
+
+    return known.repartition(by).sortWithinPartitions(by).mapInArrow(each, schema)
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, np.ndarray]]:
+    """Each key and its edges, of rows (key, src, dst) that are sorted by key."""
+    held: list[np.ndarray] = []
+    last: object = None
+    for b in batches:
+        keys, ends = b.column(0).to_pylist(), np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+        begins = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+        for begin, end in zip(begins, [*begins[1:], len(keys)]):
+            if held and keys[begin] != last:
+                yield last, np.concatenate(held)
+                held = []
+            last = keys[begin]
+            held.append(ends[begin:end])
+    if held:
+        yield last, np.concatenate(held)
+
+
 def closure(edges: DataFrame, by: str = "session_id") -> DataFrame:
     """by, src, dst, depth: every node that can be reached from another within one graph of by, and the fewest edges to it.
 
-    Walks double in length each round: those known are joined with themselves, so that the rounds are the logarithm of the
-    longest, whatever it is. A node on a cycle reaches itself. Rows with nulls are no edges.
+    A graph is walked where its edges are, level by level from each node, whatever the longest walk is. A node on a cycle
+    reaches itself. Rows with nulls are no edges.
     """
-    met = _cut(edges.select(by, "src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)))
-    known = met.count()
-    while True:
-        on = met.select(by, F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("depth").alias("more"))
-        longer = met.join(on, [by, "dst"]).select(by, "src", F.col("end").alias("dst"), (F.col("depth") + F.col("more")).alias("depth"))
-        met = _cut(met.unionByName(longer).groupBy(by, "src", "dst").agg(F.min("depth").alias("depth")))
-        if (now := met.count()) == known:
-            return met
-        known = now
+    schema = T.StructType([edges.schema[by], edges.schema["src"], edges.schema["dst"], T.StructField("depth", T.IntegerType())])
+    return _walks(edges, by, lambda nodes, start, reached, depths: (np.full(len(reached), nodes[start]), nodes[reached], depths.astype(np.int32)), schema)
 
 
 def reconstruction(edges: DataFrame, by: str = "session_id") -> DataFrame:
     """For each node that rests on others: how many parts it is made up of with itself, its depth, and a sum of their numbers."""
-    found = closure(edges, by).where("src <> dst")
-    return found.groupBy(by, "src").agg((F.count(F.lit(1)) + 1).alias("parts"), F.max("depth").alias("depth"), (F.sum("dst") + F.col("src")).alias("checksum")).withColumnRenamed("src", "start")
+
+    def summed(nodes: np.ndarray, start: int, reached: np.ndarray, depths: np.ndarray) -> tuple:
+        others = reached != start
+        n = int(others.sum())
+        rows = [(nodes[start], n + 1, depths[others].max(), nodes[reached[others]].sum() + nodes[start])] if n else []
+        return tuple(np.array([r[k] for r in rows], np.int32 if k == 2 else np.int64) for k in range(4))
+
+    long = T.LongType()
+    return _walks(edges, by, summed, T.StructType([edges.schema[by], T.StructField("start", edges.schema["src"].dataType), T.StructField("parts", long), T.StructField("depth", T.IntegerType()), T.StructField("checksum", long)]))
 
 
 def levels(edges: DataFrame) -> DataFrame:
