@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Blocks of a session are dealt to as many groups, so that its pairs of blocks are cells for up to GROUPS * GROUPS tasks.
+GROUPS = 8
+
+
+def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The seqs and vectors of a block, without a Python object for each number."""
+    vec, seqs = rows.field("vec"), rows.field("seq").to_numpy(zero_copy_only=False)
+    sizes = np.unique(vec.value_lengths().to_numpy(zero_copy_only=False))
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of one session have {sizes.tolist()} components")
+    return seqs, vec.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
@@ -33,9 +44,10 @@ def pairs(vectors: DataFrame, least: float, first: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for session, early, late, same in zip(*(b.column(c).to_pylist() for c in ("session_id", "early", "late", "same"))):
-                a, c = (np.array([r["vec"] for r in x]) for x in (early, late))
-                ids = [np.array([r["seq"] for r in x], np.int64) for x in (early, late)]
+            for row in range(b.num_rows):
+                session, same = b.column("session_id")[row].as_py(), b.column("same")[row].as_py()
+                (early, a), (late, c) = (_matrix(b.column(side)[row].values) for side in ("early", "late"))
+                ids = [early, late]
                 near = np.round(c @ a.T, 12)
                 hit = np.floor(near * 1e4 + 0.5) / 1e4 >= least - 1e-12
                 if same:
@@ -47,8 +59,11 @@ def pairs(vectors: DataFrame, least: float, first: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([session] * len(i), b.column("session_id").type), pa.array(ids[1][i]), pa.array(ids[0][j]), pa.array(near[i, j])], ["session_id", "seq", "earlier", "similarity"])
 
     blocks = _packed(vectors)
-    late = blocks.select("session_id", F.col("block").alias("b"), F.col("rows").alias("late"))
-    met = blocks.select("session_id", F.col("block").alias("a"), F.col("rows").alias("early")).join(late, "session_id").where("a <= b")
+    group = F.pmod(F.col("block"), F.lit(GROUPS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))
+    early = blocks.select("session_id", group.alias("g"), F.col("block").alias("a"), F.col("rows").alias("early"), every.alias("h"))
+    late = blocks.select("session_id", group.alias("h"), F.col("block").alias("b"), F.col("rows").alias("late"), every.alias("g"))
+    met = early.join(late.hint("merge"), ["session_id", "g", "h"]).where("a <= b")
     found = met.select("session_id", "early", "late", (F.col("a") == F.col("b")).alias("same")).mapInArrow(run, f"session_id {key}, seq long, earlier long, similarity double")
     if first:
         found = found.groupBy("session_id", "seq").agg(F.min_by(F.struct("earlier", "similarity"), "earlier").alias("x")).select("session_id", "seq", "x.*")
