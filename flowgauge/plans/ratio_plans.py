@@ -2,12 +2,17 @@
 ten spans of a phase, and the cascade of labels; over transcripts derived from the given tables.
 
 Semantic likeness is the cosine of the sets of words and word pairs of two texts: no embedding model is at hand, and this one
-needs no other engine than SQL. All of it is row-local over one window a session: a ring of the last ten spans is a list
-that the window carries, and no span is joined with another. Oracles pair the spans instead.
+needs no other engine than SQL. A ring of the last ten spans is carried along a session, and no span is joined with another.
+Oracles pair the spans instead.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowgauge.operators.repetition import top_match
 from flowgauge.plans.sample_plans import EVENTS, Sample
 
 #: What marks a prompt that gives no goal, one that corrects, one that states a goal, a constraint or a place.
@@ -84,6 +89,22 @@ l3 as (select *, label in ('redundant_reasoning', 'unnecessary_tool_call', 'over
 l4 as (select *, case when waste and again then 'repetition' when label = 'redundant_reasoning' then 'low_information_reasoning' when label = 'over_explanation' then 'low_relevance_generation' when score > 0 then 'novel_or_below_threshold' else 'aligned_default' end as reason from l3)"""
 PHASES = "r0 as (select session_id, phase, cast(sum(tokens) as bigint) as tokens, cast(sum(case when waste then 0 else tokens end) as bigint) as aligned from l4 group by session_id, phase), r1 as (select *, coalesce(round(aligned * 1.0D / nullif(tokens, 0), 4), 1.0D) as score from r0)"
 
+#: What SPANS says of a span alone, and what it is like: the pairs of a ring are met by flowgauge.operators.repetition.
+ALONE = "with " + SPANS[: SPANS.index(",\ns3 as")] + " select session_id, cast(seq as bigint) as seq, phase, text, f, t, things, acts, tool_name, facts, arguments, n_words, tokens from s2"
+MET = "s6 as (select session_id, seq, phase, text, f, n_words, tokens, score, earlier from {r})"
+
+
+@dataclass(frozen=True)
+class Ringed(Sample):
+    """A query over spans, each met with the last ten of its phase: what SPANS states, done in one pass over a session."""
+
+    def apply(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        said = frames["e"].where("kind in ('reasoning', 'response', 'tool.requested')").select("session_id", "sequence", "kind", "text", "tool_name", "arguments", "path", "command")
+        spans = spark.sql(ALONE, e=said.repartition("session_id").sortWithinPartitions("session_id", "sequence"))
+        text = self.sql.replace(SPANS, MET)
+        return spark.sql(text, r=top_match(spans), **frames if "{e}" in text else {})
+
+
 # The oracles' own words: prompts and spans are paired by joins, features are rows.
 _D_FEATURES = "list_distinct(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 D_PROMPTS = rf"""{EVENTS},
@@ -131,11 +152,11 @@ PLANS = [
            "select a.session_id, a.seq, a.topic, case when not a.operational and b.seq is not null then round(len(list_intersect(a.f, b.f)) / sqrt(greatest(1, len(a.f) * len(b.f))), 4) end as similarity from q8 a left join q8 b on b.session_id = a.session_id and b.seq = a.last"),
     Sample("b4_latest_topic_intent", f"{_told}, {CONFIDENCE}, {CENTRE} select c.session_id, topic_start, topic_prompts, shifts, confidence, features, round(length, 6) as length, array_join(transform(slice(ranked, 1, 5), x -> x.feature), ', ') as leading from c5 c left join f1 f on f.session_id = c.session_id", f"{D_PROMPTS}, {D_CONFIDENCE}, {D_CENTRE}",
            "select g.session_id, topic_start, topic_prompts, shifts, confidence, h.features, h.length, h.leading from g3 g left join (select session_id, count(*) as features, round(sqrt(sum(share * share)), 6) as length, array_to_string(list(feature order by round(share, 9) desc, feature)[1:5], ', ') as leading from h0 group by all) h on h.session_id = g.session_id"),
-    Sample("w23_repetition_top_match", f"with {SPANS} select session_id, seq, phase, earlier, round(score, 4) as score from s6 where earlier is not null", f"{EVENTS}, {D_SPANS}", "select session_id, seq, phase, earlier, round(score, 4) as score from u3 where earlier is not null"),
-    Sample("w24_label_cascade", f"{_all} select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from l4", _d_all, "select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from v6"),
-    Sample("a1_ratio_by_phase", f"{_all}, {PHASES} select session_id, phase, tokens, aligned, score from r1", f"{_d_all}, {D_PHASES}", "select session_id, phase, tokens, aligned, score from w1"),
-    Sample("a1_ratio_aggregate", f"{_all}, {PHASES} select session_id, round(0.3D * coalesce(max(case when phase = 'reasoning' then score end), 1.0D) + 0.4D * coalesce(max(case when phase = 'tool_use' then score end), 1.0D) + 0.3D * coalesce(max(case when phase = 'generation' then score end), 1.0D), 4) as aggregate_ratio, round(sum(aligned) * 1.0D / nullif(sum(tokens), 0), 4) as raw_ratio from r1 group by session_id", f"{_d_all}, {D_PHASES}",
+    Ringed("w23_repetition_top_match", f"with {SPANS} select session_id, seq, phase, earlier, round(score, 4) as score from s6 where earlier is not null", f"{EVENTS}, {D_SPANS}", "select session_id, seq, phase, earlier, round(score, 4) as score from u3 where earlier is not null"),
+    Ringed("w24_label_cascade", f"{_all} select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from l4", _d_all, "select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from v6"),
+    Ringed("a1_ratio_by_phase", f"{_all}, {PHASES} select session_id, phase, tokens, aligned, score from r1", f"{_d_all}, {D_PHASES}", "select session_id, phase, tokens, aligned, score from w1"),
+    Ringed("a1_ratio_aggregate", f"{_all}, {PHASES} select session_id, round(0.3D * coalesce(max(case when phase = 'reasoning' then score end), 1.0D) + 0.4D * coalesce(max(case when phase = 'tool_use' then score end), 1.0D) + 0.3D * coalesce(max(case when phase = 'generation' then score end), 1.0D), 4) as aggregate_ratio, round(sum(aligned) * 1.0D / nullif(sum(tokens), 0), 4) as raw_ratio from r1 group by session_id", f"{_d_all}, {D_PHASES}",
            "select session_id, round(0.3::double * coalesce(max(score) filter (where phase = 'reasoning'), 1) + 0.4::double * coalesce(max(score) filter (where phase = 'tool_use'), 1) + 0.3::double * coalesce(max(score) filter (where phase = 'generation'), 1), 4) as aggregate_ratio, round(sum(aligned) / sum(tokens), 4) as raw_ratio from w1 group by session_id"),
-    Sample("a3_uncertainty", f"{_all} select session_id, round(avg(confidence), 6) as mean_confidence, round(sum(tokens * confidence) / nullif(sum(tokens), 0), 6) as weighted_confidence, round(avg(case when confidence < 0.65D then 1.0D else 0.0D end), 6) as low_share, case when count(*) < 10 then 'low' when count(*) < 50 then 'moderate' else 'high' end as reliability from l4 group by session_id", _d_all,
+    Ringed("a3_uncertainty", f"{_all} select session_id, round(avg(confidence), 6) as mean_confidence, round(sum(tokens * confidence) / nullif(sum(tokens), 0), 6) as weighted_confidence, round(avg(case when confidence < 0.65D then 1.0D else 0.0D end), 6) as low_share, case when count(*) < 10 then 'low' when count(*) < 50 then 'moderate' else 'high' end as reliability from l4 group by session_id", _d_all,
            "select session_id, round(avg(confidence), 6) as mean_confidence, round(sum(tokens * confidence) / sum(tokens), 6) as weighted_confidence, round((count(*) filter (where confidence < 0.65)) / count(*), 6) as low_share, case when count(*) >= 50 then 'high' when count(*) >= 10 then 'moderate' else 'low' end as reliability from v6 group by session_id"),
 ]
