@@ -60,8 +60,7 @@ class Graph(Sample):
     """A query that reads its steps several times: they are written once, so that no grammar is run twice."""
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        shared.checkpoints(spark)
-        return self.apply(spark, s=steps(given_events(spark, sf_dir)).checkpoint())
+        return self.apply(spark, s=shared.held(steps(given_events(spark, sf_dir))))
 
 
 PLANS = [

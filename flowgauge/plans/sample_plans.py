@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowgauge import shared
 from flowgauge.functions import scalars, shell
 from flowgauge.operators.steps import steps
 from flowgauge.sources import derived, samples, transcripts
@@ -93,7 +94,9 @@ class Sample:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         events = given_events(spark, sf_dir)
-        return self.apply(spark, **({"s": steps(events)} if "{s}" in self.sql else {}) | ({"e": events} if "{e}" in self.sql else {}))
+        # what is read more than once is derived once
+        once = lambda name, frame: shared.held(frame) if self.sql.count(f"{{{name}}}") > 1 else frame
+        return self.apply(spark, **({"s": once("s", steps(events))} if "{s}" in self.sql else {}) | ({"e": once("e", events)} if "{e}" in self.sql else {}))
 
     @property
     def oracle(self) -> str:
@@ -148,8 +151,9 @@ select session_id, path, min(idx) as start_idx, count(*) as n from d group by se
            "with h(habit, first_word) as (values ('Read', 'cat'), ('Read', 'head'), ('Read', 'tail'), ('Grep', 'grep'), ('Grep', 'rg'), ('Glob', 'find'), ('LS', 'ls')), w as (select session_id, string_split(trim(raw_command), ' ') as w, raw_command as c from ev where raw_command is not null) select session_id, coalesce(h.habit, case when w[1] = 'sed' and w[2] = '-i' then 'Edit' when w[1] = 'echo' and contains(c, '>') then 'Write' end) as habit, count(*) as n from w left join h on h.first_word = w[1] where h.habit is not null or (w[1] = 'sed' and w[2] = '-i') or (w[1] = 'echo' and contains(c, '>')) group by all"),
     Sample("w16_commands_of_three", r"select session_id, regexp_replace(command, '\\s*\\|\\s*(?:tail|head)\\s+-n?\\s*\\d+\\s*$', '') as command, count(*) as n from {s} where kind = 'request' and command is not null group by session_id, regexp_replace(command, '\\s*\\|\\s*(?:tail|head)\\s+-n?\\s*\\d+\\s*$', '') having count(*) >= 3", STEPS,
            r"select session_id, trim(regexp_replace(regexp_replace(raw_command, '\s+', ' ', 'g'), ' ?\| ?(tail|head) -n? ?[0-9]+ ?$', '')) as command, count(*) as n from asked where raw_command is not null group by all having count(*) >= 3"),
-    Sample("w17_denied_retries", r"""with r as (select r.*, lag(r.name) over w as was, lag(c.text) over w as said from {s} r left join {s} c on c.session_id = r.session_id and c.idx = r.done where r.kind = 'request' window w as (partition by r.session_id order by r.idx)),
-k as (select *, case when was = name and lower(said) rlike 'permission denied|not permitted|access denied|requires approval' then 0 else 1 end as fresh from r), i as (select *, sum(fresh) over (partition by session_id order by idx) as chain from k)
+    Sample("w17_denied_retries", r"""with c as (select session_id, idx, kind, name, max_by(case when kind = 'completion' then lower(text) rlike 'permission denied|not permitted|access denied|requires approval' end, case when kind = 'completion' then idx end) over (partition by session_id, coalesce(req, idx)) as denied from {s} where kind = 'request' or req is not null),
+r as (select session_id, idx, name, lag(name) over w as was, lag(denied) over w as refused from c where kind = 'request' window w as (partition by session_id order by idx)),
+k as (select *, case when was = name and refused then 0 else 1 end as fresh from r), i as (select *, sum(fresh) over (partition by session_id order by idx) as chain from k)
 select session_id, min(idx) as start_idx, count(*) - 1 as retries from i group by session_id, chain having count(*) - 1 >= 2""", STEPS,
            "with recursive q as (select s.session_id, s.idx, s.name, row_number() over (partition by s.session_id order by s.idx) as n, (select lower(c.text) from st c where c.session_id = s.session_id and c.idx = s.done) as said from st s where s.kind = 'request'), walk as (select a.session_id, a.n, a.idx as start_idx, 0 as retries from q a where not exists (select 1 from q b where b.session_id = a.session_id and b.n = a.n - 1 and b.name = a.name and regexp_matches(b.said, 'permission denied|not permitted|access denied|requires approval')) union all select w.session_id, b.n, w.start_idx, w.retries + 1 from walk w join q a on a.session_id = w.session_id and a.n = w.n join q b on b.session_id = a.session_id and b.n = a.n + 1 and b.name = a.name and regexp_matches(a.said, 'permission denied|not permitted|access denied|requires approval')) select session_id, start_idx, cast(max(retries) as bigint) as retries from walk group by all having max(retries) >= 2"),
     Sample("w19_reads_since_write", """with l as (select *, max(case when is_edit then idx end) over (partition by session_id, path) as last_edit from {s} where kind = 'request' and path is not null)
@@ -236,7 +240,7 @@ select b.session_id, b.idx, b.path, case when exists (select 1 from {s} k where
     Sample("p17_output_kinds", "select session_id, count(*) as outputs, count(distinct out) as kinds from {s} where kind = 'request' and done is not null group by session_id", STEPS, "select session_id, count(*) as outputs, count(distinct out) as kinds from res group by session_id"),
     Sample("p33_error_results", r"select session_id, idx, text rlike '^\\s*(?:Error|error|ERROR|FAILED|Traceback)' as by_prefix, lower(text) rlike 'permission denied|no such file|command not found|<tool_use_error>' as by_marker from {s} where kind = 'completion'", EVENTS,
            "with m(marker) as (values ('permission denied'), ('no such file'), ('command not found'), ('<tool_use_error>')) select session_id, idx, regexp_matches(ltrim(text), '^(Error|error|ERROR|FAILED|Traceback)') as by_prefix, exists (select 1 from m where contains(lower(text), marker)) as by_marker from ev where kind = 'completion'"),
-    Sample("j4_use_result", "select r.session_id, r.idx as use_idx, r.name, r.path, c.idx as result_idx, greatest(1, length(c.text) div 4) as result_tokens from {s} r join {s} c on c.session_id = r.session_id and c.req = r.idx where r.kind = 'request'", STEPS,
+    Sample("j4_use_result", "select session_id, req as use_idx, name, path, idx as result_idx, greatest(1, length(text) div 4) as result_tokens from {s} where kind = 'completion' and req is not null", STEPS,
            "select r.session_id, r.idx as use_idx, r.tool_name as name, r.path, m.idx as result_idx, greatest(1, length(m.text) // 4) as result_tokens from met m join asked r on r.session_id = m.session_id and r.idx = m.req"),
     Sample("j6_next_run", "select session_id, idx, command, outcome, lead(idx) over w as next_idx, lead(outcome) over w as next_outcome from {s} where is_check window w as (partition by session_id, command order by idx)", STEPS,
            "select a.session_id, a.idx, a.command, a.outcome, (select min(b.idx) from rq b where b.session_id = a.session_id and b.command = a.command and b.is_check and b.idx > a.idx) as next_idx, (select arg_min(coalesce(b.outcome, ''), b.idx) from rq b where b.session_id = a.session_id and b.command = a.command and b.is_check and b.idx > a.idx) as next_outcome from rq a where a.is_check"),

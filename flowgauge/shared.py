@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoints(spark: SparkSession) -> str:
@@ -20,3 +21,12 @@ def checkpoints(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def held(df: DataFrame, by: str = "session_id") -> DataFrame:
+    """df written once below the checkpoint folder, for plans that read it several times: in columns, so that each reads only
+    its own, and in buckets of `by`, so that windows over it need no exchange. The folder's owner cleans it."""
+    spark, name = df.sparkSession, f"held_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.write.format("parquet").bucketBy(buckets, by).option("path", f"{checkpoints(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
