@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowgauge import shared
 from flowgauge.operators.repetition import top_match
-from flowgauge.plans.sample_plans import EVENTS, Sample
+from flowgauge.plans.sample_plans import EVENTS, Sample, given_events
 
 #: What marks a prompt that gives no goal, one that corrects, one that states a goal, a constraint or a place.
 OPERATIONAL = r"^(ok(ay)?|yes|yep|sure|continue|go ahead|proceed|retry|again|do it|do that|ship it|thanks?|please|(keep going|carry on|sounds good|looks good)[.!\s]*)$"
@@ -105,6 +106,15 @@ class Ringed(Sample):
         return spark.sql(text, r=top_match(spans), **frames if "{e}" in text else {})
 
 
+@dataclass(frozen=True)
+class Told(Sample):
+    """A query that reads weighted prompts several times: prompts, few of all events, are written once."""
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        prompts = given_events(spark, sf_dir).where("kind = 'intent.stated'").select("session_id", "sequence", "kind", "text")
+        return self.apply(spark, e=shared.held(prompts))
+
+
 # The oracles' own words: prompts and spans are paired by joins, features are rows.
 _D_FEATURES = "list_distinct(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 D_PROMPTS = rf"""{EVENTS},
@@ -150,7 +160,7 @@ PLANS = [
     Sample("w27_prompt_weights", f"{_told} select session_id, seq, topic, round(weight, 6) as weight from p7", D_PROMPTS, "select session_id, seq, topic, round(weight, 6) as weight from q8"),
     Sample("w28_topic_shift", f"{_told} select session_id, seq, topic, round(similarity, 4) as similarity from p7", D_PROMPTS,
            "select a.session_id, a.seq, a.topic, case when not a.operational and b.seq is not null then round(len(list_intersect(a.f, b.f)) / sqrt(greatest(1, len(a.f) * len(b.f))), 4) end as similarity from q8 a left join q8 b on b.session_id = a.session_id and b.seq = a.last"),
-    Sample("b4_latest_topic_intent", f"{_told}, {CONFIDENCE}, {CENTRE} select c.session_id, topic_start, topic_prompts, shifts, confidence, features, round(length, 6) as length, array_join(transform(slice(ranked, 1, 5), x -> x.feature), ', ') as leading from c5 c left join f1 f on f.session_id = c.session_id", f"{D_PROMPTS}, {D_CONFIDENCE}, {D_CENTRE}",
+    Told("b4_latest_topic_intent", f"{_told}, {CONFIDENCE}, {CENTRE} select c.session_id, topic_start, topic_prompts, shifts, confidence, features, round(length, 6) as length, array_join(transform(slice(ranked, 1, 5), x -> x.feature), ', ') as leading from c5 c left join f1 f on f.session_id = c.session_id", f"{D_PROMPTS}, {D_CONFIDENCE}, {D_CENTRE}",
            "select g.session_id, topic_start, topic_prompts, shifts, confidence, h.features, h.length, h.leading from g3 g left join (select session_id, count(*) as features, round(sqrt(sum(share * share)), 6) as length, array_to_string(list(feature order by round(share, 9) desc, feature)[1:5], ', ') as leading from h0 group by all) h on h.session_id = g.session_id"),
     Ringed("w23_repetition_top_match", f"with {SPANS} select session_id, seq, phase, earlier, round(score, 4) as score from s6 where earlier is not null", f"{EVENTS}, {D_SPANS}", "select session_id, seq, phase, earlier, round(score, 4) as score from u3 where earlier is not null"),
     Ringed("w24_label_cascade", f"{_all} select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from l4", _d_all, "select session_id, seq, phase, label, reason, round(confidence, 4) as confidence from v6"),

@@ -95,8 +95,8 @@ ORACLE = LINES.replace("get_json_object(", "json_extract_string(").replace("{eve
 
 #: An event's rule, a row for each cent, with the words that are a rule's own beside the input of a call.
 _RULED = ", ".join(
-    "(" + ", ".join([f"'{kind}'", str(cents), *("cast(null as string)" if x is None else "'" + x.replace("'", "''") + "'" for x in (does, tool, given if does == "call" else None, result, given if does != "call" else None))]) + ")"
-    for kind, first, last, does, tool, given, result in RULES for cents in range(first, last + 1)
+    "(" + ", ".join([str(n), f"'{kind}'", str(cents), *("cast(null as string)" if x is None else "'" + x.replace("'", "''") + "'" for x in (does, tool, given if does == "call" else None, result, given if does != "call" else None))]) + ")"
+    for n, (kind, cents, does, tool, given, result) in enumerate((kind, cents, *rest) for kind, first, last, *rest in RULES for cents in range(first, last + 1))
 )
 
 
@@ -109,20 +109,27 @@ def _filled(template: str) -> str:
 
 
 def _one_pass() -> str:
-    """LINES with each event read and judged once: its rule is a row, and its lines are an array."""
+    """LINES with each event read and judged once. What a rule makes of a key depends on the key modulo 60, so that all rules
+    are filled beforehand, in a table of 7,200 rows. Lines are numbered before they are made: what moves is an event's rule,
+    its key and what was said, if it is needed."""
     steps = {"one": "one as (select u, ts, event_id, 1 as part, ", "two": "two as (select u, ts, event_id, 2 as part, ", "four": "four as (select u, ts, event_id, 10 + 2 * i as part, ", "five": "five as (select u, ts, event_id, 11 + 2 * i as part, ", "six": "six as (select u, ts, event_id, 40 + i as part, "}
     value = {n: re.search(rf"^{re.escape(begin)}(.*?) as value from ", LINES, re.DOTALL | re.MULTILINE)[1] for n, begin in steps.items()}  # type: ignore[index]
-    looks = {n: value[n].replace("|| id ||", "|| cast(event_id as string) || 'x' || cast(i as string) ||") for n in ("four", "five")}
-    read = LINES.split("\nact as")[0]
-    return f"""{read}
-act as (select e.*, r.does as kind, r.tool, {_filled("r.input")} as input, {_filled("r.result")} as result, coalesce({_filled("r.own")}, replace(s.text, chr(10), chr(92) || 'n'), 'Part ' || cast(k as string) || ' of m' || cast(k % 5 as string) || '.py comes next.') as words
-  from ev e left join (values {_RULED}) as r(kind_of, cents_of, does, tool, input, result, own) on r.kind_of = e.event_type and r.cents_of = e.cents left join said s on s.conv_id = e.user_id and s.turn = e.k % 8),
-told as (select u, ts, event_id, moment, kind, k, words, {value["one"]} as value, case when kind = 'call' and result is not null then array(named_struct('part', 2, 'value', {value["two"]})) else array() end as back from act),
-many as (select u, ts, event_id, concat(array(named_struct('part', 1, 'value', value)), back, case when event_id % 29 = 0 then array(named_struct('part', 3, 'value', value)) else array() end,
-  case when kind = 'prompt' and k % 4 = 0 then flatten(transform(sequence(1, 12), i -> array(named_struct('part', 10 + 2 * i, 'value', {looks["four"]}), named_struct('part', 11 + 2 * i, 'value', {looks["five"]})))) else array() end,
-  case when kind = 'think' and k % 4 = 1 then transform(sequence(1, 4), i -> named_struct('part', 40 + i, 'value', {value["six"]})) else array() end) as each from told),
-x as (select u, ts, event_id, inline(each) from many)
-select 'u' || u || '.jsonl' as file, cast(row_number() over (partition by u order by ts, event_id, part) as int) as line, value from x"""
+    value |= {n: value[n].replace("|| id ||", "|| cast(event_id as string) || 'x' || cast(i as string) ||") for n in ("four", "five")}
+    said = LINES.split("\nev as")[0]
+    return f"""{said}
+ruled as (select n * 121 + coalesce(k + 60, 0) as rule, kind_of, cents_of, k as k_of, does as kind, tool, {_filled("input")} as input, {_filled("result")} as result, {_filled("own")} as own
+  from (values {_RULED}) as r(n, kind_of, cents_of, does, tool, input, result, own) cross join (select explode(concat(sequence(-59, 59), array(cast(null as int)))) as k) z),
+ev as (select event_id, user_id, ts, event_type, cast(floor(value * 100) as bigint) % 12 as cents, cast(get_json_object(props, '$.k') as bigint) as k from {{events}}),
+act as (select /*+ broadcast(r) */ e.*, r.rule, r.kind, r.kind = 'call' and r.result is not null as answered, case when r.own is null and r.kind is distinct from 'call' then e.k % 8 end as asks
+  from ev e left join ruled r on r.kind_of = e.event_type and r.cents_of = e.cents and r.k_of <=> cast(e.k % 60 as int)),
+told as (select a.event_id, a.user_id, a.ts, a.cents, a.k, a.rule, s.text, concat(array(1), case when answered then array(2) else array() end, case when event_id % 29 = 0 then array(3) else array() end,
+  case when kind = 'prompt' and k % 4 = 0 then sequence(12, 35) else array() end, case when kind = 'think' and k % 4 = 1 then sequence(41, 44) else array() end) as parts from act a left join said s on s.conv_id = a.user_id and s.turn = a.asks),
+dealt as (select /*+ repartition(user_id) */ * from told),
+each as (select event_id, user_id, ts, cents, k, rule, case when part between 2 and 40 and part <> 3 then null else text end as text, part from (select *, explode(parts) as part from dealt) y),
+placed as (select *, cast(row_number() over (partition by user_id order by ts, event_id, part) as int) as line from each),
+full as (select /*+ broadcast(r) */ p.*, cast(p.user_id as string) as u, replace(substr(cast(ts as string), 1, 19), ' ', 'T') || 'Z' as moment, r.kind, r.tool, r.input, r.result, case when part > 40 then part - 40 else (part - 10) div 2 end as i,
+  coalesce(r.own, replace(p.text, chr(10), chr(92) || 'n'), 'Part ' || cast(k as string) || ' of m' || cast(k % 5 as string) || '.py comes next.') as words from placed p left join ruled r on r.rule = p.rule)
+select 'u' || u || '.jsonl' as file, line, case when part in (1, 3) then {value["one"]} when part = 2 then {value["two"]} when part > 40 then {value["six"]} when part % 2 = 0 then {value["four"]} else {value["five"]} end as value from full"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,14 @@ def test_pairs_of_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len({r.p for r in found}) > 4 and len({(r.seq, r.earlier) for r in found}) == len(found) == 80 * 79 // 2
+
+
+def test_prompts_of_the_latest_topic_are_derived_once(spark, sf_dir):
+    text = plan_of(PLANS["b4_latest_topic_intent"].run(spark, sf_dir))
+    assert "Relation [event_id" not in text and "Relation spark_catalog.default.held_" in text
+
+
+def test_lines_are_numbered_before_they_are_made(spark, sf_dir):
+    # what is moved and sorted is events, not their lines
+    text = plan_of(derived.lines(spark, sf_dir))
+    assert text.rindex("sessionId") < text.index("Window [row_number") < text.index("RepartitionByExpression [user_id")
